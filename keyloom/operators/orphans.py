@@ -93,18 +93,20 @@ def orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
         & (F.col("kl_start") <= F.col("kl_num")) & (F.col("kl_next").isNull() | (F.col("kl_num") < F.col("kl_next")))
     )
     matched = refs.join(runs, as_of, "left").drop("collection", *PARTS)
-    inside = F.col("kl_end").isNotNull() & (F.col("kl_num") <= F.col("kl_end"))
-    beyond = matched.where(~inside).select(*back)
-    unsettled = matched.where(inside & F.col("kl_t").isNotNull() & (F.col("kl_settled").isNull() | (F.col("kl_t") < F.col("kl_settled"))))
-    unsettled = unsettled.drop("kl_prefix", "kl_width", "kl_block", "kl_num", "kl_start", "kl_end", "kl_next", "kl_settled")
+    beyond = F.col("kl_end").isNull() | (F.col("kl_num") > F.col("kl_end"))
+    settled = F.col("kl_t").isNull() | F.coalesce(F.col("kl_t") >= F.col("kl_settled"), F.lit(False))
+    open_refs = matched.withColumn("kl_beyond", beyond).where(F.col("kl_beyond") | ~settled)
+    open_refs = open_refs.drop("kl_prefix", "kl_width", "kl_block", "kl_num", "kl_start", "kl_end", "kl_next", "kl_settled")
     targets = live.select(F.col("collection").alias("kl_tc"), F.col("id").alias("kl_id"), "kl_first", "kl_deleted")
-    checked = unsettled.join(targets, (F.col("kl_rc") == F.col("kl_tc")) & (F.col("kl_key") == F.col("kl_id")))
-    early = checked.where(F.col("kl_t") < F.col("kl_first")).select(*back)
-    revived = checked.where((F.col("kl_t") >= F.col("kl_first")) & F.col("kl_deleted")).drop("kl_tc", "kl_id", "kl_first", "kl_deleted")
-    spans = _lifetimes(parents, live.where("kl_deleted"))
-    held = (F.col("kl_rc") == F.col("collection")) & (F.col("kl_key") == F.col("id")) & (F.col("kl_from") <= F.col("kl_t")) & (F.col("kl_to").isNull() | (F.col("kl_t") < F.col("kl_to")))
-    gaps = revived.join(spans, held, "left_anti").select(*back)
-    return beyond.unionByName(early).unionByName(gaps)
+    checked = open_refs.join(targets, (F.col("kl_rc") == F.col("kl_tc")) & (F.col("kl_key") == F.col("kl_id")), "left")
+    spans = _lifetimes(parents, live.where("kl_deleted")).select(F.col("collection").alias("kl_sc"), F.col("id").alias("kl_sid"), "kl_from", "kl_to")
+    held = (
+        F.col("kl_deleted") & (F.col("kl_rc") == F.col("kl_sc")) & (F.col("kl_key") == F.col("kl_sid"))
+        & (F.col("kl_from") <= F.col("kl_t")) & (F.col("kl_to").isNull() | (F.col("kl_t") < F.col("kl_to")))
+    )
+    spanned = checked.join(spans, held, "left")
+    early = F.coalesce(F.col("kl_t") < F.col("kl_first"), F.lit(False))
+    return spanned.where(F.col("kl_beyond") | early | (F.col("kl_deleted") & F.col("kl_from").isNull())).select(*back)
 
 
 def declared_references(tables: dict[str, DataFrame], includes: DataFrame, fields: DataFrame) -> DataFrame:
