@@ -38,7 +38,8 @@ def pending_records(log: DataFrame, checkpoints: DataFrame, kind: str) -> DataFr
        whose (key, version) pair stands in it were covered by an earlier copy
        and drop out in an anti-join.
 
-    Each record comes out once.  A null arrival counts as later than any start;
+    Copies combine before each shuffle, so that a record delivered very often
+    burdens no single task.  Each record comes out once.  A null arrival counts as later than any start;
     a record without LSN is pending in any case.  Stores without a successful
     checkpoint are pending as a whole.
     """
@@ -48,9 +49,9 @@ def pending_records(log: DataFrame, checkpoints: DataFrame, kind: str) -> DataFr
     in_time = F.col("arrived_at").isNotNull() & (F.col("arrived_at") <= F.col("kl_started"))
     ident = ["store_id", "rec_key", "lsn"]
     new = marked.where(beyond).select(*ident)
-    reread = marked.where(~beyond & ~in_time).select(*ident)
+    reread = marked.where(~beyond & ~in_time).select(*ident).distinct()
     open_since = reread.groupBy("store_id").agg(F.min("lsn").alias("kl_open"))
-    ledger = marked.where(~beyond & in_time).select(*ident).join(open_since, "store_id").where("lsn >= kl_open").select(*ident)
+    ledger = marked.where(~beyond & in_time).select(*ident).join(open_since, "store_id").where("lsn >= kl_open").select(*ident).distinct()
     return new.unionByName(reread.join(ledger, ident, "left_anti")).distinct()
 
 
