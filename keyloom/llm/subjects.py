@@ -10,6 +10,7 @@ and the subjects decided before it; beam search finds the best combination.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -165,12 +166,16 @@ class SubjectModel:
         shape = [min(n, 12) / 4, float(n < 2), min(structure["quotes"], 3), structure["signature"], min(structure["code"], 1)]
         return np.concatenate([shape, 0.3 * hot])
 
-    def link_features(self, ev: np.ndarray, base: np.ndarray, link: int, decided: Sequence[int]) -> np.ndarray:
-        s = self.order[link]
-        others = np.delete(ev[:, 1], s)
+    def static_features(self, ev: np.ndarray, base: np.ndarray, s: int) -> np.ndarray:
+        """What link ``s`` sees of a post whatever was decided before."""
+        seconds = ev[:, 1].copy()
+        seconds[s] = 0.0
         own = ev[s]
-        parts = [own, [own[0] * own[1], float(own[3] >= 2), others.max() if len(others) else 0.0, others.sum()], base, np.asarray(decided, float), [float(sum(decided)), 1.0]]
-        return np.concatenate(parts)
+        return np.concatenate([own, [own[0] * own[1], float(own[3] >= 2), seconds.max(), seconds.sum()], base])
+
+    def link_features(self, ev: np.ndarray, base: np.ndarray, link: int, decided: Sequence[int]) -> np.ndarray:
+        """All of a link's features: the static ones, the subjects decided before, their number, the constant."""
+        return np.concatenate([self.static_features(ev, base, self.order[link]), np.asarray(decided, float), [float(sum(decided)), 1.0]])
 
     def fit_chain(self, ev: list[np.ndarray], base: list[np.ndarray], y: np.ndarray) -> None:
         """Logistic links on two thirds of the posts, calibrated on the rest (Platt), then refitted on all."""
@@ -189,22 +194,26 @@ class SubjectModel:
 
     def decode(self, ev: np.ndarray, base: np.ndarray) -> tuple[list[int], np.ndarray]:
         """The most probable combination of subjects, by beam search along the chain, with each link's probability."""
-        beams: list[tuple[float, list[int], list[float]]] = [(0.0, [], [])]
-        for link in range(len(self.order)):
+        beams: list[tuple[float, tuple[int, ...], tuple[float, ...]]] = [(0.0, (), ())]
+        for link, s in enumerate(self.order):
+            w = self.chain[link]
+            x = self.static_features(ev, base, s)
+            fixed = float(x @ w[: len(x)]) + float(w[-1])
+            earlier = (w[len(x) : len(x) + link] + w[-2]).tolist()
+            a, b = self.platt[link]
             grown = []
             for score, bits, ps in beams:
-                z = float(self.link_features(ev, base, link, bits) @ self.chain[link])
-                a, b = self.platt[link]
-                p = float(np.clip(_sigmoid(np.array(a * z + b)), 1e-9, 1 - 1e-9))
-                grown.append((score + np.log(p), [*bits, 1], [*ps, p]))
-                grown.append((score + np.log(1 - p), [*bits, 0], [*ps, p]))
+                z = a * (fixed + sum(e for e, bit in zip(earlier, bits) if bit)) + b
+                p = min(max(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), 1e-9), 1 - 1e-9)
+                grown.append((score + math.log(p), (*bits, 1), (*ps, p)))
+                grown.append((score + math.log(1 - p), (*bits, 0), (*ps, p)))
             grown.sort(key=lambda g: -g[0])
             beams = grown[:BEAM]
         _, bits, ps = beams[0]
         out = np.zeros(len(self.subjects))
         for s, p in zip(self.order, ps):
             out[s] = p
-        return sorted(self.order[i] for i, b in enumerate(bits) if b), out
+        return sorted(s for s, bit in zip(self.order, bits) if bit), out
 
     def predict(self, text: str | None, source: str | None) -> list[tuple[str, float]]:
         sentences, structure = own_sentences(text)
