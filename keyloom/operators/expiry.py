@@ -43,6 +43,11 @@ def evict_idle(state: DataFrame, now: Column, idle_ticks: int) -> DataFrame:
     return state.where(F.col("tombstone") | (now - F.col("last_touch") < idle_ticks))
 
 
+def _old_enough(now: int, idle_ticks: int, min_clean_age: int) -> Column:
+    """Untouched and unchanged for long enough; ticks ahead of the clock count as now, and 0 asks for no age."""
+    return (F.greatest(F.lit(now) - F.col("last_touch"), F.lit(0)) >= idle_ticks) & (F.greatest(F.lit(now) - F.col("version"), F.lit(0)) >= min_clean_age)
+
+
 def demote(hot: DataFrame, now: int, idle_ticks: int = 1024, most: int = 128, min_clean_age: int = 0, soft_limit: int | None = None) -> DataFrame:
     """The clean rows to move to the cold tier: old enough, coldest first, at most ``most``.
 
@@ -55,14 +60,12 @@ def demote(hot: DataFrame, now: int, idle_ticks: int = 1024, most: int = 128, mi
             most = min(most, size - soft_limit)
         elif idle_ticks == 0 and min_clean_age == 0:
             most = 0
-    old = (F.lit(now) - F.col("last_touch") >= idle_ticks) & (F.lit(now) - F.col("version") >= min_clean_age)
-    return hot.where(~F.col("dirty") & old).orderBy("last_touch", "version", "key").limit(most)
+    return hot.where(~F.col("dirty") & _old_enough(now, idle_ticks, min_clean_age)).orderBy("last_touch", "version", "key").limit(most)
 
 
 def demotion_report(hot: DataFrame, now: int, idle_ticks: int = 1024, min_clean_age: int = 0) -> DataFrame:
     """Rows by what the demotion policy does with them."""
-    old = (F.lit(now) - F.col("last_touch") >= idle_ticks) & (F.lit(now) - F.col("version") >= min_clean_age)
-    what = F.when(F.col("dirty"), "skipped_dirty").when(~old, "skipped_recent").otherwise("candidate")
+    what = F.when(F.col("dirty"), "skipped_dirty").when(~_old_enough(now, idle_ticks, min_clean_age), "skipped_recent").otherwise("candidate")
     return hot.groupBy(what.alias("disposition")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,9 +23,22 @@ def write_jsonl(rows: DataFrame, path: str, columns: tuple[str, ...] = ("url", "
     rows.select(*cols).write.mode("overwrite").json(path)
 
 
+def inflated(data: bytes) -> bytes:
+    """All gzip members of ``data`` one after the other, as far as they are whole."""
+    out = []
+    while data:
+        member = zlib.decompressobj(wbits=31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        data = member.unused_data
+    return b"".join(out)
+
+
 def archive_records(data: bytes) -> Iterator[tuple[str, bytes]]:
     """(url, content) of the conversion records of a gzipped archive of one or more members."""
-    f = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)))
+    f = io.BytesIO(inflated(data))
     while line := f.readline():
         if not line.startswith(b"WARC/1.0"):
             continue
@@ -48,12 +61,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for data in batch.column("content").to_pylist():
                 urls, bodies = [], []
-                try:
-                    for url, body in archive_records(data):
-                        urls.append(url)
-                        bodies.append(body)
-                except (EOFError, OSError):
-                    pass
+                for url, body in archive_records(data):
+                    urls.append(url)
+                    bodies.append(body)
                 yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array(bodies, pa.binary())], names=["url", "content"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(work, "url string, content binary")
