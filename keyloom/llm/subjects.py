@@ -251,8 +251,10 @@ def training_posts(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAI
     """Up to ``most`` labelled posts, chosen by a hash of their id; the sample is bounded by that parameter alone."""
     by_doc = labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     chosen = by_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = documents.select("doc_id", "text", "source").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    return [(r["text"], r["source"], list(r["subjects"])) for r in rows]
+    found = documents.select("doc_id", "text", "source").join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min(F.struct("text", "source")).alias("post"), F.first("subjects").alias("subjects"))
+    rows = one.orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    return [(r["post"]["text"], r["post"]["source"], sorted(r["subjects"])) for r in rows]
 
 
 def subjects_of(documents: DataFrame, model: SubjectModel) -> DataFrame:
