@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Array levels that a type string may have, nesting and sizes that a value may have.
@@ -71,7 +72,6 @@ class Schema:
     fields: tuple[Field, ...]
     nested_names: bool = False
     default_sort: str | None = None
-    _: None = field(default=None, repr=False)
 
     @property
     def primary(self) -> Field:
@@ -252,6 +252,40 @@ def validation_errors(doc: Column, schema: Schema) -> Column:
     return F.when(v.isNull(), F.array(F.lit("document: malformed"))).otherwise(listed)
 
 
+def _codec_fault(text: str | None) -> str | None:
+    if text is None:
+        return "malformed"
+    if len(text.encode("utf-8", "surrogatepass")) > MAX_BYTES:
+        return "too_large"
+    try:
+        level, depth = [json.loads(text)], 0
+    except (ValueError, RecursionError):
+        return "malformed"
+    while level:
+        depth += 1
+        below = []
+        for v in level:
+            if isinstance(v, float) and (v != v or v in (float("inf"), float("-inf"))):
+                return "not_finite"
+            if isinstance(v, (list, dict)):
+                if len(v) > MAX_ITEMS:
+                    return "too_many_items"
+                below.extend(v if isinstance(v, list) else v.values())
+        if depth > MAX_DEPTH + 1:
+            return "too_deep"
+        level = below
+    return None
+
+
+def codec_fault(doc: Column) -> Column:
+    """Why a JSON document can't be stored: ``malformed``, ``too_large``, ``too_deep``, ``too_many_items``, ``not_finite``; null if it can."""
+
+    def faults(docs: pd.Series) -> pd.Series:
+        return docs.map(_codec_fault).astype(object)
+
+    return F.pandas_udf(faults, T.StringType())(doc)
+
+
 def lookup(docs: DataFrame, schema: Schema, name: str, value) -> DataFrame:
     """Equality on an indexed field, pushed down to the scan; an unindexed field is an error.  Ordered by key."""
     f = schema.field(name)

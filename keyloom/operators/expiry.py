@@ -106,3 +106,11 @@ def read_through(hot: DataFrame, cold: DataFrame, tombstones: DataFrame, keys: S
     from_hot = F.col("kl_hv").isNotNull() & (F.col("tombstone") | F.col("kl_cv").isNull() | (F.col("kl_hv") >= F.col("kl_cv")))
     out = j.where(~(from_hot & F.coalesce("tombstone", F.lit(False))))
     return out.select(*keys, F.when(from_hot, F.col("kl_hv")).otherwise(F.col("kl_cv")).alias(version), F.when(from_hot, F.col("kl_hx")).otherwise(F.col("kl_cx")).alias(value), F.when(from_hot, "hot").otherwise("cold").alias("tier"))
+
+
+def promotable(cold: DataFrame, hot: DataFrame, tombstones: DataFrame, keys: Sequence[str], now: int, version: str = "version") -> DataFrame:
+    """Cold records that may become hot: newest, not deleted, not expired, and newer than any hot row, tombstone or not."""
+    rows = not_buried(newest_cold(cold, keys), tombstones, keys, version)
+    rows = rows.where(~expired(F.lit(now), F.col("last_touch"), F.col("expires_at"), F.col("tti_ticks")))
+    held = hot.groupBy(*keys).agg(F.max(version).alias("kl_held"))
+    return rows.join(held, list(keys), "left").where(F.col("kl_held").isNull() | (F.col("kl_held") < F.col(version))).drop("kl_held")

@@ -105,6 +105,15 @@ class CheckpointStore:
             return lsn, self.spark.read.parquet(self.path(lsn))
         return None
 
+    def checkpoint_and_reset(self, log: DataFrame, keys: Sequence[str], seq: str, keep: int = 2) -> tuple[int, DataFrame]:
+        """Write a snapshot of the whole log, prune old ones, and return its number and the log that remains: none of it."""
+        lsn = log.agg(F.max(seq)).first()[0] or 0
+        before = self.load_latest()
+        base = latest(log if before is None else before[1].unionByName(log), keys, seq)
+        self.write(base, lsn)
+        self.prune(keep)
+        return lsn, log.where(F.col(seq) > F.lit(lsn))
+
     def prune(self, keep: int = 2) -> list[int]:
         """Delete all but the newest ``keep`` snapshots; 0 keeps everything."""
         gone = self.lsns()[keep:] if keep else []

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keyloom.functions.keys import encoded_key, is_put, key_text
-from keyloom.operators import documents, expiry, log, objects, policy, recovery, refs, summary
+from keyloom.operators import dense, documents, expiry, log, objects, policy, recovery, refs, summary
 from keyloom.session import table
 from keyloom.sources import sql_sink
 
@@ -470,6 +470,73 @@ def cold_read_through(spark, d):
     return expiry.read_through(hot_state(spark, d).where("key % 2 = 0"), cold, buried, ["key"])
 
 
+@query(f"""
+with {_COLD}, {_HOT}, kept as (select * from hot where key % 3 = 0)
+select s.key, s.version from seen s left join kept h on h.key = s.key where h.version is null or h.version < s.version""")
+def promotion_guard(spark, d):
+    cold, buried = _cold(spark, d)
+    return expiry.promotable(cold, hot_state(spark, d).where("key % 3 = 0"), buried, ["key"], now=0).select("key", "version")
+
+
+# ----------------------------------------------------------------- dense lanes
+
+
+def _lane(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("idx"), (F.col("c_custkey") * 3).alias("value"), (F.col("c_custkey") % 5 == 0).alias("dirty"))
+
+
+@query("select event_id as ordinal, user_id as idx, coalesce(c_custkey * 3, 0) as value from events left join customer on c_custkey = user_id")
+def dense_gather(spark, d):
+    return dense.gather(_lane(spark, d), table(spark, d, "events").select(F.col("event_id").alias("ordinal"), F.col("user_id").alias("idx")))
+
+
+@query("""
+with w as (select user_id as idx, max(event_id) as v from events group by user_id)
+select coalesce(c_custkey, idx) as idx, coalesce(v, c_custkey * 3) as value, coalesce(v is not null or c_custkey % 5 = 0, false) as dirty from customer full join w on idx = c_custkey""")
+def dense_scatter(spark, d):
+    writes = table(spark, d, "events").select(F.col("user_id").alias("idx"), F.col("event_id").alias("value"), F.col("event_id").alias("seq"))
+    return dense.scatter(_lane(spark, d), writes, "seq")
+
+
+@query("""
+select event_id as seq, (coalesce(c_custkey * 3, 0) + coalesce(sum(event_id) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0))::bigint as previous
+from events left join customer on c_custkey = user_id""")
+def dense_fetch_add(spark, d):
+    deltas = table(spark, d, "events").select(F.col("user_id").alias("idx"), F.col("event_id").alias("delta"), F.col("event_id").alias("seq"))
+    return dense.fetch_add(_lane(spark, d), deltas, "seq").select("seq", "previous")
+
+
+@query("select c_custkey as idx, c_custkey * 3 as value from customer where c_custkey % 5 = 0 order by c_custkey limit 100")
+def dense_dirty_slots(spark, d):
+    return dense.dirty_slots(_lane(spark, d), 100).select("idx", "value")
+
+
+@query("""
+with r as (select event_id, user_id % 8 as shard, row_number() over (partition by user_id % 8 order by event_id) as rn from events)
+select event_id from r order by shard, rn limit 1000""")
+def bounded_drain(spark, d):
+    return dense.bounded_drain(table(spark, d, "events"), F.col("user_id") % 8, ["event_id"], 1000).select("event_id")
+
+
+@query("select c_custkey as key, c_custkey * 3 as value from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderkey = c_custkey * 3)")
+def remove_if_value(spark, d):
+    t = _lane(spark, d).select(F.col("idx").alias("key"), "value")
+    return dense.remove_if_value(t, table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("value")), "key")
+
+
+@query("select o_orderkey as seq, coalesce(lag(o_orderkey) over (partition by o_custkey order by o_orderkey), c_custkey * 3) as old_value from orders left join customer on c_custkey = o_custkey")
+def insert_returning_old(spark, d):
+    t = _lane(spark, d).select(F.col("idx").alias("key"), "value")
+    writes = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("value"), F.col("o_orderkey").alias("seq"))
+    return dense.insert_returning_old(t, writes, "key", "seq").select("seq", "old_value")
+
+
+@query("select store_id, lsn, case when document is null or not json_valid(document) then 'malformed' end as fault from (select distinct store_id, lsn, document from schema_flush)")
+def codec_safety(spark, d):
+    docs = table(spark, d, "schema_flush").select("store_id", "lsn", "document").distinct()
+    return docs.select("store_id", "lsn", documents.codec_fault(F.col("document")).alias("fault"))
+
+
 # -------------------------------------------------------------- sinks, summary
 
 
