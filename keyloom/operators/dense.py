@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keyloom.operators.log import latest
+from keyloom.operators.segments import neighbour, running_sum
 
 MASK63 = (1 << 63) - 1
 
@@ -30,10 +31,8 @@ def scatter(lane: DataFrame, writes: DataFrame, seq: str, dirty: bool = True) ->
 
 def fetch_add(lane: DataFrame, deltas: DataFrame, seq: str) -> DataFrame:
     """What each (idx, delta, seq) finds before it adds, modulo 2**63."""
-    w = Window.partitionBy("idx").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col("delta").cast("decimal(38,0)")).over(w), F.lit(0).cast("decimal(38,0)"))
-    j = deltas.withColumn("kl_b", before).join(lane.select("idx", F.col("value").alias("kl_start")), "idx", "left")
-    total = F.coalesce("kl_start", F.lit(0).cast("bigint")).cast("decimal(38,0)") + F.col("kl_b")
+    j = running_sum(deltas, ["idx"], seq, F.col("delta").cast("decimal(28,0)"), "kl_b", inclusive=False).join(lane.select("idx", F.col("value").alias("kl_start")), "idx", "left")
+    total = F.coalesce("kl_start", F.lit(0).cast("bigint")).cast("decimal(37,0)") + F.col("kl_b").cast("decimal(37,0)")
     return j.withColumn("previous", F.pmod(total, F.lit("9223372036854775808").cast("decimal(38,0)")).cast("bigint")).drop("kl_b", "kl_start")
 
 
@@ -72,6 +71,5 @@ def remove_if_value(table: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 def insert_returning_old(table: DataFrame, writes: DataFrame, key: str, seq: str) -> DataFrame:
     """Each write with the value it replaced: the write before it, or what the table held."""
-    before = F.lag(F.struct("value")).over(Window.partitionBy(key).orderBy(seq))
-    j = writes.withColumn("kl_p", before).join(table.select(key, F.struct("value").alias("kl_t")), key, "left")
+    j = neighbour(writes, [key], seq, F.struct("value"), "kl_p").join(table.select(key, F.struct("value").alias("kl_t")), key, "left")
     return j.withColumn("old_value", F.coalesce("kl_p", "kl_t")["value"]).drop("kl_p", "kl_t")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from keyloom.operators.segments import neighbour, running_sum
 
 
 def expired(now: Column, last_touch: Column, expires_at: Column, tti_ticks: Column) -> Column:
@@ -19,17 +21,16 @@ def ttl_spans(log: DataFrame, keys: Sequence[str], tick: str, ttl: Column) -> Da
     Any later write removes the expiry of the one before, so only the last
     write's own time to live counts for it.
     """
-    following = F.lead(tick).over(Window.partitionBy(*keys).orderBy(tick))
-    ends = F.col(tick) + ttl
-    return log.withColumn("next_write", following).withColumn("ends", F.least(ends, F.coalesce(following, ends))).withColumn("outlived", following.isNull() | (following >= ends))
+    following, ends = F.col("next_write"), F.col(tick) + ttl
+    rows = neighbour(log, keys, tick, F.col(tick), "next_write", ahead=True)
+    return rows.withColumn("ends", F.least(ends, F.coalesce(following, ends))).withColumn("outlived", following.isNull() | (following >= ends))
 
 
-def tti_sessions(log: DataFrame, keys: Sequence[str], tick: str, tti: Column, order: Sequence[str] = ()) -> DataFrame:
+def tti_sessions(log: DataFrame, keys: Sequence[str], tick: str, tti: Column) -> DataFrame:
     """Number the sessions of each key; a gap equal to ``tti`` already begins a new one."""
-    w = Window.partitionBy(*keys).orderBy(tick, *order)
-    gap = F.col(tick) - F.lag(tick).over(w)
-    fresh = F.when(gap.isNull() | (gap >= tti), 1).otherwise(0)
-    return log.withColumn("kl_fresh", fresh).withColumn("session", F.sum("kl_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")).drop("kl_fresh")
+    rows = neighbour(log, keys, tick, F.col(tick), "kl_last")
+    fresh = F.when(F.col("kl_last").isNull() | (F.col(tick) - F.col("kl_last") >= tti), 1).otherwise(0)
+    return running_sum(rows, keys, tick, fresh, "session").drop("kl_last")
 
 
 def idle_dirty(state: DataFrame, now: Column, idle_ticks: int, limit: int | None = None, order: Sequence[str] = ("last_touch", "version")) -> DataFrame:

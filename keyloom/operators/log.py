@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keyloom.functions.keys import is_put
+from keyloom.operators.segments import neighbour, running_sum
+from keyloom.session import cut
 
 
 def latest(log: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
@@ -33,12 +35,12 @@ def live_rows(state: DataFrame, op: str = "op") -> DataFrame:
 
 def assign_versions(log: DataFrame, keys: Sequence[str], seq: str, to: str = "version") -> DataFrame:
     """Dense versions 1, 2, 3, … per key in log order, running on through tombstones."""
-    return log.withColumn(to, F.row_number().over(Window.partitionBy(*keys).orderBy(seq)).cast("bigint"))
+    return running_sum(log, keys, seq, F.lit(1).cast("bigint"), to)
 
 
 def previous_value(log: DataFrame, keys: Sequence[str], seq: str, value: str, to: str = "previous") -> DataFrame:
     """What a key held before each write; null for its first."""
-    return log.withColumn(to, F.lag(value).over(Window.partitionBy(*keys).orderBy(seq)))
+    return neighbour(log, keys, seq, F.col(value), to)
 
 
 def count_live(log: DataFrame, keys: Sequence[str], seq: str, collection: str, op: str = "op") -> DataFrame:
@@ -73,11 +75,13 @@ def append_with_lsn(log: DataFrame, batch: DataFrame, order: Sequence[str], lsn:
     """Give the rows of ``batch`` the sequence numbers after the log's last, in ``order``.
 
     Positions are counted per partition of a range-partitioned sort and shifted
-    by the sizes of the partitions before, so no task sees all rows.
+    by the sizes of the partitions before, so no task sees all rows.  The sorted
+    partitions are written to the shared folder once: the bounds come from a
+    sample, and both the counting and the shifting must see the same ones.
     """
     spark = batch.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = batch.repartitionByRange(parts, *order).withColumn("kl_p", F.spark_partition_id())
+    ranged = cut(batch.repartitionByRange(parts, *order).withColumn("kl_p", F.spark_partition_id()))
     local = ranged.withColumn("kl_n", F.row_number().over(Window.partitionBy("kl_p").orderBy(*order)))
     sizes = ranged.groupBy("kl_p").agg(F.count(F.lit(1)).alias("kl_size"))
     before = F.coalesce(F.sum("kl_size").over(Window.orderBy("kl_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

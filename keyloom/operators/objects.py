@@ -13,6 +13,8 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from keyloom.operators.segments import running_sum
+
 MAX_I64 = (1 << 63) - 1
 
 
@@ -104,9 +106,7 @@ def counter_log(commands: DataFrame, key: str, delta: str, seq: str) -> DataFram
     Overflowing commands are marked; they leave a checked counter as it was, so
     the running sum is exact up to a key's first mark.
     """
-    w = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    after = F.sum(F.col(delta).cast("decimal(38,0)")).over(w)
-    out = commands.withColumn("kl_a", after)
+    out = running_sum(commands, [key], seq, F.col(delta).cast("decimal(28,0)"), "kl_a")
     fits = F.col("kl_a").between(F.lit(-MAX_I64 - 1), F.lit(MAX_I64))
     return out.withColumn("after", F.when(fits, F.col("kl_a").cast("bigint"))).withColumn("before", F.when(fits, (F.col("kl_a") - F.col(delta)).cast("bigint"))).withColumn("overflow", ~fits).drop("kl_a")
 
@@ -126,17 +126,24 @@ def appended(commands: DataFrame, key: str, suffix: str, seq: str) -> DataFrame:
 def append_positions(lists: DataFrame, pushed: DataFrame, key: str, seq: str) -> DataFrame:
     """Push elements to the tails of lists (key, pos, value) in order of ``seq``."""
     ends = lists.groupBy(key).agg((F.max("pos") + 1).alias("kl_end"))
-    at = F.row_number().over(Window.partitionBy(key).orderBy(seq)) - 1
-    rows = pushed.join(ends, key, "left").withColumn("pos", (F.coalesce("kl_end", F.lit(0)) + at).cast("int"))
+    numbered = running_sum(pushed, [key], seq, F.lit(1), "kl_at", inclusive=False)
+    rows = numbered.join(ends, key, "left").withColumn("pos", (F.coalesce("kl_end", F.lit(0)) + F.col("kl_at")).cast("int"))
     return lists.unionByName(rows.select(*lists.columns))
 
 
 def pop(lists: DataFrame, key: str, front: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Take one element off each list: the popped rows and the lists that remain."""
-    order = F.col("pos") if front else F.col("pos").desc()
-    ranked = lists.withColumn("kl_r", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    popped = ranked.where(F.col("kl_r") <= 1).drop("kl_r")
-    return popped, ranked.where("kl_r > 1").drop("kl_r")
+    """Take one element off each list: the popped rows and the lists that remain.
+
+    Ends are found by an aggregate that combines before the shuffle.  Of several
+    elements at one end position the one with the least other columns is taken;
+    rows without a key or position are in no list.
+    """
+    ends = lists.groupBy(key).agg((F.min if front else F.max)("pos").alias("kl_end"))
+    marked = lists.join(ends, key)
+    at_end = marked.where(F.col("pos") == F.col("kl_end")).drop("kl_end")
+    ranked = at_end.withColumn("kl_r", F.row_number().over(Window.partitionBy(key).orderBy(*[c for c in lists.columns if c not in (key, "pos")])))
+    others = marked.where(F.col("pos") != F.col("kl_end")).drop("kl_end")
+    return ranked.where(F.col("kl_r") <= 1).drop("kl_r"), others.unionByName(ranked.where("kl_r > 1").drop("kl_r"))
 
 
 def list_commands(commands: DataFrame, key: str = "key") -> DataFrame:
