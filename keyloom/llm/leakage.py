@@ -14,6 +14,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -24,6 +25,8 @@ RUN = 13
 K1, B = 1.2, 0.75
 #: Postings per block of the index.
 POSTINGS = 8
+#: Ranges of items for the first, coarse bound.
+COARSE = 128
 #: Items per index; more items are searched in several passes over the texts.
 ITEMS_PER_INDEX = 20000
 #: Slack for rounding in score sums.
@@ -60,6 +63,12 @@ class ItemIndex:
             ids, xs = [r[0] for r in rows], [r[1] for r in rows]
             blocks = [max(xs[k : k + POSTINGS]) for k in range(0, len(xs), POSTINGS)]
             self.postings[w] = (ids, xs, blocks, max(xs))
+        # Greatest weight of each term in each of at most COARSE ranges of items: bounds for all items in one sum.
+        self.width = width = max(1, -(-n // COARSE))
+        self.rows = {w: i for i, w in enumerate(self.postings)}
+        self.coarse = np.zeros((len(self.rows), -(-n // width)))
+        for w, (ids, xs, _, _) in self.postings.items():
+            np.maximum.at(self.coarse[self.rows[w]], np.array(ids) // width, xs)
         self.longest_word = max(map(len, self.postings), default=0)
         self.longest_run = max((len(t) for spans in self.windows for t, _ in spans), default=0)
 
@@ -78,7 +87,19 @@ class ItemIndex:
         if sum(p[3] for p in lists) < 1 - EPS:
             return {}
         found: dict[int, float] = {}
-        cursors = [[p[0][0], 0, p] for p in lists]
+        bounds = self.coarse[[self.rows[t] for t in terms]].sum(axis=0)
+        for r in np.flatnonzero(bounds >= 1 - EPS).tolist():
+            self._wand(lists, r * self.width, (r + 1) * self.width, found)
+        return found
+
+    @staticmethod
+    def _wand(lists: list, lo: int, hi: int, found: dict[int, float]) -> None:
+        """Block-max WAND over the items from ``lo`` to before ``hi``."""
+        cursors = []
+        for p in lists:
+            at = bisect_left(p[0], lo)
+            if at < len(p[0]) and p[0][at] < hi:
+                cursors.append([p[0][at], at, p])
         while cursors:
             cursors.sort(key=lambda c: c[0])
             bound, pivot = 0.0, -1
@@ -120,10 +141,9 @@ class ItemIndex:
             for c in cursors[: last + 1]:
                 ids = c[2][0]
                 at = bisect_left(ids, to, c[1])
-                if at < len(ids):
+                if at < len(ids) and ids[at] < hi:
                     moved.append([ids[at], at, c[2]])
             cursors = moved + cursors[last + 1 :]
-        return found
 
     def search(self, text: str | None) -> list[tuple[int, float, int, bool, bool]]:
         """(item, best score, words in the longest matched span, prompt there, answer there) for each item that leaks."""

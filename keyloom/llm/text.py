@@ -11,7 +11,8 @@ TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>|\[/?(?:quote|b|i|u|s|url|img|si
 #: Characters that are never seen: format characters and combining marks.
 UNSEEN = re.compile("[­͏؜᠋-᠎​-‏‪-‮⁠-⁤︀-️﻿̀-ͯ҃-҉֑-ֽً-ٟ᪰-᫿᷀-᷿⃐-⃿︠-︯]")
 LINE_BREAK = re.compile(r"(?:[ \t\r\f\v]*\n[ \t>|]*)+")
-GAP = re.compile(r"[\W_]+")
+GAP = re.compile(r"([\W_]+)")
+BLANK = re.compile(r"\s")
 SOFT, HARD = 1, 2
 
 
@@ -36,22 +37,16 @@ def words_and_gaps(text: str) -> tuple[list[str], list[int]]:
     SOFT if it is only punctuation, quote marks or a line break, which may
     stand within a word as well as between two.
     """
-    text = folded(text)
+    parts = GAP.split(folded(text))
     words: list[str] = []
     gaps: list[int] = []
-    at, gap = 0, HARD
-    for m in GAP.finditer(text):
-        if m.start() > at:
-            words.append(text[at : m.start()])
-            gaps.append(gap)
-            gap = 0
-        sep = m.group()
-        hard = any(c.isspace() for c in sep)
-        gap = HARD if hard or gap == HARD and at == m.start() else SOFT
-        at = m.end()
-    if at < len(text):
-        words.append(text[at:])
-        gaps.append(gap)
+    if parts[0]:
+        words.append(parts[0])
+        gaps.append(HARD)
+    for gap, word in zip(parts[1::2], parts[2::2]):
+        if word:
+            gaps.append(HARD if gap == " " or not words or BLANK.search(gap) else SOFT)
+            words.append(word)
     return words, gaps
 
 
