@@ -61,6 +61,16 @@ def test_checkpoint_store(spark, tmp_path):
     assert store.prune(0) == [] and store.prune(2) == [2] and store.lsns() == [5, 3]
 
 
+def test_checkpoint_and_reset(spark, tmp_path):
+    store = recovery.CheckpointStore(spark, f"file://{tmp_path}/ck")
+    df = spark.createDataFrame(FIVE, LOG)
+    lsn, rest = store.checkpoint_and_reset(df.where("lsn <= 3"), ["key"], "lsn")
+    assert lsn == 3 and rest.count() == 0
+    lsn, _ = store.checkpoint_and_reset(df.where("lsn > 3"), ["key"], "lsn")
+    live = recovery.recover(store.load_latest()[1], df, ["key"], "lsn", lsn)
+    assert lsn == 5 and {(r.key, r.value) for r in live.collect()} == {("user:1", "ada-updated"), ("user:3", "katherine")}
+
+
 def test_sequence_faults(spark):
     df = spark.createDataFrame([("s", 1, 5), ("s", 2, 5), ("s", 3, 9), ("s", 4, 7)], "seg string, pos int, lsn bigint")
     assert sorted((r.lsn, r.previous_lsn) for r in recovery.sequence_faults(df, ["seg"], "pos", "lsn").collect()) == [(5, 5), (7, 9)]
