@@ -129,6 +129,25 @@ def schema_from_json(text: str) -> Schema:
     return out
 
 
+def declared_schemas(fields: DataFrame) -> dict[str, Schema]:
+    """The schema of each collection from rows (collection, name, field_type, flags, reference), fields in order of name.
+
+    The declaration itself (tens of rows) is read to the driver.
+    """
+    specs: dict[str, list[dict]] = {}
+    for r in fields.orderBy("collection", "name").collect():
+        kind = r["field_type"].strip()
+        spec = {"name": r["name"], "type": json.loads(kind) if kind[:1] == "{" else kind}
+        spec |= {k: r[f"is_{k}"] for k in ("primary", "optional", "indexed", "stored", "unique", "sort", "range_index")}
+        if r["ref_collection"] is not None:
+            spec["reference"] = {"collection": r["ref_collection"], "field": r["ref_field"]}
+        specs.setdefault(r["collection"], []).append(spec)
+    out = {c: Schema(c, tuple(map(parse_field, rows))) for c, rows in specs.items()}
+    for schema in out.values():
+        validate_schema(schema)
+    return out
+
+
 def validate_schema(schema: Schema) -> None:
     """Raise :class:`SchemaError` at the first rule the schema breaks."""
     if not IDENTIFIER.fullmatch(schema.name):
@@ -252,6 +271,14 @@ def validation_errors(doc: Column, schema: Schema) -> Column:
     return F.when(v.isNull(), F.array(F.lit("document: malformed"))).otherwise(listed)
 
 
+def collection_errors(collection: Column, doc: Column, schemas: dict[str, Schema]) -> Column:
+    """:func:`validation_errors` of documents of several collections, each by its own schema."""
+    out = F.array(F.lit("collection: undeclared"))
+    for name, schema in schemas.items():
+        out = F.when(collection == name, validation_errors(doc, schema)).otherwise(out)
+    return out
+
+
 def _codec_fault(text: str | None) -> str | None:
     if text is None:
         return "malformed"

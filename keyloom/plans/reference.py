@@ -220,6 +220,15 @@ def document_validation_errors(spark, d):
     return docs.select("store_id", "lsn", "collection", F.array_join(documents.validation_errors(F.col("document"), schema), "; ").alias("errors"))
 
 
+@query()
+def document_validation_all(spark, d):
+    """The documents of all collections against all fields that schema_fields declares; :func:`document_validation_errors` is a part of it that SQL can check."""
+    schemas = documents.declared_schemas(table(spark, d, "schema_fields"))
+    docs = table(spark, d, "schema_flush").where("document is not null").select("store_id", "lsn", "collection", "document").distinct()
+    errors = documents.collection_errors(F.col("collection"), F.col("document"), schemas)
+    return docs.select("store_id", "lsn", "collection", F.array_join(errors, "; ").alias("errors"))
+
+
 @query("select c_custkey, case when c_mktsegment = 'BUILDING' then 'Tower' else c_name end as c_name, c_nationkey + case when c_mktsegment = 'BUILDING' then 100 else 0 end as c_nationkey from customer")
 def partial_update(spark, d):
     docs = table(spark, d, "customer")
