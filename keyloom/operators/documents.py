@@ -227,56 +227,100 @@ def value_at(doc: Column, path: str) -> Column:
     return F.get_json_object(doc, "$." + path)
 
 
-def validation_errors(doc: Column, schema: Schema) -> Column:
-    """Array of "field: fault" for a document given as JSON text; empty if it is valid.
+def _unique_names(pairs: list[tuple]) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("repeated name")
+    return out
 
-    Faults: ``malformed`` (for the document), ``missing``, ``null``, ``type``,
-    ``range`` (int32), ``not_finite``.  Undeclared fields are accepted.  A
-    ``json`` field accepts anything.
-    """
-    v = F.try_parse_json(doc)
-    faults = []
-    for f in schema.fields:
-        path = "$." + f.name
-        raw = F.try_variant_get(v, path, "variant")
-        kind = F.schema_of_variant(raw)
-        absent, null = raw.isNull(), kind == "VOID"
-        k = f.type.kind
-        number = kind.isin("BIGINT") | kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
-        whole = F.try_variant_get(v, path, "bigint")
-        if k in ("int32", "int64"):
-            fault = F.when(kind != "BIGINT", "type")
-            if k == "int32":
-                fault = fault.when((whole > 2147483647) | (whole < -2147483648), "range")
-        elif k == "float":
-            x = F.try_variant_get(v, path, "double")
-            fault = F.when(~number, "type").when(F.isnan(x) | (F.abs(x) == float("inf")), "not_finite")
-        elif k == "string" or k == "bytes":
-            fault = F.when(kind != "STRING", "type")
-        elif k == "bool":
-            fault = F.when(kind != "BOOLEAN", "type")
-        elif k == "array":
-            fault = F.when(~kind.startswith("ARRAY"), "type")
-        elif k == "object":
-            fault = F.when(~kind.startswith("OBJECT"), "type")
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def _number(digits: str) -> int | float:
+    """An integer, or where it is longer than any declared type holds, a float."""
+    return int(digits) if len(digits) <= 20 else float(digits)
+
+
+def _value_faults(value, t: FieldType, path: str, out: list[str]) -> None:
+    fault = None
+    if t.kind == "object":
+        if isinstance(value, dict):
+            _field_faults(value, t.fields, path + ".", out)
+        else:
+            fault = "type"
+    elif t.kind == "array":
+        if isinstance(value, list):
+            for i, item in enumerate(value):
+                _value_faults(item, t.inner, f"{path}[{i}]", out)
         else:
-            fault = F.when(F.lit(False), "type")
-        allowed = F.lit(None).cast("string")
-        if f.optional:
-            what = F.when(absent | null, allowed).otherwise(fault)
+            fault = "type"
+    elif t.kind in ("int32", "int64"):
+        if type(value) is not int or not -(1 << 63) <= value < 1 << 63:
+            fault = "type"
+        elif t.kind == "int32" and not -(1 << 31) <= value < 1 << 31:
+            fault = "range"
+    elif t.kind == "float":
+        if type(value) not in (int, float):
+            fault = "type"
+        elif value in (float("inf"), float("-inf")):
+            fault = "not_finite"
+    elif t.kind == "bool":
+        fault = None if isinstance(value, bool) else "type"
+    elif t.kind in ("string", "bytes"):
+        fault = None if isinstance(value, str) else "type"
+    if fault is not None:
+        out.append(f"{path}: {fault}")
+
+
+def _field_faults(obj: dict, fields: tuple[Field, ...], prefix: str, out: list[str]) -> None:
+    for f in fields:
+        value = obj
+        for part in f.name.split("."):
+            if not isinstance(value, dict) or part not in value:
+                if not f.optional:
+                    out.append(f"{prefix}{f.name}: missing")
+                break
+            value = value[part]
         else:
-            what = F.when(absent, "missing").when(null, F.lit("null") if k != "json" else allowed).otherwise(fault)
-        faults.append(F.when(what.isNotNull(), F.concat(F.lit(f.name + ": "), what)))
-    listed = F.array_compact(F.array(*faults))
-    return F.when(v.isNull(), F.array(F.lit("document: malformed"))).otherwise(listed)
+            if value is not None:
+                _value_faults(value, f.type, prefix + f.name, out)
+            elif not f.optional and f.type.kind != "json":
+                out.append(f"{prefix}{f.name}: null")
+
+
+def _document_faults(text: str | None, schema: Schema) -> list[str]:
+    try:
+        doc = json.loads(text, parse_constant=_no_constant, parse_int=_number, object_pairs_hook=_unique_names)
+    except (TypeError, ValueError, RecursionError):
+        return ["document: malformed"]
+    if not isinstance(doc, dict):
+        return ["document: type"]
+    out: list[str] = []
+    _field_faults(doc, schema.fields, "", out)
+    return out
 
 
 def collection_errors(collection: Column, doc: Column, schemas: dict[str, Schema]) -> Column:
     """:func:`validation_errors` of documents of several collections, each by its own schema."""
-    out = F.array(F.lit("collection: undeclared"))
-    for name, schema in schemas.items():
-        out = F.when(collection == name, validation_errors(doc, schema)).otherwise(out)
-    return out
+
+    def errors(collections: pd.Series, docs: pd.Series) -> pd.Series:
+        return pd.Series([_document_faults(t, schemas[c]) if c in schemas else ["collection: undeclared"] for c, t in zip(collections, docs)], dtype=object)
+
+    return F.pandas_udf(errors, T.ArrayType(T.StringType()))(collection, doc)
+
+
+def validation_errors(doc: Column, schema: Schema) -> Column:
+    """Array of "path: fault" for a document given as JSON text; empty if it is valid.
+
+    Faults: ``malformed`` (for the document), ``missing``, ``null``, ``type``,
+    ``range`` (int32), ``not_finite``.  Declared objects and arrays are checked
+    to their innermost values, as in ``profile.name`` or ``tags[1]``; a null
+    element is of another type.  Undeclared fields are accepted.  A ``json``
+    field accepts anything.
+    """
+    return collection_errors(F.lit(schema.name), doc, {schema.name: schema})
 
 
 def _codec_fault(text: str | None) -> str | None:

@@ -37,3 +37,18 @@ def test_all_collections_and_fields(validate):
         ("firms", "{", "document: malformed"), ("firms", None, None), ("other", {"id": "x"}, "collection: undeclared"),
     ]
     assert validate([(c, d) for c, d, _ in cases]) == {i: e for i, (_, _, e) in enumerate(cases) if e is not None}
+
+
+def test_nested_values(validate):
+    def user(**over):
+        return ("users", {**USER, **over})
+
+    cases = [
+        (user(tags=["a", 1, None, "b"]), "tags[1]: type; tags[2]: type"), (user(profile={"name": 3}), "profile.name: type"), (user(profile={}), "profile.name: missing"), (user(profile={"name": None, "contacts": None}), "profile.name: null"),
+        (user(profile={"name": "n", "contacts": [{"kind": "k", "ok": "yes"}, 7, {"ok": None, "more": 1}]}), "profile.contacts[0].ok: type; profile.contacts[1]: type; profile.contacts[2].kind: missing"),
+        (user(profile={"name": "n", "contacts": {"kind": "k"}}), "profile.contacts: type"), (user(profile={"name": "n", "contacts": []}), ""), (user(profile=json.dumps({"name": "n"})), "profile: type"),
+        (user(created_at=True), "created_at: type"), (user(created_at=2**63), "created_at: type"), (user(created_at=1.0), "created_at: type"), (user(age=False), "age: type"),
+        (("firms", '{"id":"f","free":null,"rate":1e999}'), "rate: not_finite"), (("firms", '{"id":"f","free":1,"rate":1' + "0" * 5000 + "}"), "rate: not_finite"), (("firms", '{"id":"f","free":1,"rate":NaN}'), "document: malformed"),
+        (("firms", '{"id":"f","free":1,"rate":1,"rate":2}'), "document: malformed"), (("firms", "[1]"), "document: type"),
+    ]
+    assert validate([c for c, _ in cases]) == {i: e for i, (_, e) in enumerate(cases)}
