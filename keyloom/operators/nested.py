@@ -65,6 +65,31 @@ def object_paths(node: tuple, at: str = "") -> Iterator[tuple[str, dict]]:
             yield from object_paths(inner, at)
 
 
+def holds_scalars(node: tuple) -> bool:
+    """Whether a node is a scalar or an array of scalars, at any level."""
+    while node[0] == "array":
+        node = node[1]
+    return node[0] == "scalar"
+
+
+def flat_columns(fields: dict[str, tuple], prefix: str = "") -> dict[str, str]:
+    """Columns of an object's own values and their Spark types: scalars, arrays of scalars, and those of inline objects by dotted name."""
+    out: dict[str, str] = {}
+    for name, node in fields.items():
+        if node[0] == "object":
+            below = flat_columns(node[1], f"{prefix}{name}.")
+        else:
+            below = {prefix + name: _spark_type(node)} if holds_scalars(node) else {}
+        if out.keys() & below.keys():
+            raise ValueError(f"two fields named {sorted(out.keys() & below.keys())[0]!r}")
+        out |= below
+    return out
+
+
+def _spark_type(node: tuple) -> str:
+    return f"array<{_spark_type(node[1])}>" if node[0] == "array" else SCALARS.get(node[1], "string")
+
+
 def _no_constant(name: str):
     raise ValueError(name)
 
@@ -119,33 +144,53 @@ class Flattener:
         out: list[tuple] = []
         doc = decoded(doc, self.root)
         if isinstance(doc, dict):
-            self._object(doc, self.root[1], "", "", "", "", out)
+            self._object(doc, self.root[1], "", "", "", "", out, None, "")
         return out
 
-    def _object(self, obj: dict, fields: dict, path: str, field_path: str, ordinals: str, parent: str, out: list[tuple]) -> int:
-        """Emit the objects below ``obj``; returns its state. ``path`` is that of the nearest array element, ``field_path`` of this object."""
+    def _object(self, obj: dict, fields: dict, path: str, field_path: str, ordinals: str, parent: str, out: list[tuple], flat: dict | None, prefix: str) -> int:
+        """Emit the objects below ``obj``; returns its state. ``path`` is that of the nearest array element, ``field_path`` of this object.
+
+        ``flat``, unless None, takes the values of ``obj`` that are in no row below it, each under ``prefix`` and its name.
+        """
         shape = []
         for name, node in fields.items():
             if name not in obj:
                 continue
-            value, kind = obj[name], node[0]
+            given, kind = obj[name], node[0]
             if kind == "scalar":
-                shape.append((name, KINDS[type(value)]))
+                shape.append((name, KINDS[type(given)]))
+                if flat is not None:
+                    flat[prefix + name] = given
                 continue
-            value = decoded(value, node)
+            value = decoded(given, node)
             below = f"{field_path}.{name}" if field_path else name
             if kind == "object":
                 if isinstance(value, dict):
-                    shape.append((name, self._object(value, node[1], path, below, ordinals, parent, out)))
+                    shape.append((name, self._object(value, node[1], path, below, ordinals, parent, out, flat, f"{prefix}{name}.")))
                 else:
                     shape.append((name, KINDS[type(value)]))
+                    if flat is not None:
+                        flat[prefix + name] = given
             else:
-                shape.append((name, self._array(value, node[1], path, below, ordinals, out)))
+                misfits: dict[str, object] = {}
+                shape.append((name, self._array(value, node[1], path, below, ordinals, out, misfits, "")))
+                if flat is not None:
+                    if holds_scalars(node):
+                        flat[prefix + name] = value if isinstance(value, list) else given
+                    elif not isinstance(value, list) and not (isinstance(value, dict) and node[1][0] == "object"):
+                        flat[prefix + name] = given
+                    elif misfits:
+                        flat[prefix + name] = misfits
         extras = len(obj) > len(shape)
+        if extras and flat is not None:
+            flat |= {prefix + (json.dumps(k) if "." in k else k): v for k, v in obj.items() if k not in fields}
         return self.automaton.state((*shape, "+") if extras else tuple(shape))
 
-    def _array(self, value, element: tuple, path: str, below: str, ordinals: str, out: list[tuple]):
-        """Emit the elements of a declared array; the state is the set of its elements' states."""
+    def _array(self, value, element: tuple, path: str, below: str, ordinals: str, out: list[tuple], misfits: dict, at: str):
+        """Emit the elements of a declared array; the state is the set of its elements' states.
+
+        ``misfits`` takes the elements that give no row, by their positions from ``at`` on.
+        """
         if element[0] == "scalar":
             return KINDS[type(value)]
         if isinstance(value, dict) and element[0] == "object":
@@ -153,20 +198,25 @@ class Flattener:
         if not isinstance(value, list):
             return KINDS[type(value)]
         states = set()
-        for i, item in enumerate(value):
-            item = decoded(item, element)
+        for i, given in enumerate(value):
+            item = decoded(given, element)
             here = f"{ordinals}.{i}" if ordinals else str(i)
             if element[0] == "array":
-                states.add(self._array(item, element[1], path, below, here, out))
+                states.add(self._array(item, element[1], path, below, here, out, misfits, f"{at}{i}."))
+                if not isinstance(item, list) and not (isinstance(item, dict) and element[1][0] == "object"):
+                    misfits[f"{at}{i}"] = given
             elif isinstance(item, dict):
                 slot = len(out)
                 out.append(())
-                state = self._object(item, element[1], below, below, here, ordinals, out)
+                flat: dict | None = {} if self.payload else None
+                state = self._object(item, element[1], below, below, here, ordinals, out, flat, "")
                 payload = None
-                if self.payload:
-                    payload = json.dumps({k: v for k, v in item.items() if element[1].get(k, ("scalar",))[0] == "scalar"}, separators=(",", ":"))
+                if flat is not None:
+                    payload = json.dumps(flat, separators=(",", ":"))
                 out[slot] = (below, here, path, ordinals, state, len(item) > sum(k in element[1] for k in item), payload)
                 states.add(state)
+            else:
+                misfits[f"{at}{i}"] = given
         return self.automaton.state(("[]", *sorted(map(str, states))))
 
 
@@ -177,7 +227,14 @@ def flatten(documents: DataFrame, schema: dict[str, tuple], keep: Sequence[str],
     identify the document and are passed through.  Adds: path, ordinals,
     parent_path and parent_ordinals (empty for children of the document
     itself), shape (the automaton's state), extras (whether it has undeclared
-    fields) and payload (its scalar fields as JSON; null if not asked for).
+    fields) and payload (JSON; null if not asked for).  The payload has all
+    declared values of the object that are in no row below it: scalars, arrays of
+    scalars, and those of its inline objects under dotted names such as
+    ``terms.currency``; a value in place of an inline object or an array of
+    objects that is none, and the elements of such an array that are no objects,
+    by position.  It also has undeclared fields, names with a dot in quotes.
+    Values that belong to the document itself are in no row; they stay in the
+    document.
 
     An object in place of an array is its element 0; text in place of an array,
     object or element is read as the JSON it encodes, also several times over.
@@ -223,19 +280,20 @@ def one_copy(documents: DataFrame, ident: Sequence[str]) -> DataFrame:
 
 
 def subtype_table(children: DataFrame, schema: dict[str, tuple], collection: str, path: str, keep: Sequence[str], shape: int | None = None) -> DataFrame:
-    """The typed table of one path: keys, parent link, common columns, then the declared scalar fields.
+    """The typed table of one path: keys, parent link, common columns, the payload, then the columns of :func:`flat_columns`.
 
     With ``shape`` only rows of that structural variant are routed in.  A value
-    of another type than declared reads as null there; the payload keeps it.
+    of another type than declared reads as null, or as its text in a string
+    column; the payload has it as it was.
     """
     fields = dict(object_paths(schema[collection]))[path]
-    scalars = {k: SCALARS.get(n[1], "string") for k, n in fields.items() if n[0] == "scalar"}
+    columns = flat_columns(fields)
     rows = children.where((F.col("collection") == collection) & (F.col("path") == path))
     if shape is not None:
         rows = rows.where(F.col("shape") == F.lit(shape))
-    ddl = ", ".join(f"`{k}` {t}" for k, t in scalars.items())
+    ddl = ", ".join(f"`{k}` {t}" for k, t in columns.items())
     typed = F.from_json("payload", ddl, {"mode": "PERMISSIVE"})
-    return rows.withColumn("kl_typed", typed).select(*keep, "ordinals", "parent_ordinals", "shape", *[F.col(f"kl_typed.`{k}`").alias(k) for k in scalars])
+    return rows.withColumn("kl_typed", typed).select(*keep, "ordinals", "parent_ordinals", "shape", "payload", *[F.col(f"kl_typed.`{k}`").alias(k) for k in columns])
 
 
 def declared_schema(fields: DataFrame) -> dict[str, tuple]:

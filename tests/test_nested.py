@@ -57,3 +57,26 @@ def test_flatten_and_typed_tables(spark):
 
 def test_paths_of_a_schema():
     assert [p for p, _ in object_paths(SCHEMA["c"])] == ["items", "items.in.rows", "grid"]
+
+
+FLAT = compile_fields([("c", "items", json.dumps({"array": {"object": [
+    {"name": "n", "type": "int32"}, {"name": "marks", "type": "int32[]"}, {"name": "grid", "type": {"array": {"array": "string"}}},
+    {"name": "terms", "type": {"object": [{"name": "currency", "type": "string"}, {"name": "geo", "type": {"object": [{"name": "lat", "type": "float"}]}}, {"name": "rows", "type": {"array": {"object": [{"name": "v", "type": "int32"}]}}}]}},
+]}}))])
+
+
+def test_tables_keep_values_of_inline_objects_and_misfits(spark):
+    items = [
+        {"n": 1, "marks": [1, 2], "grid": [["a"], []], "terms": {"currency": "c", "geo": {"lat": 1.5}, "rows": [{"v": 1}, 7, None]}},
+        {"n": "x", "marks": "[3]", "terms": json.dumps({"currency": "d", "geo": "none"})}, {"marks": [1, "y"], "terms": 5, "more": 1, "terms.currency": "no"}, {"n": 3, "terms": {"rows": "z", "x": [1]}},
+    ]
+    df = spark.createDataFrame([("s", 1, "c", json.dumps({"items": items}), None)], DOC)
+    kids = flatten(df, FLAT, ["lsn"])
+    got = {r.ordinals: r for r in subtype_table(kids, FLAT, "c", "items", ["lsn"]).collect()}
+    assert [(r["n"], r["terms.currency"], r["terms.geo.lat"]) for _, r in sorted(got.items())] == [(1, "c", 1.5), (None, "d", None), (None, None, None), (3, None, None)]
+    assert got["0"]["marks"] == [1, 2] and got["0"]["grid"] == [["a"], []] and got["1"]["marks"] == [3]
+    assert {k: json.loads(r.payload) for k, r in got.items()} == {
+        "0": {"n": 1, "marks": [1, 2], "grid": [["a"], []], "terms.currency": "c", "terms.geo.lat": 1.5, "terms.rows": {"1": 7, "2": None}},
+        "1": {"n": "x", "marks": [3], "terms.currency": "d", "terms.geo": "none"}, "2": {"marks": [1, "y"], "terms": 5, "more": 1, '"terms.currency"': "no"}, "3": {"n": 3, "terms.rows": "z", "terms.x": [1]},
+    }
+    assert [r.v for r in subtype_table(kids, FLAT, "c", "items.terms.rows", ["lsn"]).collect()] == [1]
