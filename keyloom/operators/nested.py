@@ -5,8 +5,9 @@ parse each document once and walk it along that tree.  A bottom-up tree
 automaton gives every object a state that stands for its shape: which declared
 fields it has, of what kind, and the states of its children.  Equal shapes have
 equal states on all workers.  Each object becomes one row that carries its path,
-its position, its parent's position and its state; :func:`subtype_table` routes
-the rows of one path (and, if wanted, of one variant) into a typed table.
+its position, its parent's position and its state; :func:`subtype_table` makes
+a typed table of the rows of one path (and, if wanted, of one variant), and
+:func:`route` does so for all paths from one walk.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 # The scalar type names of the schema language and their Spark types.
 SCALARS = {"string": "string", "int32": "int", "int64": "bigint", "float": "double", "bool": "boolean", "json": "string", "bytes": "binary"}
@@ -173,7 +175,7 @@ class Flattener:
                         flat[prefix + name] = given
             else:
                 misfits: dict[str, object] = {}
-                shape.append((name, self._array(value, node[1], path, below, ordinals, out, misfits, "")))
+                shape.append((name, self._array(value, node[1], path, below, ordinals, ordinals, out, misfits, "")))
                 if flat is not None:
                     if holds_scalars(node):
                         flat[prefix + name] = value if isinstance(value, list) else given
@@ -186,10 +188,11 @@ class Flattener:
             flat |= {prefix + (json.dumps(k) if "." in k else k): v for k, v in obj.items() if k not in fields}
         return self.automaton.state((*shape, "+") if extras else tuple(shape))
 
-    def _array(self, value, element: tuple, path: str, below: str, ordinals: str, out: list[tuple], misfits: dict, at: str):
+    def _array(self, value, element: tuple, path: str, below: str, ordinals: str, parent: str, out: list[tuple], misfits: dict, at: str):
         """Emit the elements of a declared array; the state is the set of its elements' states.
 
-        ``misfits`` takes the elements that give no row, by their positions from ``at`` on.
+        ``parent`` is the position of the nearest element around it; in an array of
+        arrays ``ordinals`` goes on from there.  ``misfits`` takes the elements that give no row, by their positions from ``at`` on.
         """
         if element[0] == "scalar":
             return KINDS[type(value)]
@@ -202,18 +205,18 @@ class Flattener:
             item = decoded(given, element)
             here = f"{ordinals}.{i}" if ordinals else str(i)
             if element[0] == "array":
-                states.add(self._array(item, element[1], path, below, here, out, misfits, f"{at}{i}."))
+                states.add(self._array(item, element[1], path, below, here, parent, out, misfits, f"{at}{i}."))
                 if not isinstance(item, list) and not (isinstance(item, dict) and element[1][0] == "object"):
                     misfits[f"{at}{i}"] = given
             elif isinstance(item, dict):
                 slot = len(out)
                 out.append(())
                 flat: dict | None = {} if self.payload else None
-                state = self._object(item, element[1], below, below, here, ordinals, out, flat, "")
+                state = self._object(item, element[1], below, below, here, parent, out, flat, "")
                 payload = None
                 if flat is not None:
                     payload = json.dumps(flat, separators=(",", ":"))
-                out[slot] = (below, here, path, ordinals, state, len(item) > sum(k in element[1] for k in item), payload)
+                out[slot] = (below, here, path, parent, state, len(item) > sum(k in element[1] for k in item), payload)
                 states.add(state)
             else:
                 misfits[f"{at}{i}"] = given
@@ -293,7 +296,23 @@ def subtype_table(children: DataFrame, schema: dict[str, tuple], collection: str
         rows = rows.where(F.col("shape") == F.lit(shape))
     ddl = ", ".join(f"`{k}` {t}" for k, t in columns.items())
     typed = F.from_json("payload", ddl, {"mode": "PERMISSIVE"})
-    return rows.withColumn("kl_typed", typed).select(*keep, "ordinals", "parent_ordinals", "shape", "payload", *[F.col(f"kl_typed.`{k}`").alias(k) for k in columns])
+    return rows.withColumn("kl_typed", typed).select(*keep, "ordinals", "parent_path", "parent_ordinals", "shape", "payload", *[F.col(f"kl_typed.`{k}`").alias(k) for k in columns])
+
+
+def route(children: DataFrame, schema: dict[str, tuple], keep: Sequence[str], folder: str) -> dict[tuple[str, str], DataFrame]:
+    """Write the rows of :func:`flatten` in one pass, a part per collection and path; the typed table of each by (collection, path).
+
+    Within a part's files rows are sorted by shape, so :func:`routed_variant`
+    reads only the row groups of its variant.  A task writes at most one file a
+    path.  ``folder`` must be shared by all executors and not exist.
+    """
+    children.sortWithinPartitions("collection", "path", "shape").write.mode("error").partitionBy("collection", "path").parquet(folder)
+    return {(c, p): routed_variant(children.sparkSession, folder, children.schema, schema, c, p, keep) for c, node in schema.items() for p, _ in object_paths(node)}
+
+
+def routed_variant(spark: SparkSession, folder: str, written: StructType, schema: dict[str, tuple], collection: str, path: str, keep: Sequence[str], shape: int | None = None) -> DataFrame:
+    """The typed table of a path, or of one of its variants, from what :func:`route` wrote; ``written`` is the schema of those rows."""
+    return subtype_table(spark.read.schema(written).parquet(folder), schema, collection, path, keep, shape)
 
 
 def declared_schema(fields: DataFrame) -> dict[str, tuple]:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keyloom.functions.keys import key_text
 from keyloom.operators import changefeed, dedupe, incremental, nested, orphans, skew
-from keyloom.session import table
+from keyloom.session import shared_dir, table
 
 # ---------------------------------------------------------------- problem 1
 
@@ -127,6 +129,19 @@ def p4_deal_rows(spark: SparkSession, d: str) -> DataFrame:
     return nested.subtype_table(rows, schema, "companies", "deals.terms.rows", ["store_id", "lsn"])
 
 
+def p4_routed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of the typed tables of all declared paths and variants, with parent links and their typed columns as JSON."""
+    rows, schema = _children(spark, d, payload=True)
+    folder = f"{shared_dir(spark).rstrip('/')}/routed-{uuid.uuid4().hex}"
+    out = None
+    for (collection, path), t in nested.route(rows, schema, ["store_id", "lsn"], folder).items():
+        link = ["store_id", "lsn", "ordinals", "parent_path", "parent_ordinals", "shape"]
+        typed = F.to_json(F.struct(*[F.col(f"`{c}`").alias(c) for c in t.columns if c not in (*link, "payload")]))
+        part = t.select(F.lit(collection).alias("collection"), F.lit(path).alias("path"), *link, typed.alias("typed"), "payload")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # ---------------------------------------------------------------- problem 5
 
 #: Identifier and tie-break of each log that is delivered at least once.
@@ -205,6 +220,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_shapes": p4_shapes,
     "p4_deal_rows": p4_deal_rows,
+    "p4_routed_rows": p4_routed_rows,
     "p5_found": p5_found,
     "p5_unique_flush": p5_unique_flush,
     "p5_new_messages": p5_new_messages,

@@ -1,6 +1,9 @@
 import json
+import os
 
-from keyloom.operators.nested import Flattener, compile_fields, flatten, object_paths, one_copy, subtype_table
+import __spark_entry__ as entry
+import pytest
+from keyloom.operators.nested import Flattener, compile_fields, flatten, object_paths, one_copy, route, routed_variant, subtype_table
 from pyspark.sql import functions as F
 
 SCHEMA = compile_fields([
@@ -80,3 +83,26 @@ def test_tables_keep_values_of_inline_objects_and_misfits(spark):
         "1": {"n": "x", "marks": [3], "terms.currency": "d", "terms.geo": "none"}, "2": {"marks": [1, "y"], "terms": 5, "more": 1, '"terms.currency"': "no"}, "3": {"n": 3, "terms.rows": "z", "terms.x": [1]},
     }
     assert [r.v for r in subtype_table(kids, FLAT, "c", "items.terms.rows", ["lsn"]).collect()] == [1]
+
+
+def test_all_paths_and_variants_are_routed(spark, tmp_path, as_rows):
+    items = [{"n": 1, "in": {"rows": [{"v": 1}, {"v": "bad"}]}}, {"n": 2, "in": {"rows": [{}]}}, {"n": 3}]
+    df = spark.createDataFrame([("s", 1, "c", json.dumps({"items": items, "grid": [[{"x": 1}], [{"x": 2}]]}), None)], DOC)
+    kids = flatten(df, SCHEMA, ["lsn"])
+    folder = f"{tmp_path}/routed"
+    tables = route(kids, SCHEMA, ["lsn"], folder)
+    assert sorted(tables) == [("c", "grid"), ("c", "items"), ("c", "items.in.rows")]
+    link = ["ordinals", "parent_path", "parent_ordinals"]
+    assert as_rows(tables["c", "items.in.rows"], *link, "v") == [("0.0", "items", "0", 1.0), ("0.1", "items", "0", None), ("1.0", "items", "1", None)]
+    assert as_rows(tables["c", "grid"], *link, "x") == [("0.0", "", "", 1), ("1.0", "", "", 2)] and as_rows(tables["c", "items"], "n") == [(1,), (2,), (3,)]
+    for (c, p), t in tables.items():
+        shapes = [r["shape"] for r in t.select("shape").distinct().collect()]
+        parts = [as_rows(routed_variant(spark, folder, kids.schema, SCHEMA, c, p, ["lsn"], s), "ordinals") for s in shapes]
+        assert sorted(sum(parts, [])) == as_rows(t, "ordinals") and len(shapes) == {"items": 3, "items.in.rows": 3, "grid": 1}[p]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_routed_rows_are_all_rows(spark, as_rows):
+    rows = {name: entry.queries()[name](spark, "/root/testdata/sf0.001") for name in ("p4_routed_rows", "p4_found")}
+    ident = ["store_id", "lsn", "path", "ordinals"]
+    assert as_rows(rows["p4_routed_rows"], *ident) == as_rows(rows["p4_found"], *ident)
