@@ -39,9 +39,9 @@ def wal(spark: SparkSession, d: str) -> DataFrame:
     return w.select("store_id", "collection", key_text(F.col("key")).alias("rec_key"), "lsn", "op", "version", "value")
 
 
-def hot_state(spark: SparkSession, d: str) -> DataFrame:
-    """Last event per user as an object with its bookkeeping; a tick is a thousandth event."""
-    e = table(spark, d, "events")
+def hot_state(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
+    """Last event per user, of all or of the given ones, as an object with its bookkeeping; a tick is a thousandth event."""
+    e = table(spark, d, "events") if events is None else events
     last = e.groupBy("user_id").agg(F.max(F.struct("event_id", "event_type", "value")).alias("b"), F.count(F.lit(1)).alias("n"))
     return last.select(F.col("user_id").alias("key"), F.col("b.event_id").alias("version"), F.col("b.event_id").alias("last_touch"), (F.col("b.event_type") == "click").alias("dirty"), (F.col("b.event_type") == "error").alias("tombstone"), F.col("b.value").alias("value"))
 
@@ -447,9 +447,9 @@ def demotion_report(spark, d):
     return expiry.demotion_report(hot, _now(hot))
 
 
-def _cold(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Every event but errors as a cold record in one of four generations, errors as tombstones."""
-    e = table(spark, d, "events")
+def _cold(spark: SparkSession, d: str, events: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Every event, of all or of the given ones, but errors as a cold record in one of four generations, errors as tombstones."""
+    e = table(spark, d, "events") if events is None else events
     gen = F.shiftright("event_id", 2) % 4
     cold = e.where("event_type <> 'error'").select(F.col("user_id").alias("key"), gen.alias("generation"), F.col("event_id").alias("version"), "value", F.col("event_id").alias("last_touch"), F.lit(0).alias("expires_at"), F.lit(0).alias("tti_ticks"))
     return cold, e.where("event_type = 'error'").select(F.col("user_id").alias("key"), F.col("event_id").alias("version"))
@@ -487,6 +487,50 @@ def promotion_guard(spark, d):
     return expiry.promotable(cold, hot_state(spark, d).where("key % 3 = 0"), buried, ["key"], now=0).select("key", "version")
 
 
+def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every event in one of two parts that take turns in blocks of 1024, so that a key may be newer in either."""
+    e = table(spark, d, "events")
+    block = F.shiftright("event_id", 10) % 2
+    return e.where(block == 0), e.where(block == 1)
+
+
+_TIERS = """
+halves as (select *, (event_id >> 10) % 2 as half from events),
+ranked as (select *, row_number() over (partition by user_id order by event_id desc) as rn from halves where half = 0),
+hot as (select user_id as key, event_id as version, event_type = 'error' as tombstone, value from ranked where rn = 1),
+cold as (select user_id as key, event_id as version, value, row_number() over (partition by user_id order by (event_id >> 2) % 4 desc, event_id desc) as rn from halves where half = 1 and event_type <> 'error'),
+buried as (select user_id as key, max(event_id) as version from halves where half = 1 and event_type = 'error' group by user_id),
+seen as (select c.key, c.version, c.value from cold c left join buried b on b.key = c.key where c.rn = 1 and (b.version is null or b.version < c.version))
+"""
+
+
+@query(f"""
+with {_TIERS}
+select coalesce(h.key, s.key) as key, case when h.key is null or s.version > h.version then s.version else h.version end as version,
+  case when h.key is null or s.version > h.version then s.value else h.value end as value, case when h.key is null or s.version > h.version then 'cold' else 'hot' end as tier
+from hot h full join seen s on s.key = h.key where not coalesce(h.tombstone, false)""")
+def cold_read_through_all(spark, d):
+    """All keys of both tiers, each event in one of them."""
+    hot, cold = _halves(spark, d)
+    return expiry.read_through(hot_state(spark, d, hot), *_cold(spark, d, cold), ["key"])
+
+
+@query(f"with {_TIERS} select s.key, s.version from seen s where not exists (select 1 from hot h where h.key = s.key and h.version >= s.version)")
+def promotion_guard_all(spark, d):
+    hot, cold = _halves(spark, d)
+    records, buried = _cold(spark, d, cold)
+    return expiry.promotable(records, hot_state(spark, d, hot), buried, ["key"], now=0).select("key", "version")
+
+
+@query("""
+with held as (select user_id, max(event_id) as v from events where (event_id >> 10) % 2 = 0 group by user_id)
+select e.event_id as lsn, e.user_id as key from events e left join held h on h.user_id = e.user_id where (e.event_id >> 10) % 2 = 1 and (h.v is null or e.event_id > h.v)""")
+def drop_stale_all(spark, d):
+    """A batch of one half of the events against what is stored of the other."""
+    stored, batch = (e.select(F.col("event_id").alias("lsn"), F.col("user_id").alias("key")) for e in _halves(spark, d))
+    return log.drop_stale(batch, stored, ["key"], "lsn")
+
+
 # ----------------------------------------------------------------- dense lanes
 
 
