@@ -11,7 +11,7 @@ from collections import deque
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from keyloom.operators.segments import running_sum
 
@@ -88,12 +88,17 @@ def cardinality(requested: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return requested.select(key).join(sizes, key, "left").select(key, F.coalesce("kl_n", F.lit(0).cast("bigint")).alias("size"))
 
 
-def counters(commands: DataFrame, key: str, delta: str) -> DataFrame:
+def counters(commands: DataFrame, key: str, delta: str, seq: str | None = None) -> DataFrame:
     """Checked sums from 0; a key whose sum leaves the 64-bit range gets null and ``overflow`` true.
 
-    This is the state after all commands where none overflows on the way; use
-    :func:`counter_log` where intermediate overflow must be told apart.
+    This is the state after all commands where none overflows on the way.  With
+    ``seq``, commands that overflow in its order are refused as by
+    :func:`counter_log`: the value is what the others leave, and ``overflow``
+    tells whether any was refused.
     """
+    if seq is not None:
+        log = counter_log(commands, key, delta, seq)
+        return log.groupBy(key).agg(F.max_by(F.struct("after"), seq)["after"].alias("value"), F.bool_or("overflow").alias("overflow"))
     total = F.sum(F.col(delta).cast("decimal(38,0)"))
     out = commands.groupBy(key).agg(total.alias("kl_t"))
     fits = F.col("kl_t").between(F.lit(-MAX_I64 - 1), F.lit(MAX_I64))
@@ -101,14 +106,36 @@ def counters(commands: DataFrame, key: str, delta: str) -> DataFrame:
 
 
 def counter_log(commands: DataFrame, key: str, delta: str, seq: str) -> DataFrame:
-    """Each command with the counter before and after it, as a wrapping add would return them.
+    """Each command with the counter before and after it; one that overflows is refused, marked and leaves it as it was.
 
-    Overflowing commands are marked; they leave a checked counter as it was, so
-    the running sum is exact up to a key's first mark.
+    Keys whose increments or decrements add up to less than the 64-bit range
+    can't overflow and get a running sum.  The others are replayed, a key by one
+    task in order of ``seq``, as a stream of sorted batches.
     """
-    out = running_sum(commands, [key], seq, F.col(delta).cast("decimal(28,0)"), "kl_a")
-    fits = F.col("kl_a").between(F.lit(-MAX_I64 - 1), F.lit(MAX_I64))
-    return out.withColumn("after", F.when(fits, F.col("kl_a").cast("bigint"))).withColumn("before", F.when(fits, (F.col("kl_a") - F.col(delta)).cast("bigint"))).withColumn("overflow", ~fits).drop("kl_a")
+    d = F.col(delta).cast("decimal(28,0)")
+    ups, downs = F.sum(F.when(d > 0, d)), F.sum(F.when(d < 0, d))
+    able = commands.groupBy(F.col(key).alias("kl_able")).agg(ups.alias("kl_up"), downs.alias("kl_down"))
+    able = able.where((F.col("kl_up") > F.lit(MAX_I64)) | (F.col("kl_down") < F.lit(-MAX_I64 - 1))).select("kl_able")
+    match = F.col(key).eqNullSafe(F.col("kl_able"))
+    sums = running_sum(commands.join(able, match, "left_anti"), [key], seq, d, "kl_a")
+    sums = sums.withColumn("after", F.col("kl_a").cast("bigint")).withColumn("before", (F.col("kl_a") - F.col(delta)).cast("bigint")).withColumn("overflow", F.lit(False)).drop("kl_a")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, value = object(), 0
+        for batch in batches:
+            after, before, refused = [], [], []
+            for k, by in zip(batch.column(key).to_pylist(), batch.column(delta).to_pylist()):
+                if k != current:
+                    current, value = k, 0
+                fits = by is None or -MAX_I64 - 1 <= value + by <= MAX_I64
+                before.append(None if by is None else value)
+                value += (by or 0) if fits else 0
+                after.append(value)
+                refused.append(not fits)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(after, pa.int64()), pa.array(before, pa.int64()), pa.array(refused, pa.bool_())], names=[*batch.schema.names, "after", "before", "overflow"])
+
+    schema = T.StructType([*commands.schema.fields, T.StructField("after", T.LongType()), T.StructField("before", T.LongType()), T.StructField("overflow", T.BooleanType())])
+    return sums.unionByName(commands.join(able, match, "left_semi").repartition(key).sortWithinPartitions(key, seq).mapInArrow(work, schema))
 
 
 def wrapping_counters(commands: DataFrame, key: str, delta: str) -> DataFrame:
