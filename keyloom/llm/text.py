@@ -72,7 +72,8 @@ RULE = re.compile(r"<hr\s*/?>", re.I)
 BREAK = re.compile(r"<br\s*/?>|</?p\s*/?>|</?div[^<>]*>|</?li[^<>]*>", re.I)
 ATTRIBUTION = re.compile(r"^\s*\(?[\w.\-]+\)?\s*$")
 PROFILE = re.compile(r"posting since|board rank|meetup\s*$|\]my page\[|^\s*<small>.*</small>\s*$|\s::\s|^\W*(?:\[i\])?(?:proud member of|my other hobby is|sent from my)\b", re.I)
-CODE = re.compile(r"\[code\].*?(?:\[/code\]|$)|<pre[^<>]*>.*?(?:</pre>|$)|```.*?(?:```|$)", re.S | re.I)
+CODE_OPEN = re.compile(r"(\[code\])|(<pre[^<>]*>)|(```)", re.I)
+CODE_CLOSE = (re.compile(r"\[/code\]", re.I), re.compile(r"</pre>", re.I), re.compile("```"))
 SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)]*\s+|\n+")
 
 
@@ -146,6 +147,27 @@ def without_quotes(text: str) -> tuple[str, int]:
     return "\n".join(out), quotes
 
 
+def without_code(text: str) -> tuple[str, int]:
+    """The text without code, and how many pieces it had.
+
+    A mark that is never closed takes the rest of its line, or only itself if
+    that is the last line, so that no words after a stray mark are lost.
+    """
+    out: list[str] = []
+    at, pieces = 0, 0
+    open_ended: set[int] = set()
+    while m := CODE_OPEN.search(text, at):
+        kind = m.lastindex - 1
+        close = None if kind in open_ended else CODE_CLOSE[kind].search(text, m.end())
+        if close is None:
+            open_ended.add(kind)
+        out.append(text[at : m.start()])
+        line = text.find("\n", m.end())
+        at = close.end() if close else line if line >= 0 else m.end()
+        pieces += 1
+    return "\n".join([*out, text[at:]]), pieces
+
+
 def without_signature(text: str) -> tuple[str, bool]:
     """The text up to its signature, and whether there was one."""
     found = False
@@ -173,7 +195,7 @@ def own_sentences(text: str | None) -> tuple[list[str], dict[str, float]]:
     if not text:
         return [], {"quotes": 0, "signature": 0, "code": 0, "sentences": 0}
     bare, quotes = without_quotes(text)
-    bare, code = CODE.subn("\n", bare)
+    bare, code = without_code(bare)
     bare, signed = without_signature(bare)
     bare = BREAK.sub("\n", bare)
     bare = html.unescape(TAG.sub(" ", bare))
