@@ -30,14 +30,14 @@ def folded(text: str) -> str:
     return LINE_BREAK.sub("\x01", text)
 
 
-def words_and_gaps(text: str) -> tuple[list[str], list[int]]:
-    """Words of the rendered text and, for each, what stands before it.
+def words_and_gaps(text: str, as_folded: bool = False) -> tuple[list[str], list[int]]:
+    """Words of the rendered text and, for each, what stands before it.  ``as_folded``: the text has been folded.
 
     A gap is HARD if it holds a blank, hence separates words in any case, and
     SOFT if it is only punctuation, quote marks or a line break, which may
     stand within a word as well as between two.
     """
-    parts = GAP.split(folded(text))
+    parts = GAP.split(text if as_folded else folded(text))
     words: list[str] = []
     gaps: list[int] = []
     if parts[0]:

@@ -66,8 +66,8 @@ def brute(text, rows, run=13):
 def test_finds_exactly_what_brute_force_finds():
     rng = random.Random(11)
     rows = items(rng)
-    index = ItemIndex(rows)
-    hits = 0
+    index = ItemIndex.of(rows)
+    hits, texts, wanted = 0, [], []
     for _ in range(400):
         target = plain_words(rng.choice(rows)[2] or "x")
         n = rng.choice([5, 11, 12, 13, 14, 30])
@@ -75,13 +75,27 @@ def test_finds_exactly_what_brute_force_finds():
         text = passage(rng, rng.randrange(40)) + " " + disguised(rng, target[at : at + n]) + " " + passage(rng, rng.randrange(200))
         got = {index.items[d][0] for d, *_ in index.search(text)}
         assert got == brute(text, rows)
+        texts.append(text)
+        wanted.append(index.search(text))
         hits += len(got)
     assert hits > 100
+    together = list(index.search_all([None, "", *texts, "..."]))
+    assert [(i, *row) for i, rows_ in enumerate(wanted, 2) for row in rows_] == together
+
+
+def test_ranges_of_one_and_of_many_items_find_the_same(monkeypatch):
+    rng = random.Random(14)
+    rows = items(rng, 90)
+    texts = [passage(rng, 30) + " " + " ".join(plain_words(rng.choice(rows)[2] or "x")[:20]) for _ in range(150)]
+    fine = list(ItemIndex.of(rows).search_all(texts))
+    monkeypatch.setattr("keyloom.llm.leakage.COARSE", 7)
+    index = ItemIndex.of(rows)
+    assert index.width > 1 and list(index.search_all(texts)) == fine and len(fine) > 50
 
 
 def test_block_max_wand_equals_full_scoring():
     rng = random.Random(12)
-    index = ItemIndex(items(rng, 150))
+    index = ItemIndex.of(items(rng, 150))
     for _ in range(300):
         terms = tuple(set(rng.sample(sorted(index.postings), rng.randrange(1, 20))))
         full = {}
@@ -95,7 +109,7 @@ def test_block_max_wand_equals_full_scoring():
 
 @pytest.mark.parametrize("text,leak", [("one two three four", True), ("one twothree four", False), ("one two threefour", False), ("xone two three four", False), ("one two, three\nfour", True), ("one two th-\nree four", True), ("one two th ree four", False), ("one two th<i>ree four", False)])
 def test_word_boundaries(text, leak):
-    index = ItemIndex([("i", None, "One two three four", None)])
+    index = ItemIndex.of([("i", None, "One two three four", None)])
     assert bool(index.search(text)) is leak
 
 
@@ -110,4 +124,7 @@ def test_on_a_frame(spark):
     want = [(d, i) for d, t in docs for i in brute(t, rows)]
     assert sorted(((r.doc_id, r.item_id) for r in got), key=repr) == sorted(want, key=repr)
     assert any(r.prompt_overlap for r in got if r.doc_id == 5) and not any(r.prompt_overlap for r in got if r.doc_id == 1)
+    scores = {(r.doc_id, r.item_id): r.score for r in got}
+    small = leaks(df, frame.union(frame), index_bytes=300).collect()
+    assert len(small) == len(got) and all(abs(scores[r.doc_id, r.item_id] - r.score) < 1e-9 for r in small)
     assert leaks(df.limit(0), frame).count() == 0 and leaks(df, frame.limit(0)).count() == 0
