@@ -80,3 +80,34 @@ def cut(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def file_system(spark: SparkSession, path: str):
+    """The path and its file system, as Hadoop sees them."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def file_bytes(spark: SparkSession, path: str) -> bytes:
+    """A file's content, read by the driver; for small files such as manifests and models."""
+    p, fs = file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
+def publish_bytes(spark: SparkSession, path: str, data: bytes, overwrite: bool = True) -> bool:
+    """Write a small file so that readers see all of it or nothing; false if it is there already and must not be overwritten."""
+    p, fs = file_system(spark, path)
+    tmp, _ = file_system(spark, f"{p.getParent()}/_{p.getName()}.{uuid.uuid4().hex}")
+    stream = fs.create(tmp, True)
+    stream.write(bytearray(data))
+    stream.close()
+    if overwrite:
+        fs.delete(p, False)
+    elif fs.exists(p):
+        fs.delete(tmp, False)
+        return False
+    return fs.rename(tmp, p)
