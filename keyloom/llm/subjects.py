@@ -1,47 +1,115 @@
 """Subject areas of posts (problem 9).
 
-Terms are the n-grams of the author's own sentences.  A sentence model gives
+Terms are hashed n-grams of the author's own sentences.  A sentence model gives
 each sentence a distribution over the subjects and none; it is trained on
 posts' labels by expectation-maximisation, since labels say of what a post has
 at least two sentences but not which.  A chain of calibrated classifiers then
-decides on each subject from the sentence evidence, the source and the structure of the post
-and the subjects decided before it; beam search finds the best combination.
+decides on each subject from the terms of the whole post, the sentence
+evidence, the source and the structure of the post and the subjects decided
+before it; beam search finds the best combination.  All of it works on arrays
+that hold many posts at once.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
+import io
+import json
+import unicodedata
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keyloom.llm.text import folded, own_sentences
+from keyloom.llm.arrays import DIGIT, HashIndex, Words, blocks, joined2, plain, word_hash
+from keyloom.llm.text import ROLES, UNSEEN, own_sentences
+from keyloom.session import file_bytes, publish_bytes
 
 #: Labelled posts that are read for training, chosen by a hash of their id.
 MAX_TRAIN = 8000
-NONE = "none"
-GRAMS = 3
+#: Sentences of the training posts that a term must stand in.
+MIN_SENTENCES = 6
 BEAM = 8
-WORD = re.compile(r"[^\W\d_]+|\d+")
+FOLDS = 3
+NUMBER = np.uint64(word_hash("#"))
 
 
-def terms(sentence: str) -> list[str]:
-    """The distinct n-grams of a sentence, up to GRAMS words, numbers as one sign, with its ends marked."""
-    words = ["#" if w[0].isdigit() else w for w in WORD.findall(folded(sentence))]
-    out = set(words)
-    for n in range(2, GRAMS + 1):
-        out.update(" ".join(words[i : i + n]) for i in range(len(words) - n + 1))
-    return list(out)
+# ---------------------------------------------------------------- terms
+
+
+@dataclass
+class Posts:
+    """Own sentences of some posts: hashed terms by sentence, roles and structure."""
+
+    #: Terms in order of sentences, and the sentence of each.
+    terms: np.ndarray
+    term_sentence: np.ndarray
+    #: The post of each sentence, and its role.
+    owner: np.ndarray
+    roles: np.ndarray
+    #: Per post: sentences, quotes, rules, code.
+    structure: np.ndarray
+
+    def part(self, wanted: np.ndarray) -> Posts:
+        """The posts of a mask, renumbered."""
+        number = np.cumsum(wanted) - 1
+        keep = wanted[self.owner]
+        sentence = np.cumsum(keep) - 1
+        inside = keep[self.term_sentence]
+        return Posts(self.terms[inside], sentence[self.term_sentence[inside]], number[self.owner[keep]], self.roles[keep], self.structure[wanted])
+
+
+def _seen(sentences: list[str]) -> str:
+    """Sentences joined by NUL, with case, accents and letter forms folded (ASCII case is left to the arrays)."""
+    text = "\x00".join(sentences)
+    if not text.isascii():
+        text = UNSEEN.sub("", unicodedata.normalize("NFKD", UNSEEN.sub("", unicodedata.normalize("NFKD", text)).casefold()))
+        text = "\x00".join(map(plain, text.split("\x00")))
+    return text
+
+
+def sentence_terms(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams up to three words of sentences joined by NUL, numbers as one sign, and the sentence of each."""
+    words = Words(texts, digits_apart=True)
+    n = len(words.at)
+    one = words.word_hashes()
+    one[words.kind[words.at] == DIGIT] = NUMBER
+    grams = np.zeros((n, 3), np.uint64)
+    given = np.zeros((n, 3), bool)
+    grams[:, 0], given[:, 0] = one, True
+    if n > 1:
+        grams[:-1, 1], given[:-1, 1] = joined2(one[:-1], one[1:]), words.text[:-1] == words.text[1:]
+    if n > 2:
+        grams[:-2, 2], given[:-2, 2] = joined2(grams[:-2, 1], one[2:]), words.text[:-2] == words.text[2:]
+    return grams[given], np.repeat(words.text, 3)[given.ravel()]
+
+
+def read_posts(texts: Sequence[str | None]) -> Posts:
+    """The own sentences of posts as arrays; null, empty and very long texts are posts like any other."""
+    joined, owner, roles, structure = [], [], [], []
+    for i, text in enumerate(texts):
+        sentences, st = own_sentences(text)
+        structure.append((st["sentences"], st["quotes"], st["rules"], st["code"]))
+        if sentences:
+            joined.append(_seen(sentences))
+            owner += [i] * len(sentences)
+            roles += st["roles"]
+    terms, where, before = [], [], 0
+    for lo, hi in blocks(joined):
+        t, s = sentence_terms(joined[lo:hi])
+        terms.append(t)
+        where.append(s + before)
+        before += sum(x.count("\x00") + 1 for x in joined[lo:hi])
+    none = np.zeros(0, np.int64)
+    return Posts(np.concatenate([np.zeros(0, np.uint64), *terms]), np.concatenate([none, *where]), np.array(owner, np.int64), np.array(roles, np.int64), np.array(structure, float).reshape(len(structure), 4))
+
+
+# ---------------------------------------------------------------- linear models
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=-1, keepdims=True)
-    e = np.exp(z)
+    e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
 
 
@@ -65,11 +133,71 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 30) ->
     return w
 
 
+def _scores(weights: np.ndarray, ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the weights of each row's ids over the root of their number, plus the constant (the last weight); ``rows`` are in order."""
+    z = np.zeros((n, weights.shape[1]), np.float32)
+    if len(ids):
+        heads = np.concatenate([[0], np.flatnonzero(np.diff(rows)) + 1])
+        sums = np.add.reduceat(weights.take(ids, axis=0), heads, axis=0)
+        z[rows[heads]] = sums / np.sqrt(np.diff(np.append(heads, len(ids))) + 1)[:, None]
+    return z + weights[-1]
+
+
+class _Sparse:
+    """A linear model over sparse rows, fitted in batches that are laid out once."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, n: int, width: int, seed: int, batch: int = 256) -> None:
+        self.n, self.width, self.ids, self.rows = n, width, ids, rows
+        self.rng = np.random.default_rng(seed)
+        counts = np.bincount(rows, minlength=n)
+        offs = np.concatenate([[0], np.cumsum(counts)])
+        self.batches = []
+        perm = self.rng.permutation(n)
+        for lo in range(0, n, batch):
+            members = np.sort(perm[lo : lo + batch])
+            sizes = counts[members]
+            opens = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            at = np.repeat(offs[members] - opens, sizes) + np.arange(int(sizes.sum()))
+            here = ids[at]
+            row = np.repeat(np.arange(len(members)), sizes)
+            order = np.argsort(here, kind="stable")
+            known, heads = np.unique(here[order], return_index=True)
+            scale = (1 / np.sqrt(sizes + 1)).astype(np.float32)
+            some = sizes > 0
+            self.batches.append((members, here, opens[some], some, scale[:, None], row[order], known, heads))
+
+    def fit(self, weights: np.ndarray, squares: np.ndarray, target: np.ndarray, link, epochs: int, rate: float = 0.5, l2: float = 2e-3) -> None:
+        """Adaptive gradient steps on ``weights`` and ``squares``, the sums of squared gradients, in place."""
+        target = target.astype(np.float32)
+        for _ in range(epochs):
+            for b in self.rng.permutation(len(self.batches)):
+                members, here, opens, some, scale, by_term, known, heads = self.batches[b]
+                z = np.zeros((len(members), weights.shape[1]), np.float32)
+                if len(here):
+                    z[some] = np.add.reduceat(weights.take(here, axis=0), opens, axis=0)
+                err = link(z * scale + weights[-1]) - target.take(members, axis=0)
+                if len(here):
+                    w = weights.take(known, axis=0)
+                    g = np.add.reduceat((err * scale).take(by_term, axis=0), heads, axis=0) + l2 * w
+                    s = squares.take(known, axis=0) + g * g
+                    squares[known] = s
+                    weights[known] = w - rate * g / np.sqrt(s)
+                g = err.sum(axis=0)
+                squares[-1] += g * g
+                weights[-1] -= rate * g / np.sqrt(squares[-1])
+
+
+# ---------------------------------------------------------------- the model
+
+
 @dataclass
 class SubjectModel:
     subjects: list[str]
-    vocabulary: dict[str, int] = field(default_factory=dict)
+    vocabulary: HashIndex = field(default_factory=lambda: HashIndex(np.zeros(0, np.uint64)))
+    #: Of sentences: by term, then by role, then the constant; columns are the subjects and none.
     weights: np.ndarray | None = None
+    #: Of whole posts: by term, then the constant; columns are the subjects.
+    post_weights: np.ndarray | None = None
     sources: dict[str, int] = field(default_factory=dict)
     order: list[int] = field(default_factory=list)
     chain: list[np.ndarray] = field(default_factory=list)
@@ -77,173 +205,189 @@ class SubjectModel:
 
     # ------------------------------------------------------------ sentences
 
-    def _ids(self, sentence: str) -> np.ndarray:
-        v = self.vocabulary
-        return np.array([v[t] for t in terms(sentence) if t in v], dtype=np.int64)
-
-    def sentence_probabilities(self, sentences: Sequence[str]) -> np.ndarray:
-        """One row per sentence over the subjects and none."""
-        k = len(self.subjects) + 1
-        if not sentences:
-            return np.zeros((0, k))
-        ids = [self._ids(s) for s in sentences]
-        z = np.zeros((len(sentences), k))
-        for i, x in enumerate(ids):
-            z[i] = self.weights[x].sum(axis=0) / np.sqrt(len(x) + 1) + self.weights[-1]
-        return _softmax(z)
-
-    def evidence(self, p: np.ndarray) -> np.ndarray:
-        """Per subject: greatest and second sentence probability in the post's context, expected sentences, how many are likely."""
-        k = len(self.subjects)
-        if not len(p):
-            return np.zeros((k, 4))
+    def known(self, posts: Posts) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the known terms, and their sentences."""
+        ids = self.vocabulary.find(posts.terms).astype(np.int64)
+        return ids[ids >= 0], posts.term_sentence[ids >= 0]
+
+    def _with_roles(self, ids: np.ndarray, sentence: np.ndarray, posts: Posts) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of each sentence and, as one more of them, its role."""
+        n = len(self.vocabulary.keys)
+        at = np.searchsorted(sentence, np.arange(len(posts.owner)), side="right")
+        return np.insert(ids, at, n + posts.roles), np.insert(sentence, at, np.arange(len(posts.owner)))
+
+    def evidence(self, posts: Posts, ids: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+        """Per post and subject: greatest and second sentence probability in the post's context, expected sentences, how many are likely, and the score of the post's terms."""
+        k, n = len(self.subjects), len(posts.structure)
+        out = np.zeros((n, k, 5))
+        out[:, :, 4] = np.clip(_scores(self.post_weights, ids, posts.owner[sentence], n), -8, 8)
+        if not len(posts.owner):
+            return out
+        p = _softmax(_scores(self.weights, *self._with_roles(ids, sentence, posts), len(posts.owner)).astype(float))
+        heads = np.concatenate([[0], np.flatnonzero(np.diff(posts.owner)) + 1])
+        some = posts.owner[heads]
+        seg = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(p))))
         q = p
         for _ in range(3):
-            share = q[:, :k].sum(axis=0) + 0.3
-            prior = np.append(share / share.max(), 0.6)
-            q = p * prior
+            share = np.add.reduceat(q[:, :k], heads, axis=0) + 0.3
+            prior = np.concatenate([share / share.max(axis=1, keepdims=True), np.full((len(heads), 1), 0.6)], axis=1)
+            q = p * prior[seg]
             q = q / q.sum(axis=1, keepdims=True)
-        s = np.sort(q[:, :k], axis=0)[::-1]
-        second = s[1] if len(s) > 1 else np.zeros(k)
-        return np.stack([s[0], second, np.minimum(s.sum(axis=0), 6.0), np.minimum((q[:, :k] > 0.5).sum(axis=0), 4)], axis=1)
-
-    def fit_sentences(self, posts: Sequence[Sequence[str]], labels: Sequence[set[int]], rounds: int = 3, epochs: int = 3, seed: int = 7) -> None:
-        k = len(self.subjects)
-        grams = [[terms(s) for s in post] for post in posts]
-        df = Counter(t for post in grams for s in post for t in s)
-        self.vocabulary = {t: i for i, t in enumerate(sorted(t for t, n in df.items() if n >= 3))}
-        v = self.vocabulary
-        rows = [[v[t] for t in s if t in v] for post in grams for s in post]
-        owner = np.array([d for d, post in enumerate(grams) for _ in post], dtype=np.int64)
-        lens = np.array([len(r) for r in rows], dtype=np.int64)
-        flat = np.array([i for r in rows for i in r], dtype=np.int64)
-        offs = np.concatenate([[0], np.cumsum(lens)])
-        prior = np.full((len(posts), k + 1), 0.02)
-        for d, ls in enumerate(labels):
-            prior[d, k] = 0.5 if ls else 3.0
-            for s in ls:
-                prior[d, s] = 1.0
+        s = q[:, :k]
+        first = np.maximum.reduceat(s, heads, axis=0)
+        equal = s == first[seg]
+        rest = np.maximum.reduceat(np.where(equal, 0.0, s), heads, axis=0)
+        second = np.where(np.add.reduceat(equal, heads, axis=0, dtype=np.int64) > 1, first, rest)
+        out[some, :, 0], out[some, :, 1] = first, second
+        out[some, :, 2] = np.minimum(np.add.reduceat(s, heads, axis=0), 6.0)
+        out[some, :, 3] = np.minimum(np.add.reduceat(s > 0.5, heads, axis=0, dtype=np.int64), 4)
+        return out
+
+    def fit_terms(self, posts: Posts, y: np.ndarray, rounds: int = 3, seed: int = 7) -> None:
+        """The sentence model by expectation-maximisation, and the model of whole posts."""
+        k = y.shape[1]
+        pairs = np.unique(posts.terms, return_counts=True)
+        self.vocabulary = HashIndex(pairs[0][pairs[1] >= MIN_SENTENCES])
+        v = len(self.vocabulary.keys)
+        ids, sentence = self.known(posts)
+        prior = np.full((len(y), k + 1), 0.02)
+        prior[:, k] = np.where(y.any(axis=1), 0.5, 3.0)
+        prior[:, :k][y > 0] = 1.0
         prior /= prior.sum(axis=1, keepdims=True)
-        target = prior[owner]
-        rng = np.random.default_rng(seed)
-        for _ in range(rounds):
-            w = np.zeros((len(v) + 1, k + 1))
-            g2 = np.full_like(w, 1e-2)
-            for _ in range(epochs):
-                perm = rng.permutation(len(rows))
-                for lo in range(0, len(perm), 256):
-                    batch = perm[lo : lo + 256]
-                    n = lens[batch]
-                    at = np.concatenate([flat[offs[b] : offs[b + 1]] for b in batch]) if n.sum() else np.zeros(0, np.int64)
-                    seg = np.repeat(np.arange(len(batch)), n)
-                    scale = 1 / np.sqrt(n + 1)
-                    z = np.zeros((len(batch), k + 1))
-                    np.add.at(z, seg, w[at])
-                    z = z * scale[:, None] + w[-1]
-                    err = _softmax(z) - target[batch]
-                    uniq, inv = np.unique(at, return_inverse=True)
-                    g = np.zeros((len(uniq), k + 1))
-                    np.add.at(g, inv, (err * scale[:, None])[seg])
-                    g += 2e-3 * w[uniq]
-                    g2[uniq] += g * g
-                    w[uniq] -= 0.5 * g / np.sqrt(g2[uniq])
-                    b = err.sum(axis=0)
-                    g2[-1] += b * b
-                    w[-1] -= 0.5 * b / np.sqrt(g2[-1])
-            self.weights = w
-            z = np.zeros((len(rows), k + 1))
-            np.add.at(z, np.repeat(np.arange(len(rows)), lens), w[flat])
-            p = _softmax(z / np.sqrt(lens + 1)[:, None] + w[-1])
-            target = p * prior[owner]
+        own = prior[posts.owner]
+        given = self._with_roles(ids, sentence, posts)
+        rows = _Sparse(*given, len(own), v + ROLES, seed)
+        target = own
+        self.weights = np.zeros((v + ROLES + 1, k + 1), np.float32)
+        for r in range(rounds):
+            squares = np.full_like(self.weights, 1e-2)
+            rows.fit(self.weights, squares, target, _softmax, 3 if r == 0 else 2)
+            target = _softmax(_scores(self.weights, *given, len(own)).astype(float)) * own
             target /= target.sum(axis=1, keepdims=True)
+        self.post_weights = np.zeros((v + 1, k), np.float32)
+        _Sparse(ids, posts.owner[sentence], len(y), v, seed, 128).fit(self.post_weights, np.full_like(self.post_weights, 1e-2), y, _sigmoid, 4)
 
     # ---------------------------------------------------------------- posts
 
-    def base_features(self, ev: np.ndarray, structure: dict[str, float], source: str | None) -> np.ndarray:
-        hot = np.zeros(len(self.sources) + 1)
-        hot[self.sources.get(source, len(self.sources))] = 1
-        n = structure["sentences"]
-        shape = [min(n, 12) / 4, float(n < 2), min(structure["quotes"], 3), structure["signature"], min(structure["code"], 1)]
-        return np.concatenate([shape, 0.3 * hot])
+    def base_features(self, posts: Posts, sources: Sequence[str | None]) -> np.ndarray:
+        """Structure and source of each post."""
+        n, quotes, rules, code = posts.structure.T
+        hot = np.zeros((len(sources), len(self.sources) + 1))
+        hot[np.arange(len(sources)), [self.sources.get(s, len(self.sources)) for s in sources]] = 0.3
+        shape = np.stack([np.minimum(n, 12) / 4, n < 2, np.minimum(quotes, 3), np.minimum(rules, 1), np.minimum(code, 1)], axis=1)
+        return np.concatenate([shape, hot], axis=1)
 
     def static_features(self, ev: np.ndarray, base: np.ndarray, s: int) -> np.ndarray:
-        """What link ``s`` sees of a post whatever was decided before."""
-        seconds = ev[:, 1].copy()
-        seconds[s] = 0.0
-        own = ev[s]
-        return np.concatenate([own, [own[0] * own[1], float(own[3] >= 2), seconds.max(), seconds.sum()], base])
-
-    def link_features(self, ev: np.ndarray, base: np.ndarray, link: int, decided: Sequence[int]) -> np.ndarray:
-        """All of a link's features: the static ones, the subjects decided before, their number, the constant."""
-        return np.concatenate([self.static_features(ev, base, self.order[link]), np.asarray(decided, float), [float(sum(decided)), 1.0]])
-
-    def fit_chain(self, ev: list[np.ndarray], base: list[np.ndarray], y: np.ndarray) -> None:
+        """What the link of subject ``s`` sees of each post whatever was decided before."""
+        others = np.delete(ev[:, :, 1], s, axis=1)
+        own = ev[:, s]
+        most = others.max(axis=1) if others.shape[1] else np.zeros(len(ev))
+        return np.concatenate([own, (own[:, 0] * own[:, 1])[:, None], (own[:, 3] >= 2)[:, None], most[:, None], others.sum(axis=1)[:, None], base], axis=1)
+
+    def link_features(self, ev: np.ndarray, base: np.ndarray, link: int, decided: np.ndarray) -> np.ndarray:
+        """All features of a link: the static ones, the subjects decided before, their number, the constant."""
+        decided = np.asarray(decided, float)
+        return np.concatenate([self.static_features(ev, base, self.order[link]), decided, decided.sum(axis=1, keepdims=True), np.ones((len(ev), 1))], axis=1)
+
+    def fit_chain(self, ev: np.ndarray, base: np.ndarray, y: np.ndarray) -> None:
         """Logistic links on two thirds of the posts, calibrated on the rest (Platt), then refitted on all."""
-        self.order = list(np.argsort(-y.sum(axis=0), kind="stable"))
+        self.order = [int(s) for s in np.argsort(-y.sum(axis=0), kind="stable")]
         held = np.arange(len(y)) % 3 == 2
         self.chain, self.platt = [], []
         for link, s in enumerate(self.order):
-            before = y[:, self.order[:link]]
-            x = np.stack([self.link_features(e, b, link, d) for e, b, d in zip(ev, base, before)]) if len(y) else np.zeros((0, 1))
-            t = y[:, s].astype(float)
-            w = _logistic(x[~held], t[~held])
-            z = x[held] @ w
+            x, t = self.link_features(ev, base, link, y[:, self.order[:link]]), y[:, s]
+            z = x[held] @ _logistic(x[~held], t[~held])
             a = _logistic(np.stack([z, np.ones_like(z)], axis=1), t[held], l2=1e-2) if held.any() and t[held].any() else np.array([1.0, 0.0])
             self.platt.append((float(a[0]), float(a[1])))
             self.chain.append(_logistic(x, t))
 
-    def decode(self, ev: np.ndarray, base: np.ndarray) -> tuple[list[int], np.ndarray]:
-        """The most probable combination of subjects, by beam search along the chain, with each link's probability."""
-        beams: list[tuple[float, tuple[int, ...], tuple[float, ...]]] = [(0.0, (), ())]
+    def decode(self, ev: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The most probable combination of subjects of each post, by beam search along the chain, and each link's probability."""
+        n, k = len(ev), len(self.order)
+        score, bits, ps = np.zeros((n, 1)), np.zeros((n, 1, k)), np.zeros((n, 1, k))
         for link, s in enumerate(self.order):
             w = self.chain[link]
             x = self.static_features(ev, base, s)
-            fixed = float(x @ w[: len(x)]) + float(w[-1])
-            earlier = (w[len(x) : len(x) + link] + w[-2]).tolist()
+            m = x.shape[1]
+            earlier = np.append(w[m : m + link] + w[-2], np.zeros(k - link))
             a, b = self.platt[link]
-            grown = []
-            for score, bits, ps in beams:
-                z = a * (fixed + sum(e for e, bit in zip(earlier, bits) if bit)) + b
-                p = min(max(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), 1e-9), 1 - 1e-9)
-                grown.append((score + math.log(p), (*bits, 1), (*ps, p)))
-                grown.append((score + math.log(1 - p), (*bits, 0), (*ps, p)))
-            grown.sort(key=lambda g: -g[0])
-            beams = grown[:BEAM]
-        _, bits, ps = beams[0]
-        out = np.zeros(len(self.subjects))
-        for s, p in zip(self.order, ps):
-            out[s] = p
-        return sorted(s for s, bit in zip(self.order, bits) if bit), out
+            p = np.clip(_sigmoid(a * ((x @ w[:m] + w[-1])[:, None] + bits @ earlier) + b), 1e-9, 1 - 1e-9)
+            both = np.concatenate([score + np.log(p), score + np.log(1 - p)], axis=1)
+            best = np.argsort(-both, axis=1, kind="stable")[:, :BEAM]
+            score = np.take_along_axis(both, best, axis=1)
+            beam = best % p.shape[1]
+            bits = np.take_along_axis(bits, beam[:, :, None], axis=1)
+            ps = np.take_along_axis(ps, beam[:, :, None], axis=1)
+            bits[:, :, link] = best < p.shape[1]
+            ps[:, :, link] = np.take_along_axis(p, beam, axis=1)
+        back = np.argsort(self.order)
+        return bits[:, 0, back] > 0, ps[:, 0, back]
+
+    def predict_all(self, texts: Sequence[str | None], sources: Sequence[str | None]) -> Iterator[tuple[int, int, float]]:
+        """(number of the post, number of the subject, probability) of each subject of each post."""
+        if self.weights is None:
+            return
+        posts = read_posts(texts)
+        ids, sentence = self.known(posts)
+        chosen, p = self.decode(self.evidence(posts, ids, sentence), self.base_features(posts, sources))
+        chosen &= posts.structure[:, :1] > 0
+        for i, s in zip(*(x.tolist() for x in np.nonzero(chosen))):
+            yield i, s, float(p[i, s])
 
     def predict(self, text: str | None, source: str | None) -> list[tuple[str, float]]:
-        sentences, structure = own_sentences(text)
-        if not sentences or self.weights is None:
-            return []
-        ev = self.evidence(self.sentence_probabilities(sentences))
-        chosen, p = self.decode(ev, self.base_features(ev, structure, source))
-        return [(self.subjects[s], float(p[s])) for s in chosen]
+        return [(self.subjects[s], p) for _, s, p in self.predict_all([text], [source])]
+
+    # ---------------------------------------------------------------- storage
+
+    def to_bytes(self) -> bytes:
+        """The model as one file of arrays."""
+        head = {"subjects": self.subjects, "sources": self.sources, "order": self.order, "platt": self.platt, "fitted": self.weights is not None}
+        arrays = {} if self.weights is None else {"keys": self.vocabulary.keys, "weights": self.weights, "post_weights": self.post_weights} | {f"chain{i}": w for i, w in enumerate(self.chain)}
+        out = io.BytesIO()
+        np.savez(out, head=np.frombuffer(json.dumps(head).encode(), np.uint8), **arrays)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> SubjectModel:
+        with np.load(io.BytesIO(data), allow_pickle=False) as z:
+            head = json.loads(z["head"].tobytes())
+            out = cls(head["subjects"], sources=head["sources"], order=head["order"], platt=[(a, b) for a, b in head["platt"]])
+            if head["fitted"]:
+                out.vocabulary, out.weights, out.post_weights = HashIndex(z["keys"]), z["weights"], z["post_weights"]
+                out.chain = [z[f"chain{i}"] for i in range(len(out.order))]
+        return out
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the model to a file that all machines reach; it appears whole or not at all."""
+        publish_bytes(spark, path, self.to_bytes())
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> SubjectModel:
+        return cls.from_bytes(file_bytes(spark, path))
 
 
 def fit(posts: Sequence[tuple[str | None, str | None, Sequence[str]]], subjects: Sequence[str]) -> SubjectModel:
     """Fit on (text, source, labels) posts; the label 'none' and unknown labels mean no subject."""
     model = SubjectModel(sorted(subjects))
     index = {s: i for i, s in enumerate(model.subjects)}
-    parsed = [own_sentences(t) for t, _, _ in posts]
-    labels = [{index[x] for x in ls if x in index} for _, _, ls in posts]
-    sources = sorted({s for _, s, _ in posts if s is not None})
-    model.sources = {s: i for i, s in enumerate(sources)}
-    y = np.array([[float(i in ls) for i in range(len(index))] for ls in labels]).reshape(len(posts), len(index))
-    # Evidence for the chain must come from sentence models that did not see the post.
-    fold = np.arange(len(posts)) % 3
-    ev: list[np.ndarray] = [np.zeros((len(index), 4))] * len(posts)
-    for f in range(3):
+    parsed = read_posts([t for t, _, _ in posts])
+    sources = [s for _, s, _ in posts]
+    model.sources = {s: i for i, s in enumerate(sorted({s for s in sources if s is not None}))}
+    y = np.zeros((len(posts), len(index)))
+    for i, (_, _, labels) in enumerate(posts):
+        y[i, [index[x] for x in labels if x in index]] = 1
+    # Evidence for the chain must come from models that did not see the post.
+    fold = np.arange(len(posts)) % FOLDS
+    ev = np.zeros((len(posts), len(index), 5))
+    for f in range(FOLDS):
+        if not (fold == f).any():
+            continue
         part = SubjectModel(model.subjects)
-        part.fit_sentences([parsed[i][0] for i in np.flatnonzero(fold != f)], [labels[i] for i in np.flatnonzero(fold != f)])
-        for i in np.flatnonzero(fold == f):
-            ev[i] = part.evidence(part.sentence_probabilities(parsed[i][0]))
-    model.fit_sentences([s for s, _ in parsed], labels)
-    base = [model.base_features(e, st, src) for e, (_, st), (_, src, _) in zip(ev, parsed, posts)]
-    model.fit_chain(ev, base, y)
+        part.fit_terms(parsed.part(fold != f), y[fold != f])
+        held = parsed.part(fold == f)
+        ev[fold == f] = part.evidence(held, *part.known(held))
+    model.fit_terms(parsed, y)
+    model.fit_chain(ev, model.base_features(parsed, sources), y)
     return model
 
 
@@ -263,20 +407,17 @@ def subjects_of(documents: DataFrame, model: SubjectModel) -> DataFrame:
     ``documents``: doc_id, text, source.  Whole texts are read.  Posts without
     own words, null or empty ones included, have no subject.  Repeated rows give
     repeated results.  The model is broadcast; its size depends on the training
-    sample, not on the corpus.  Nothing is shuffled.
+    sample (``most`` posts), not on the corpus.  Nothing is shuffled.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            docs, names, ps = [], [], []
-            for doc, text, source in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "source"))):
-                for s, p in m.predict(text, source):
-                    docs.append(doc)
-                    names.append(s)
-                    ps.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(names, pa.string()), pa.array(ps, pa.float64())], names=["doc_id", "subject", "probability"])
+            found = list(m.predict_all(batch.column("text").to_pylist(), batch.column("source").to_pylist()))
+            docs = batch.column("doc_id").take(pa.array([x[0] for x in found], pa.int64()))
+            names = [m.subjects[x[1]] for x in found]
+            yield pa.RecordBatch.from_arrays([docs, pa.array(names, pa.string()), pa.array([x[2] for x in found], pa.float64())], names=["doc_id", "subject", "probability"])
 
     return documents.select("doc_id", "text", "source").mapInArrow(work, "doc_id bigint, subject string, probability double")
 

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from keyloom.llm.subjects import SubjectModel, fit, subjects_of, terms, train
+from keyloom.llm.subjects import NUMBER, SubjectModel, fit, read_posts, sentence_terms, subjects_of, train
 from pyspark.sql import functions as F
 
 TOPICS = {"boats": "rudder keel mast harbour anchor sail deck tide".split(), "bread": "flour dough oven yeast crust loaf knead rye".split(), "chess": "rook bishop pawn castle gambit endgame board clock".split()}
@@ -57,30 +57,73 @@ def test_beam_search_is_exact_when_wide_enough(model):
 
     import numpy as np
 
-    from keyloom.llm.text import own_sentences
-
-    for _ in range(30):
-        text, source, _ = post(rng)
-        sents, st = own_sentences(text)
-        if not sents:
-            continue
-        ev = model.evidence(model.sentence_probabilities(sents))
-        base = model.base_features(ev, st, source)
+    texts, sources, _ = zip(*(post(rng) for _ in range(30)))
+    posts = read_posts(texts)
+    ev, base = model.evidence(posts, *model.known(posts)), model.base_features(posts, sources)
+    chosen, _ = model.decode(ev, base)
+    for i in range(30):
         best = None
         for bits in product([0, 1], repeat=3):
             score = 0.0
             for link in range(3):
                 a, b = model.platt[link]
-                z = a * float(model.link_features(ev, base, link, bits[:link]) @ model.chain[link]) + b
+                z = a * float(model.link_features(ev[[i]], base[[i]], link, np.array([bits[:link]]))[0] @ model.chain[link]) + b
                 p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 score += np.log(p if bits[link] else 1 - p)
             if best is None or score > best[0]:
                 best = (score, bits)
-        assert model.decode(ev, base)[0] == sorted(model.order[i] for i, bit in enumerate(best[1]) if bit)
+        assert np.flatnonzero(chosen[i]).tolist() == sorted(model.order[j] for j, bit in enumerate(best[1]) if bit)
 
 
 def test_terms():
-    assert set(terms("A  b 12")) == {"a", "b", "#", "a b", "b #", "a b #"}
+    grams, sentence = sentence_terms(["A  b 12\x00b"])
+    assert len(grams) == 7 and sentence.tolist() == [0] * 6 + [1] and NUMBER in grams
+    again, _ = sentence_terms(["a, B 7"])
+    assert set(again.tolist()) == set(grams.tolist()) and len(set(grams.tolist())) == 6
+    assert len(sentence_terms(["..."])[0]) == 0 and len(sentence_terms([])[0]) == 0
+
+
+def test_posts_together_and_alone_agree(model):
+    rng = random.Random(5)
+    data = [post(rng)[:2] for _ in range(60)] + [(None, "here"), ("", None), ("I think the rudder matters more than the keel. " * 30000, "here")]
+    together: dict = {}
+    for i, s, p in model.predict_all(*zip(*data)):
+        together.setdefault(i, []).append((model.subjects[s], round(p, 5)))
+    for i, (text, source) in enumerate(data):
+        assert [(s, round(p, 5)) for s, p in model.predict(text, source)] == together.get(i, [])
+
+
+def test_signatures_are_told_by_their_place_whatever_they_say():
+    rng = random.Random(6)
+    signs = ["fond of {}", "I collect every {}", "keeper of one {}", "born near a {}"]
+    unseen = ["all hail the {}", "ask me about the {}"]
+
+    def signed(kind, wording):
+        text, source, labels = post(rng)
+        words = TOPICS[kind]
+        return text + "\n-- \n" + "\n".join(rng.choice(wording).format(rng.choice(words)) for _ in range(2)), source, labels
+
+    data = [signed(rng.choice(sorted(TOPICS)), signs) for _ in range(900)]
+    model = fit(data, list(TOPICS))
+    tp = fp = fn = 0
+    for _ in range(300):
+        text, source, labels = signed(rng.choice(sorted(TOPICS)), unseen)
+        got, want = {s for s, _ in model.predict(text, source)}, set(labels) - {"none"}
+        tp, fp, fn = tp + len(got & want), fp + len(got - want), fn + len(want - got)
+    assert 2 * tp / (2 * tp + fp + fn) > 0.85
+
+
+def test_a_saved_model_predicts_the_same(model, spark, tmp_path):
+    path = f"file://{tmp_path}/models/subjects.npz"
+    model.save(spark, path)
+    model.save(spark, path)
+    other = SubjectModel.load(spark, path)
+    rng = random.Random(7)
+    for _ in range(50):
+        text, source, _ = post(rng)
+        assert other.predict(text, source) == model.predict(text, source)
+    empty = SubjectModel(["a"])
+    assert SubjectModel.from_bytes(empty.to_bytes()).predict("A word.", None) == []
 
 
 def test_on_frames(spark):

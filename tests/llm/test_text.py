@@ -1,4 +1,4 @@
-from keyloom.llm.text import folded, own_sentences, plain_words, without_quotes, without_signature, words_and_gaps
+from keyloom.llm.text import ALONE, BELOW, LINE, WRAPPED, folded, own_sentences, plain_words, without_quotes, words_and_gaps
 
 QUOTE = "[quote=ann;12]\nTheir words. More words.\n[/quote]\n"
 
@@ -27,15 +27,21 @@ def test_quotes_in_several_notations():
     assert without_quotes("no quotes")[1] == 0
 
 
-def test_signatures():
-    for sign in ("\n-- \nann", "\n___\nanything", "\n----------\nann\nboard rank: Elder", "<hr>My other hobby is maps", "\nann | posting since 2001", "\n<small>ann :: Elder</small>", "\nProud member of the map corner"):
-        text, found = without_signature("Body here." + sign)
-        assert found and text.strip() == "Body here.", sign
-    assert without_signature("Body -- with dashes.") == ("Body -- with dashes.", False)
+def test_roles_of_signatures():
+    for sign in ("\n-- \nann", "\n___\nanything", "\n----------\nann", "<hr>My other hobby is maps"):
+        found, st = own_sentences("Body here. More of it." + sign)
+        assert found[:2] == ["Body here.", "More of it."] and len(found) == 3, sign
+        assert st["rules"] == 1 and st["roles"] == [LINE, LINE, BELOW | ALONE], sign
+    found, st = own_sentences("Body here.\n\n<small>ann :: Elder</small>")
+    assert found == ["Body here.", "ann :: Elder"] and st["roles"] == [ALONE | LINE, ALONE | WRAPPED]
+    found, st = own_sentences("One.\n-----\nTwo.\n-----\nThree.\nFour.\nFive. Six.")
+    assert found == ["One.", "Two.", "Three.", "Four.", "Five.", "Six."] and st["rules"] == 2
+    assert st["roles"] == [ALONE | 3 * LINE, ALONE | 3 * LINE, BELOW | ALONE | 2 * LINE, BELOW | ALONE | LINE, BELOW, BELOW]
+    assert own_sentences("Body -- with dashes.")[1]["rules"] == 0
 
 
 def test_structure_and_empty_posts():
-    assert own_sentences(None) == ([], {"quotes": 0, "signature": 0, "code": 0, "sentences": 0})
+    assert own_sentences(None) == ([], {"quotes": 0, "rules": 0, "code": 0, "sentences": 0, "roles": []})
     found, st = own_sentences(QUOTE + "One.<br/>Two!\n[code]x = 1[/code]\n-- \nann")
-    assert found == ["One.", "Two!"] and (st["quotes"], st["signature"], st["code"], st["sentences"]) == (1, 1.0, 1, 2)
+    assert found == ["One.", "Two!", "ann"] and (st["quotes"], st["rules"], st["code"], st["sentences"]) == (1, 1, 1, 3)
     assert len(own("Word. " * 20000)) == 20000
