@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keyloom.functions.keys import key_text
 from keyloom.operators import changefeed, dedupe, incremental, nested, orphans, skew
-from keyloom.session import shared_dir, table
+from keyloom.session import scratch, table
+
+#: Where queries part early arrivals from later ones.
+_LATER = "2025-02-01 00:00:00"
 
 # ---------------------------------------------------------------- problem 1
 
@@ -91,6 +92,26 @@ def p3_pending_per_store(spark: SparkSession, d: str) -> DataFrame:
     return p3_found(spark, d).groupBy("log_name", "store_id").agg(F.count(F.lit(1)).alias("pending"), F.min("lsn").alias("first_lsn"), F.max("lsn").alias("last_lsn"))
 
 
+def p3_runs_after_failure(spark: SparkSession, d: str) -> DataFrame:
+    """Which run handed each flush record on: one over the early arrivals, then one over all; between them a run that died before publishing and one that came second."""
+    log = _log_rows(spark, d, "flush_records")
+    ident = ["store_id", "rec_key", "lsn"]
+    runs = incremental.RunLedger(spark, scratch(spark, "runs"), ident, "lsn")
+    runs.commit(runs.pending(log.where(F.col("arrived_at") < F.lit(_LATER).cast("timestamp_ntz"))))
+    state = runs.state()
+    runs.pending(log).write.parquet(f"{runs.root}/out/died")
+    runs.commit(runs.pending(log), based_on=state)
+    try:
+        runs.commit(runs.pending(log.limit(0)), based_on=state)
+    except RuntimeError:
+        pass
+    out = None
+    for m in runs.manifests():
+        part = spark.read.parquet(m["out"]).select(F.lit(m["number"] + 1).alias("run"), *ident)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 _P3 = """
 with logs as (
   select 'wal_records' as log_name, 'raw' as kind, store_id, decode(key) as rec_key, lsn, min(arrived_at) as first_at from wal_records group by all
@@ -132,9 +153,8 @@ def p4_deal_rows(spark: SparkSession, d: str) -> DataFrame:
 def p4_routed_rows(spark: SparkSession, d: str) -> DataFrame:
     """The rows of the typed tables of all declared paths and variants, with parent links and their typed columns as JSON."""
     rows, schema = _children(spark, d, payload=True)
-    folder = f"{shared_dir(spark).rstrip('/')}/routed-{uuid.uuid4().hex}"
     out = None
-    for (collection, path), t in nested.route(rows, schema, ["store_id", "lsn"], folder).items():
+    for (collection, path), t in nested.route(rows, schema, ["store_id", "lsn"], scratch(spark, "routed")).items():
         link = ["store_id", "lsn", "ordinals", "parent_path", "parent_ordinals", "shape"]
         typed = F.to_json(F.struct(*[F.col(f"`{c}`").alias(c) for c in t.columns if c not in (*link, "payload")]))
         part = t.select(F.lit(collection).alias("collection"), F.lit(path).alias("path"), *link, typed.alias("typed"), "payload")
@@ -172,7 +192,7 @@ def p5_unique_flush(spark: SparkSession, d: str) -> DataFrame:
 def p5_new_messages(spark: SparkSession, d: str) -> DataFrame:
     """Messages that arrived from February 2025 on and were not stored before."""
     rows = _delivered(spark, d, "flush_records")
-    ident, later = ["store_id", "rec_key", "version"], F.col("arrived_at") >= F.lit("2025-02-01 00:00:00").cast("timestamp_ntz")
+    ident, later = ["store_id", "rec_key", "version"], F.col("arrived_at") >= F.lit(_LATER).cast("timestamp_ntz")
     return dedupe.new_messages(rows.where(later), rows.where(~later), ident, "arrived_at", ["batch_id", "body_hash"]).select(*ident)
 
 
@@ -196,7 +216,7 @@ def p6_current_state(spark: SparkSession, d: str) -> DataFrame:
 def p6_base_and_late(spark: SparkSession, d: str) -> DataFrame:
     """Live keys per collection from a base that held early arrivals, then the rest folded in."""
     changes = changefeed.as_changes(_wal_keys(spark, d), [*_STATE, "arrived_at"], "lsn", "op")
-    early = F.col("arrived_at") < F.lit("2025-02-01 00:00:00").cast("timestamp_ntz")
+    early = F.col("arrived_at") < F.lit(_LATER).cast("timestamp_ntz")
     base = changefeed.fold_changes(changes.where(early), _STATE)
     state = changefeed.live(changefeed.fold_changes(changes.where(~early), _STATE, base=base))
     return state.groupBy("collection").agg(F.count(F.lit(1)).alias("live_keys"), F.sum("kl_seq").alias("lsn_sum"))
@@ -217,6 +237,7 @@ QUERIES = {
     "p2_key_totals": p2_key_totals,
     "p3_found": p3_found,
     "p3_pending_per_store": p3_pending_per_store,
+    "p3_runs_after_failure": p3_runs_after_failure,
     "p4_found": p4_found,
     "p4_shapes": p4_shapes,
     "p4_deal_rows": p4_deal_rows,
@@ -236,6 +257,7 @@ SQL = {
     "p2_key_totals": "select collection, decode(key) as rec_key, count(*) as records, max(lsn) as last_lsn, coalesce(sum(octet_length(value)), 0)::bigint as bytes from wal_records group by collection, key",
     "p3_found": _P3 + "select log_name, store_id, rec_key, lsn from p3",
     "p3_pending_per_store": _P3 + "select log_name, store_id, count(*) as pending, min(lsn) as first_lsn, max(lsn) as last_lsn from p3 group by all",
+    "p3_runs_after_failure": "select case when min(arrived_at) < timestamp '2025-02-01 00:00:00' then 1 else 2 end as run, store_id, decode(key) as rec_key, version as lsn from flush_records group by store_id, key, version",
     "p5_found": """
 select 'flush_records' as log_name, store_id, decode(key) as rec_key, version as ident from flush_records group by all having count(*) > 1
 union all select 'schema_flush', store_id, decode(key), lsn from schema_flush group by all having count(*) > 1""",

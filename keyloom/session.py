@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import pathlib
 import tempfile
 import uuid
 import zipfile
 
+from py4j.protocol import Py4JError, Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that every keyloom job wants; all may be overridden by the cluster.
@@ -65,15 +67,39 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` by writing it to the shared folder.
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def _sweep() -> None:
+    """Delete what :func:`scratch` named, if its session still runs."""
+    for spark, path in _scratch:
+        try:
+            if spark.sparkContext._jsc is not None:
+                p, fs = file_system(spark, path)
+                fs.delete(p, True)
+        except (Py4JError, OSError, AttributeError):
+            pass
+    _scratch.clear()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends: results that were not yet computed read it until then."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(_sweep)
+    _scratch.append((spark, path))
+    return path
+
+
+def cut(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Cut the lineage of ``df`` by writing it to the shared folder, parted into folders ``by`` the given columns.
 
     Unlike a reliable ``checkpoint()`` the rows are kept as Parquet, so later
     reads stay columnar and prunable; the files survive any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
+    path = scratch(spark, "cut")
+    df.write.mode("error").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -99,15 +125,26 @@ def file_bytes(spark: SparkSession, path: str) -> bytes:
 
 
 def publish_bytes(spark: SparkSession, path: str, data: bytes, overwrite: bool = True) -> bool:
-    """Write a small file so that readers see all of it or nothing; false if it is there already and must not be overwritten."""
+    """Write a small file so that readers see all of it or nothing; false if it is there already and must not be overwritten.
+
+    The file is written under another name and then renamed.  Of several
+    writers that must not overwrite exactly one succeeds, where the file system
+    renames atomically, as distributed ones do.
+    """
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
     p, fs = file_system(spark, path)
     tmp, _ = file_system(spark, f"{p.getParent()}/_{p.getName()}.{uuid.uuid4().hex}")
     stream = fs.create(tmp, True)
     stream.write(bytearray(data))
     stream.close()
-    if overwrite:
-        fs.delete(p, False)
-    elif fs.exists(p):
+    kinds = jvm.org.apache.hadoop.fs.Options.Rename
+    how = gateway.new_array(kinds, 1)
+    how[0] = kinds.OVERWRITE if overwrite else kinds.NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(tmp, p, how)
+    except Py4JJavaError as e:
         fs.delete(tmp, False)
-        return False
-    return fs.rename(tmp, p)
+        if not overwrite and "FileAlreadyExistsException" in str(e.java_exception.getClass().getName()):
+            return False
+        raise
+    return True

@@ -71,3 +71,32 @@ def test_rename_failure_is_reported(spark, tmp_path):
     with pytest.raises(Exception):
         run.commit(spark.createDataFrame([(1,)], "other bigint"))
     assert len(run.manifests()) == 1
+
+
+def test_of_two_runs_from_one_state_only_the_first_counts(spark, tmp_path):
+    run = RunLedger(spark, f"file://{tmp_path}/r", ["rec_key", "lsn"], "lsn")
+    frame = lambda *lsns: spark.createDataFrame([("k", x) for x in lsns], "rec_key string, lsn bigint")
+    state = run.state()
+    a, b = run.pending(frame(1, 2)), run.pending(frame(2, 3))
+    run.commit(a, based_on=state)
+    with pytest.raises(RuntimeError):
+        run.commit(b, based_on=state)
+    assert len(run.manifests()) == 1
+    run.commit(run.pending(frame(2, 3, None)))
+    done = spark.read.parquet(*[m["out"] for m in run.manifests()])
+    assert sorted(r.lsn or 0 for r in done.collect()) == [0, 1, 2, 3]
+
+
+def test_only_the_ledger_from_the_oldest_open_number_on_is_kept(spark, tmp_path):
+    run = RunLedger(spark, f"file://{tmp_path}/m", ["lsn"], "lsn")
+    frame = lambda lo, hi: spark.range(lo, hi).withColumnRenamed("id", "lsn")
+    for k in range(4):
+        run.commit(run.pending(frame(0, 10 * k + 10)), open_since=10 * k + 5)
+    assert len(run.state()["parts"]) == 1 and len(run.manifests()) == 4
+    assert sorted(r.lsn for r in run.pending(frame(0, 50)).collect()) == list(range(40, 50))
+
+
+def test_null_stores_and_keys_are_found_in_the_ledger(spark):
+    cks = spark.createDataFrame([ck(lsn=10, started=10)], CK)
+    log = spark.createDataFrame([("s", None, 3, hour(1)), ("s", None, 3, hour(20)), ("s", None, 4, hour(20)), (None, "k", 1, hour(1))], LOG)
+    assert {tuple(r) for r in pending_records(log, cks, "raw").collect()} == {("s", None, 4), (None, "k", 1)}
