@@ -5,26 +5,30 @@ parse each document once and walk it along that tree.  A bottom-up tree
 automaton gives every object a state that stands for its shape: which declared
 fields it has, of what kind, and the states of its children.  Equal shapes have
 equal states on all workers.  Each object becomes one row that carries its path,
-its position, its parent's position and its state; :func:`subtype_table` makes
-a typed table of the rows of one path (and, if wanted, of one variant), and
-:func:`route` does so for all paths from one walk.
+its position, its parent's position and its state, and :func:`route` writes all
+rows in one pass to a typed subtype table per path, in which the variants lie
+apart; keys and parent links that all subtypes have in common are the supertype
+table.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from keyloom.functions.jsontext import depth, dump, parse
+
 # The scalar type names of the schema language and their Spark types.
 SCALARS = {"string": "string", "int32": "int", "int64": "bigint", "float": "double", "bool": "boolean", "json": "string", "bytes": "binary"}
 
-#: Levels of text inside text that are read before giving up on a value.
-MAX_ENCODINGS = 16
+#: Levels of nesting beyond which a payload gives a value as its JSON text, since JSON readers of tables go no deeper than 1000.
+PAYLOAD_LEVELS = 500
 
 CHILD_SCHEMA = "collection string, path string, ordinals string, parent_path string, parent_ordinals string, shape bigint, extras boolean, payload string"
 
@@ -92,23 +96,12 @@ def _spark_type(node: tuple) -> str:
     return f"array<{_spark_type(node[1])}>" if node[0] == "array" else SCALARS.get(node[1], "string")
 
 
-def _no_constant(name: str):
-    raise ValueError(name)
-
-
-def parse_strict(text: str):
-    """JSON by the letter: NaN and Infinity are errors, as is anything after the value."""
-    return json.loads(text, parse_constant=_no_constant)
-
-
-def decoded(value, wanted: tuple):
-    """What a string encodes, if it is JSON text; other values as they are."""
-    for _ in range(MAX_ENCODINGS):
-        if not isinstance(value, str):
-            break
+def decoded(value):
+    """What a string encodes, if it is JSON text, also several times over; other values as they are."""
+    while isinstance(value, str):
         try:
-            value = parse_strict(value)
-        except (ValueError, RecursionError):
+            value = parse(value)
+        except ValueError:
             break
     return value
 
@@ -133,18 +126,18 @@ class Flattener:
     """Walks documents of one collection along its compiled schema."""
 
     def __init__(self, root: tuple, payload: bool = True) -> None:
-        self.root, self.payload, self.automaton = root, payload, ShapeAutomaton()
+        self.root, self.payload, self.automaton, self.deep = root, payload, ShapeAutomaton(), False
 
     def rows(self, text: str | None) -> list[tuple]:
         """(path, ordinals, parent path, parent ordinals, state, extras, payload) per object; none for ill-formed text."""
         if text is None:
             return []
         try:
-            doc = parse_strict(text)
-        except (ValueError, RecursionError):
+            doc = decoded(parse(text))
+        except ValueError:
             return []
         out: list[tuple] = []
-        doc = decoded(doc, self.root)
+        self.deep = text.count("[") + text.count("{") > PAYLOAD_LEVELS
         if isinstance(doc, dict):
             self._object(doc, self.root[1], "", "", "", "", out, None, "")
         return out
@@ -164,7 +157,7 @@ class Flattener:
                 if flat is not None:
                     flat[prefix + name] = given
                 continue
-            value = decoded(given, node)
+            value = decoded(given)
             below = f"{field_path}.{name}" if field_path else name
             if kind == "object":
                 if isinstance(value, dict):
@@ -185,7 +178,7 @@ class Flattener:
                         flat[prefix + name] = misfits
         extras = len(obj) > len(shape)
         if extras and flat is not None:
-            flat |= {prefix + (json.dumps(k) if "." in k else k): v for k, v in obj.items() if k not in fields}
+            flat |= {prefix + (dump(k) if "." in k else k): v for k, v in obj.items() if k not in fields}
         return self.automaton.state((*shape, "+") if extras else tuple(shape))
 
     def _array(self, value, element: tuple, path: str, below: str, ordinals: str, parent: str, out: list[tuple], misfits: dict, at: str):
@@ -202,7 +195,7 @@ class Flattener:
             return KINDS[type(value)]
         states = set()
         for i, given in enumerate(value):
-            item = decoded(given, element)
+            item = decoded(given)
             here = f"{ordinals}.{i}" if ordinals else str(i)
             if element[0] == "array":
                 states.add(self._array(item, element[1], path, below, here, parent, out, misfits, f"{at}{i}."))
@@ -215,7 +208,9 @@ class Flattener:
                 state = self._object(item, element[1], below, below, here, parent, out, flat, "")
                 payload = None
                 if flat is not None:
-                    payload = json.dumps(flat, separators=(",", ":"))
+                    if self.deep:
+                        flat = {k: dump(v) if depth(v) > PAYLOAD_LEVELS else v for k, v in flat.items()}
+                    payload = dump(flat)
                 out[slot] = (below, here, path, parent, state, len(item) > sum(k in element[1] for k in item), payload)
                 states.add(state)
             else:
@@ -236,6 +231,7 @@ def flatten(documents: DataFrame, schema: dict[str, tuple], keep: Sequence[str],
     ``terms.currency``; a value in place of an inline object or an array of
     objects that is none, and the elements of such an array that are no objects,
     by position.  It also has undeclared fields, names with a dot in quotes.
+    A value of more than PAYLOAD_LEVELS levels stands in it as its JSON text.
     Values that belong to the document itself are in no row; they stay in the
     document.
 
@@ -299,20 +295,40 @@ def subtype_table(children: DataFrame, schema: dict[str, tuple], collection: str
     return rows.withColumn("kl_typed", typed).select(*keep, "ordinals", "parent_path", "parent_ordinals", "shape", "payload", *[F.col(f"kl_typed.`{k}`").alias(k) for k in columns])
 
 
-def route(children: DataFrame, schema: dict[str, tuple], keep: Sequence[str], folder: str) -> dict[tuple[str, str], DataFrame]:
-    """Write the rows of :func:`flatten` in one pass, a part per collection and path; the typed table of each by (collection, path).
+@dataclass(frozen=True)
+class Routed:
+    """The subtype tables that :func:`route` wrote."""
 
-    Within a part's files rows are sorted by shape, so :func:`routed_variant`
-    reads only the row groups of its variant.  A task writes at most one file a
-    path.  ``folder`` must be shared by all executors and not exist.
-    """
-    children.sortWithinPartitions("collection", "path", "shape").write.mode("error").partitionBy("collection", "path").parquet(folder)
-    return {(c, p): routed_variant(children.sparkSession, folder, children.schema, schema, c, p, keep) for c, node in schema.items() for p, _ in object_paths(node)}
+    spark: SparkSession
+    folder: str
+    written: StructType
+    schema: dict[str, tuple]
+    keep: tuple[str, ...]
 
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.written).parquet(self.folder)
 
-def routed_variant(spark: SparkSession, folder: str, written: StructType, schema: dict[str, tuple], collection: str, path: str, keep: Sequence[str], shape: int | None = None) -> DataFrame:
-    """The typed table of a path, or of one of its variants, from what :func:`route` wrote; ``written`` is the schema of those rows."""
-    return subtype_table(spark.read.schema(written).parquet(folder), schema, collection, path, keep, shape)
+    def paths(self) -> list[tuple[str, str]]:
+        return [(c, p) for c, node in self.schema.items() for p, _ in object_paths(node)]
+
+    def table(self, collection: str, path: str, shape: int | None = None) -> DataFrame:
+        """The typed table of a path, or of one of its variants: only its own folder is read, of a variant only its row groups."""
+        return subtype_table(self.rows(), self.schema, collection, path, self.keep, shape)
+
+    def supertype(self) -> DataFrame:
+        """What all subtypes have in common, for all rows: keys, parent link and shape."""
+        return self.rows().select(*self.keep, "collection", "path", "ordinals", "parent_path", "parent_ordinals", "shape", "extras")
+
+
+def route(children: DataFrame, schema: dict[str, tuple], keep: Sequence[str], folder: str) -> Routed:
+    """Write the rows of :func:`flatten` in one pass to the subtype tables of all paths and variants.
+
+    Each collection and path has a folder; within its files rows are sorted by
+    shape, so variants lie apart.  A task writes at most one file a path.
+    ``folder`` must be shared by all executors and not exist.
+    """
+    children.sortWithinPartitions("collection", "path", "shape").write.mode("error").partitionBy("collection", "path").parquet(folder)
+    return Routed(children.sparkSession, folder, children.schema, schema, tuple(keep))
 
 
 def declared_schema(fields: DataFrame) -> dict[str, tuple]:

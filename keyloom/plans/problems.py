@@ -128,40 +128,84 @@ p3 as (
 # ---------------------------------------------------------------- problem 4
 
 
-def _children(spark: SparkSession, d: str, payload: bool) -> tuple[DataFrame, dict]:
+_DOC = ["store_id", "lsn"]
+
+
+def _routed(spark: SparkSession, d: str) -> nested.Routed:
+    """All documents, flattened by one walk and routed to their typed tables."""
     schema = nested.declared_schema(table(spark, d, "schema_fields"))
-    return nested.flatten(nested.one_copy(table(spark, d, "schema_flush"), ["store_id", "lsn"]), schema, ["store_id", "lsn"], payload), schema
+    rows = nested.flatten(nested.one_copy(table(spark, d, "schema_flush"), _DOC), schema, _DOC)
+    return nested.route(rows, schema, _DOC, scratch(spark, "routed"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    rows, _ = _children(spark, d, payload=False)
-    return rows.select("store_id", "lsn", "path", "ordinals").distinct()
+    return _routed(spark, d).supertype().select(*_DOC, "path", "ordinals")
+
+
+def p4_parent_links(spark: SparkSession, d: str) -> DataFrame:
+    """The supertype table: every object with its parent."""
+    return _routed(spark, d).supertype().select(*_DOC, "path", "ordinals", "parent_path", "parent_ordinals", "extras")
 
 
 def p4_shapes(spark: SparkSession, d: str) -> DataFrame:
     """Structural variants per path and how many objects have them."""
-    rows, _ = _children(spark, d, payload=False)
-    return rows.groupBy("collection", "path", "shape", "extras").agg(F.count(F.lit(1)).alias("objects"))
+    return _routed(spark, d).supertype().groupBy("collection", "path", "shape", "extras").agg(F.count(F.lit(1)).alias("objects"))
 
 
 def p4_deal_rows(spark: SparkSession, d: str) -> DataFrame:
     """A typed child table: the rows of the deals of companies, linked to their deal."""
-    rows, schema = _children(spark, d, payload=True)
-    return nested.subtype_table(rows, schema, "companies", "deals.terms.rows", ["store_id", "lsn"])
+    return _routed(spark, d).table("companies", "deals.terms.rows")
+
+
+def p4_deal_amounts(spark: SparkSession, d: str) -> DataFrame:
+    """The typed columns of that table."""
+    return p4_deal_rows(spark, d).select(*_DOC, "ordinals", "parent_path", "parent_ordinals", "sku", "qty", "price")
 
 
 def p4_routed_rows(spark: SparkSession, d: str) -> DataFrame:
     """The rows of the typed tables of all declared paths and variants, with parent links and their typed columns as JSON."""
-    rows, schema = _children(spark, d, payload=True)
-    out = None
-    for (collection, path), t in nested.route(rows, schema, ["store_id", "lsn"], scratch(spark, "routed")).items():
-        link = ["store_id", "lsn", "ordinals", "parent_path", "parent_ordinals", "shape"]
+    routed, out = _routed(spark, d), None
+    for collection, path in routed.paths():
+        t = routed.table(collection, path)
+        link = [*_DOC, "ordinals", "parent_path", "parent_ordinals", "shape"]
         typed = F.to_json(F.struct(*[F.col(f"`{c}`").alias(c) for c in t.columns if c not in (*link, "payload")]))
         part = t.select(F.lit(collection).alias("collection"), F.lit(path).alias("path"), *link, typed.alias("typed"), "payload")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+# The declared types and the documents are walked level by level: a text that encodes JSON is read first, then an
+# object gives its declared fields and an array its elements.
+_P4 = """
+with recursive types as (
+  select collection, '{"object":[' || string_agg('{"name":"' || name || '","type":' || case when starts_with(trim(field_type), '{') then field_type else '"' || field_type || '"' end || '}', ',') || ']}' as t
+  from schema_fields group by collection),
+docs as (
+  select store_id, lsn, collection, document from (
+    select *, row_number() over (partition by store_id, lsn order by arrived_at nulls last, length(document), document) as rn from schema_flush where document is not null)
+  where rn = 1 and json_valid(document)),
+walk as (
+  select store_id, lsn, d.document as v, t.t, '' as path, '' as ordinals, '' as parent_path, '' as parent_ordinals, false as element
+  from docs d join types t on t.collection = d.collection
+  union all
+  select store_id, lsn, n.v, n.t, n.path, n.ordinals, n.parent_path, n.parent_ordinals, n.element
+  from walk w, lateral (
+    select w.v ->> '$' as v, w.t, w.path, w.ordinals, w.parent_path, w.parent_ordinals, w.element
+    where json_type(w.v) = 'VARCHAR' and json_valid(w.v ->> '$')
+    union all
+    select json_extract(w.v, '$."' || (f.x ->> '$.name') || '"')::varchar, f.x -> '$.type', case when w.path = '' then '' else w.path || '.' end || (f.x ->> '$.name'), w.ordinals,
+      case when w.element then w.path else w.parent_path end, case when w.element then w.ordinals else w.parent_ordinals end, false
+    from (select unnest(json_extract(w.t, '$.object[*]')) as x) f
+    where json_type(w.v) = 'OBJECT' and json_type(w.t) = 'OBJECT' and json_type(f.x, '$.type') = 'OBJECT' and json_type(json_extract(w.v, '$."' || (f.x ->> '$.name') || '"')) in ('OBJECT', 'ARRAY', 'VARCHAR')
+    union all
+    select json_extract(w.v, '$[' || i || ']')::varchar, json_extract(w.t, '$.array'), w.path, case when w.ordinals = '' then '' else w.ordinals || '.' end || i, w.parent_path, w.parent_ordinals, true
+    from (select unnest(range(coalesce(json_array_length(w.v), 0)::bigint)) as i where json_type(w.v) = 'ARRAY' and json_type(w.t, '$.array') = 'OBJECT') e
+    union all
+    select w.v, json_extract(w.t, '$.array'), w.path, case when w.ordinals = '' then '' else w.ordinals || '.' end || '0', w.parent_path, w.parent_ordinals, true
+    where json_type(w.v) = 'OBJECT' and json_type(w.t, '$.array.object') = 'ARRAY') n),
+p4 as (select distinct store_id, lsn, path, ordinals, parent_path, parent_ordinals, v, t from walk where element and json_type(v) = 'OBJECT' and json_type(t, '$.object') = 'ARRAY')
+"""
+
 # ---------------------------------------------------------------- problem 5
 
 #: Identifier and tie-break of each log that is delivered at least once.
@@ -239,8 +283,10 @@ QUERIES = {
     "p3_pending_per_store": p3_pending_per_store,
     "p3_runs_after_failure": p3_runs_after_failure,
     "p4_found": p4_found,
+    "p4_parent_links": p4_parent_links,
     "p4_shapes": p4_shapes,
     "p4_deal_rows": p4_deal_rows,
+    "p4_deal_amounts": p4_deal_amounts,
     "p4_routed_rows": p4_routed_rows,
     "p5_found": p5_found,
     "p5_unique_flush": p5_unique_flush,
@@ -258,6 +304,13 @@ SQL = {
     "p3_found": _P3 + "select log_name, store_id, rec_key, lsn from p3",
     "p3_pending_per_store": _P3 + "select log_name, store_id, count(*) as pending, min(lsn) as first_lsn, max(lsn) as last_lsn from p3 group by all",
     "p3_runs_after_failure": "select case when min(arrived_at) < timestamp '2025-02-01 00:00:00' then 1 else 2 end as run, store_id, decode(key) as rec_key, version as lsn from flush_records group by store_id, key, version",
+    "p4_found": _P4 + "select store_id, lsn, path, ordinals from p4",
+    "p4_parent_links": _P4 + """
+select store_id, lsn, path, ordinals, parent_path, parent_ordinals,
+  exists (select 1 from (select unnest(json_keys(v)) as k) where k not in (select unnest(json_extract_string(t, '$.object[*].name')))) as extras from p4""",
+    "p4_deal_amounts": _P4 + """
+select store_id, lsn, ordinals, parent_path, parent_ordinals, v ->> '$.sku' as sku, case when json_type(v, '$.qty') in ('BIGINT', 'UBIGINT') then try_cast(v ->> '$.qty' as int) end as qty,
+  case when json_type(v, '$.price') in ('BIGINT', 'UBIGINT', 'DOUBLE') then (v ->> '$.price')::double end as price from p4 where path = 'deals.terms.rows'""",
     "p5_found": """
 select 'flush_records' as log_name, store_id, decode(key) as rec_key, version as ident from flush_records group by all having count(*) > 1
 union all select 'schema_flush', store_id, decode(key), lsn from schema_flush group by all having count(*) > 1""",

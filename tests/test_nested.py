@@ -3,7 +3,7 @@ import os
 
 import __spark_entry__ as entry
 import pytest
-from keyloom.operators.nested import Flattener, compile_fields, flatten, object_paths, one_copy, route, routed_variant, subtype_table
+from keyloom.operators.nested import Flattener, compile_fields, flatten, object_paths, one_copy, route, subtype_table
 from pyspark.sql import functions as F
 
 SCHEMA = compile_fields([
@@ -38,6 +38,33 @@ def test_ill_formed_documents_give_nothing():
         assert found(text) == []
 
 
+def test_text_in_text_is_read_however_often():
+    doc = {"items": [{"n": 1}]}
+    for _ in range(20):
+        doc["items"] = json.dumps(doc["items"])
+        if len(doc["items"]) > 1 << 22:
+            break
+        assert found(doc) == [("items", "0")]
+    text = json.dumps([{"n": 1}])
+    for times in range(17):
+        text = json.dumps(text)
+    assert found('{"items":' + text + "}") == [("items", "0")]
+
+
+def test_depth_of_other_fields_does_not_matter(spark):
+    for deep in ("[" * 200000 + "]" * 200000, '{"a":' * 3000 + "1" + "}" * 3000):
+        text = '{"items":[{"n":1,"more":' + deep + "}],\"other\":" + deep + "}"
+        assert found(text) == [("items", "0")]
+        kids = flatten(spark.createDataFrame([("s", 1, "c", text, None)], DOC), SCHEMA, ["lsn"])
+        row = subtype_table(kids, SCHEMA, "c", "items", ["lsn"]).first()
+        assert row["n"] == 1 and json.loads(row["payload"])["more"] == deep
+    assert found('{"items":[{"n":1}],"other":' + "[" * 200000 + "}") == []
+
+
+def test_long_numbers():
+    assert found('{"items":[{"n":' + "9" * 6000 + "}]}") == [("items", "0")]
+
+
 def test_equal_shapes_share_a_state():
     walk = Flattener(SCHEMA["c"])
     shapes = [r[4] for r in walk.rows(json.dumps({"items": [{"n": 1}, {"n": 9}, {"n": "x"}, {"n": 1, "extra": 0}, {"in": {"rows": []}}]}))]
@@ -90,14 +117,16 @@ def test_all_paths_and_variants_are_routed(spark, tmp_path, as_rows):
     df = spark.createDataFrame([("s", 1, "c", json.dumps({"items": items, "grid": [[{"x": 1}], [{"x": 2}]]}), None)], DOC)
     kids = flatten(df, SCHEMA, ["lsn"])
     folder = f"{tmp_path}/routed"
-    tables = route(kids, SCHEMA, ["lsn"], folder)
+    routed = route(kids, SCHEMA, ["lsn"], folder)
+    tables = {at: routed.table(*at) for at in routed.paths()}
+    assert as_rows(routed.supertype(), "path", "ordinals") == as_rows(kids, "path", "ordinals")
     assert sorted(tables) == [("c", "grid"), ("c", "items"), ("c", "items.in.rows")]
     link = ["ordinals", "parent_path", "parent_ordinals"]
     assert as_rows(tables["c", "items.in.rows"], *link, "v") == [("0.0", "items", "0", 1.0), ("0.1", "items", "0", None), ("1.0", "items", "1", None)]
     assert as_rows(tables["c", "grid"], *link, "x") == [("0.0", "", "", 1), ("1.0", "", "", 2)] and as_rows(tables["c", "items"], "n") == [(1,), (2,), (3,)]
     for (c, p), t in tables.items():
         shapes = [r["shape"] for r in t.select("shape").distinct().collect()]
-        parts = [as_rows(routed_variant(spark, folder, kids.schema, SCHEMA, c, p, ["lsn"], s), "ordinals") for s in shapes]
+        parts = [as_rows(routed.table(c, p, s), "ordinals") for s in shapes]
         assert sorted(sum(parts, [])) == as_rows(t, "ordinals") and len(shapes) == {"items": 3, "items.in.rows": 3, "grid": 1}[p]
 
 
