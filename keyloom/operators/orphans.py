@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from keyloom.functions.keys import key_parts
+from keyloom.session import cut
 
 #: Runs are cut at multiples of 2**BLOCK_BITS, so that a block holds at most half
 #: as many runs and an as-of match never leaves its block.
@@ -15,8 +16,15 @@ NEVER = "9999-12-31 00:00:00"
 PARTS = ("prefix", "width", "block")
 
 
+def _events(parents: DataFrame) -> DataFrame:
+    """Versions of parents with defaults for nulls: collection, id, kl_v, kl_dead, kl_at."""
+    return parents.where("id is not null").select(
+        "collection", "id", F.coalesce("version", F.lit(0)).cast("bigint").alias("kl_v"), F.coalesce("tombstone", F.lit(False)).alias("kl_dead"), F.coalesce(F.col("arrived_at"), F.lit(NEVER).cast("timestamp_ntz")).alias("kl_at")
+    )
+
+
 def parent_summary(parents: DataFrame) -> DataFrame:
-    """Per parent key: first arrival, whether it was ever deleted, whether it holds in the end.
+    """Per parent key that holds in the end: first arrival, whether it was ever deleted.
 
     ``parents``: collection, id, version, tombstone, arrived_at, one row per
     version, in any order, with repetitions.  All aggregates are of fixed width
@@ -24,12 +32,10 @@ def parent_summary(parents: DataFrame) -> DataFrame:
     tombstone as false, a null arrival as after everything; rows without id are
     no parents.  Of two rows with one version the tombstone holds.
     """
-    dead = F.coalesce(F.col("tombstone"), F.lit(False))
-    code = F.shiftleft(F.coalesce("version", F.lit(0)).cast("bigint"), 1).bitwiseOR(dead.cast("bigint"))
-    seen = F.coalesce(F.col("arrived_at"), F.lit(NEVER).cast("timestamp_ntz"))
-    rows = parents.where("id is not null").select("collection", "id", code.alias("kl_code"), dead.alias("kl_dead"), seen.alias("kl_at"))
-    per_key = rows.groupBy("collection", "id").agg(F.min("kl_at").alias("kl_first"), F.max("kl_dead").alias("kl_deleted"), F.max("kl_code").alias("kl_code"))
-    return per_key.where(F.col("kl_code").bitwiseAND(F.lit(1).cast("bigint")) == 0).drop("kl_code")
+    top, gone = F.max(F.when(~F.col("kl_dead"), F.col("kl_v"))), F.max(F.when(F.col("kl_dead"), F.col("kl_v")))
+    per_key = _events(parents).groupBy("collection", "id").agg(F.min("kl_at").alias("kl_first"), top.alias("kl_top"), gone.alias("kl_gone"))
+    held = per_key.where(F.col("kl_top").isNotNull() & (F.col("kl_gone").isNull() | (F.col("kl_top") > F.col("kl_gone"))))
+    return held.select("collection", "id", "kl_first", F.col("kl_gone").isNotNull().alias("kl_deleted"))
 
 
 def key_runs(live: DataFrame) -> DataFrame:
@@ -37,30 +43,26 @@ def key_runs(live: DataFrame) -> DataFrame:
 
     A key is its prefix, digit count and number (:func:`key_parts`).  Of each
     run come its first and last number, the start of the run after it in the
-    block, and ``kl_settled``: from then on all its keys hold without a break
-    (null if one was ever deleted).
+    block, and, key by key (at most a block of them), since when each holds and
+    whether it was ever deleted.
     """
     parts = key_parts(F.col("id"))
     rows = live.select("collection", parts["prefix"].alias("prefix"), parts["width"].alias("width"), F.shiftright(parts["number"], BLOCK_BITS).alias("block"), parts["number"].alias("kl_n"), "kl_first", "kl_deleted")
     group = Window.partitionBy("collection", *PARTS).orderBy("kl_n")
     rows = rows.withColumn("kl_run", F.col("kl_n") - F.row_number().over(group))
-    settled = F.when(~F.max("kl_deleted"), F.max("kl_first"))
-    runs = rows.groupBy("collection", *PARTS, "kl_run").agg(F.min("kl_n").alias("kl_start"), F.max("kl_n").alias("kl_end"), settled.alias("kl_settled"))
+    each = F.array_sort(F.collect_list(F.struct("kl_n", "kl_first", "kl_deleted")))
+    runs = rows.groupBy("collection", *PARTS, "kl_run").agg(F.min("kl_n").alias("kl_start"), F.max("kl_n").alias("kl_end"), each.alias("kl_each"))
     starts = Window.partitionBy("collection", *PARTS).orderBy("kl_start")
     return runs.drop("kl_run").withColumn("kl_next", F.lead("kl_start").over(starts))
 
 
 def _lifetimes(parents: DataFrame, keys: DataFrame) -> DataFrame:
     """Spans in which keys that were deleted and came back held: collection, id, kl_from, kl_to."""
-    dead = F.coalesce(F.col("tombstone"), F.lit(False)).cast("bigint")
-    code = F.shiftleft(F.coalesce("version", F.lit(0)).cast("bigint"), 1).bitwiseOR(dead)
-    seen = F.coalesce(F.col("arrived_at"), F.lit(NEVER).cast("timestamp_ntz"))
-    rows = parents.select("collection", "id", code.alias("kl_code"), seen.alias("kl_at")).join(keys.select("collection", "id"), ["collection", "id"], "left_semi")
-    rows = rows.groupBy("collection", "id", "kl_code").agg(F.min("kl_at").alias("kl_at"))
-    points = rows.groupBy("collection", "id", "kl_at").agg(F.max("kl_code").alias("kl_code"))
+    rows = _events(parents).join(keys.select("collection", "id"), ["collection", "id"], "left_semi")
+    points = rows.groupBy("collection", "id", "kl_at").agg(F.max(F.struct("kl_v", "kl_dead")).alias("kl_code"))
     w = Window.partitionBy("collection", "id").orderBy("kl_at")
     points = points.withColumn("kl_top", F.max("kl_code").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("kl_to", F.lead("kl_at").over(w))
-    return points.where(F.col("kl_top").bitwiseAND(F.lit(1).cast("bigint")) == 0).select("collection", "id", F.col("kl_at").alias("kl_from"), "kl_to")
+    return points.where(~F.col("kl_top.kl_dead")).select("collection", "id", F.col("kl_at").alias("kl_from"), "kl_to")
 
 
 def orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
@@ -70,19 +72,19 @@ def orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
     to pass through; ``parents`` as in :func:`parent_summary`.  Returns the
     orphan rows of ``references`` unchanged.
 
-    1. Parent keys that hold in the end are compressed into runs.  Each
-       reference is matched as of the run that starts at or before its number;
-       beyond that run's end, or with no such run, it is an orphan.
-    2. References inside a run that was settled when they were made are sound.
-    3. The others get an exact check against the first arrival of their target,
-       or, for the few keys that were deleted and came back, its lifetimes.
+    1. Parent keys that hold in the end are compressed into runs, once: the
+       summary is written to the shared folder.
+    2. Each reference is matched as of the run that starts at or before its
+       number; beyond that run's end, or with no such run, it is an orphan.
+    3. The run also tells since when the key holds.  Only references to keys
+       that were deleted and came back need their lifetimes.
 
     A null key is no reference.  A reference without time is checked against
     the end state alone.  The run index holds a few rows per gap in the keys
     and joins on blocks of keys; Spark broadcasts it only if its measured size
     allows that, else a skewed block is split by adaptive execution.
     """
-    live = parent_summary(parents)
+    live = cut(parent_summary(parents))
     parts = key_parts(F.col("reference_key"))
     passed = [F.col(c).alias(f"kl_c{i}") for i, c in enumerate(references.columns)]
     back = [F.col(f"kl_c{i}").alias(c) for i, c in enumerate(references.columns)]
@@ -92,21 +94,19 @@ def orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
         (F.col("kl_rc") == F.col("collection")) & (F.col("kl_prefix") == F.col("prefix")) & (F.col("kl_width") == F.col("width")) & (F.col("kl_block") == F.col("block"))
         & (F.col("kl_start") <= F.col("kl_num")) & (F.col("kl_next").isNull() | (F.col("kl_num") < F.col("kl_next")))
     )
-    matched = refs.join(runs, as_of, "left").drop("collection", *PARTS)
-    beyond = F.col("kl_end").isNull() | (F.col("kl_num") > F.col("kl_end"))
-    settled = F.col("kl_t").isNull() | F.coalesce(F.col("kl_t") >= F.col("kl_settled"), F.lit(False))
-    open_refs = matched.withColumn("kl_beyond", beyond).where(F.col("kl_beyond") | ~settled)
-    open_refs = open_refs.drop("kl_prefix", "kl_width", "kl_block", "kl_num", "kl_start", "kl_end", "kl_next", "kl_settled")
-    targets = live.select(F.col("collection").alias("kl_tc"), F.col("id").alias("kl_id"), "kl_first", "kl_deleted")
-    checked = open_refs.join(targets, (F.col("kl_rc") == F.col("kl_tc")) & (F.col("kl_key") == F.col("kl_id")), "left")
+    own = F.get("kl_each", (F.col("kl_num") - F.col("kl_start")).cast("int"))
+    within = F.coalesce(F.col("kl_num") <= F.col("kl_end"), F.lit(False))
+    matched = refs.join(runs, as_of, "left").select(*[f"kl_c{i}" for i in range(len(back))], "kl_rc", "kl_key", "kl_t", within.alias("kl_within"), F.when(within, own).alias("kl_own"))
+    early = F.coalesce(F.col("kl_t") < F.col("kl_own.kl_first"), F.lit(False))
+    again = F.coalesce(F.col("kl_own.kl_deleted"), F.lit(False)) & F.col("kl_t").isNotNull()
+    open_refs = matched.withColumn("kl_lost", ~F.col("kl_within") | early).withColumn("kl_again", again).where(F.col("kl_lost") | F.col("kl_again")).drop("kl_own", "kl_within")
     spans = _lifetimes(parents, live.where("kl_deleted")).select(F.col("collection").alias("kl_sc"), F.col("id").alias("kl_sid"), "kl_from", "kl_to")
     held = (
-        F.col("kl_deleted") & (F.col("kl_rc") == F.col("kl_sc")) & (F.col("kl_key") == F.col("kl_sid"))
+        F.col("kl_again") & (F.col("kl_rc") == F.col("kl_sc")) & (F.col("kl_key") == F.col("kl_sid"))
         & (F.col("kl_from") <= F.col("kl_t")) & (F.col("kl_to").isNull() | (F.col("kl_t") < F.col("kl_to")))
     )
-    spanned = checked.join(spans, held, "left")
-    early = F.coalesce(F.col("kl_t") < F.col("kl_first"), F.lit(False))
-    return spanned.where(F.col("kl_beyond") | early | (F.col("kl_deleted") & F.col("kl_from").isNull())).select(*back)
+    spanned = open_refs.join(spans, held, "left")
+    return spanned.where(F.col("kl_lost") | (F.col("kl_again") & F.col("kl_from").isNull())).select(*back)
 
 
 def declared_references(tables: dict[str, DataFrame], includes: DataFrame, fields: DataFrame) -> DataFrame:
