@@ -33,17 +33,32 @@ class Fold:
         return {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}[self.kind](F.col(self.name)).alias(self.name)
 
 
+def _sketch(share: float) -> Column:
+    """A frequent-items sketch of the column kl_hash, merged from fixed-size parts; its result has at most ``1 / share`` items."""
+    return F.expr(f"approx_top_k(kl_hash, {int(1 / share)}, {SKETCH_ITEMS})").alias("kl_top")
+
+
 def heavy_hashes(df: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE) -> DataFrame:
     """Hashes of the keys that hold at least ``share`` of the rows, perhaps a few lighter ones.
 
     One scan of the key columns, merged as fixed-size sketches; at most
     ``1 / share`` rows come out, which is the size bound for broadcasting it.
     """
-    bound = int(1 / share)
-    sketch = df.select(F.xxhash64(*keys).alias("kl_hash")).agg(F.expr(f"approx_top_k(kl_hash, {bound}, {SKETCH_ITEMS})").alias("kl_top"))
+    rows = df.select(F.xxhash64(*keys).alias("kl_hash"))
+    sketch = rows.agg(_sketch(share))
     return sketch.select(F.explode("kl_top").alias("kl_item")).select(F.col("kl_item.item").alias("kl_hash")).where("kl_hash is not null")
 
 
+def _salted(rows: DataFrame, keys: Sequence[str], folds: Sequence[Fold], salt: Column) -> DataFrame:
+    """Partial results per key and salt, then per key."""
+    stage1 = rows.withColumn("kl_salt", salt).groupBy(*keys, "kl_salt").agg(*[f.partial() for f in folds])
+    return stage1.groupBy(*keys).agg(*[f.merge() for f in folds])
+
+
+def _running_salt(salts: int) -> Column:
+    return F.pmod(F.monotonically_increasing_id(), F.lit(salts))
+
+
 def salted_fold(df: DataFrame, keys: Sequence[str], folds: Sequence[Fold], share: float = HEAVY_SHARE, salts: int = SALTS) -> DataFrame:
     """Aggregate per key in two stages, heavy keys by way of ``salts`` partial results.
 
@@ -60,17 +75,24 @@ def salted_fold(df: DataFrame, keys: Sequence[str], folds: Sequence[Fold], share
     inner = [Fold(f.name, f.kind, None if f.value is None else F.col(f"kl_v{i}")) for i, f in enumerate(folds)]
     heavy = heavy_hashes(rows.select(*kl_keys), kl_keys, share).withColumn("kl_heavy", F.lit(True))
     marked = rows.withColumn("kl_hash", F.xxhash64(*kl_keys)).join(F.broadcast(heavy), "kl_hash", "left")
-    salt = F.when(F.col("kl_heavy"), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(F.lit(0).cast("bigint"))
-    stage1 = marked.withColumn("kl_salt", salt).groupBy(*kl_keys, "kl_salt").agg(*[f.partial() for f in inner])
-    stage2 = stage1.groupBy(*kl_keys).agg(*[f.merge() for f in inner])
-    return stage2.select(*[F.col(a).alias(k) for k, a in zip(keys, kl_keys)], *[f.name for f in folds])
+    merged = _salted(marked, kl_keys, inner, F.when(F.col("kl_heavy"), _running_salt(salts)).otherwise(F.lit(0).cast("bigint")))
+    return merged.select(*[F.col(a).alias(k) for k, a in zip(keys, kl_keys)], *[f.name for f in folds])
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
+def heavy_keys(df: DataFrame, keys: Sequence[str], share: float, salts: int = SALTS) -> DataFrame:
     """The keys that hold at least ``share`` of all rows, with their ``records``.
 
-    Counts are exact and come from :func:`salted_fold`.  An empty input gives no rows.
+    One scan counts the rows and takes a sketch, whose error is below
+    4 / SKETCH_ITEMS of the rows, so with ``share`` of at least HEAVY_SHARE every
+    such key is among the at most ``1 / HEAVY_SHARE`` candidates (hashes, read to
+    the driver).  A second scan counts the candidates alone, exactly and by way
+    of salts; rows of other keys are never shuffled.  An empty input gives no rows.
     """
-    total = df.agg(F.count(F.lit(1)).alias("kl_n")).scalar()
-    counted = salted_fold(df, keys, [Fold("records", "count")])
-    return counted.where(F.col("records") >= F.lit(share) * total)
+    if share < HEAVY_SHARE:
+        raise ValueError(f"share must be at least {HEAVY_SHARE}")
+    names = [f"kl_k{i}" for i in range(len(keys))]
+    rows = df.select(*[F.col(k).alias(a) for k, a in zip(keys, names)]).withColumn("kl_hash", F.xxhash64(*names))
+    top, total = rows.agg(_sketch(HEAVY_SHARE), F.count(F.lit(1))).first()
+    candidates = [x["item"] for x in top or [] if x["item"] is not None and x["count"] > 0]
+    merged = _salted(rows.where(F.col("kl_hash").isin(candidates)), names, [Fold("records", "count")], _running_salt(salts))
+    return merged.where(F.col("records") >= F.lit(share) * total).select(*[F.col(a).alias(k) for k, a in zip(keys, names)], "records")
