@@ -24,10 +24,14 @@ def first_copies(df: DataFrame, ident: Sequence[str], arrived: str, tie: Sequenc
     return _ranked(df, ident, arrived, tie).where("kl_rank <= 1").drop("kl_rank")
 
 
-def repeated(df: DataFrame, ident: Sequence[str], arrived: str, tie: Sequence[str] = ()) -> DataFrame:
-    """Identifiers of which :func:`first_copies` removes at least one copy."""
-    cols = list(dict.fromkeys([*ident, arrived, *tie]))
-    return _ranked(df.select(*cols), ident, arrived, tie).where("kl_rank <= 2").where("kl_rank = 2").select(*ident)
+def repeated(df: DataFrame, ident: Sequence[str], arrived: str, tie: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+    """Identifiers of which :func:`first_copies` removes at least one copy, with the columns ``carry`` of the copy it keeps."""
+    rows = _ranked(df.select(*dict.fromkeys([*ident, arrived, *tie, *carry])), ident, arrived, tie)
+    kept = Window.partitionBy(*ident).orderBy("kl_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.where("kl_rank <= 2")
+    for c in carry:
+        rows = rows.withColumn(c, F.first(c).over(kept))
+    return rows.where("kl_rank = 2").select(*ident, *carry)
 
 
 def new_messages(batch: DataFrame, stored: DataFrame, ident: Sequence[str], arrived: str, tie: Sequence[str] = ()) -> DataFrame:

@@ -220,8 +220,8 @@ def _delivered(spark: SparkSession, d: str, name: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for name, (ident, number, _) in _DELIVERED.items():
-        ids = list(dict.fromkeys([*ident, "rec_key"]))
-        rows = dedupe.repeated(_delivered(spark, d, name), ids, "arrived_at", ["batch_id", "body_hash"])
+        carry = [] if "rec_key" in ident else ["rec_key"]
+        rows = dedupe.repeated(_delivered(spark, d, name), ident, "arrived_at", ["batch_id", "body_hash"], carry)
         rows = rows.select(F.lit(name).alias("log_name"), "store_id", "rec_key", F.col(number).alias("ident"))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -313,7 +313,7 @@ select store_id, lsn, ordinals, parent_path, parent_ordinals, v ->> '$.sku' as s
   case when json_type(v, '$.price') in ('BIGINT', 'UBIGINT', 'DOUBLE') then (v ->> '$.price')::double end as price from p4 where path = 'deals.terms.rows'""",
     "p5_found": """
 select 'flush_records' as log_name, store_id, decode(key) as rec_key, version as ident from flush_records group by all having count(*) > 1
-union all select 'schema_flush', store_id, decode(key), lsn from schema_flush group by all having count(*) > 1""",
+union all select 'schema_flush', store_id, arg_min(decode(key), (arrived_at, batch_id)), lsn from schema_flush group by store_id, lsn having count(*) > 1""",
     "p5_unique_flush": "select store_id, decode(key) as rec_key, version, strftime(min(arrived_at), '%Y-%m-%d %H:%M:%S.%f') as first_arrival from flush_records group by store_id, key, version",
     "p5_new_messages": "select store_id, decode(key) as rec_key, version from flush_records group by store_id, key, version having min(arrived_at) >= timestamp '2025-02-01 00:00:00'",
     "p6_found": _P6 + "select store_id, collection, rec_key, lsn from p6",
