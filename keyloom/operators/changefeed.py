@@ -34,18 +34,19 @@ def fold_changes(changes: DataFrame, keys: Sequence[str], payload: Sequence[str]
     outranks a Delete, then the larger payload wins.  Null key parts are keys
     like any other.
 
-    Without payload the pair is packed into one bigint, which keeps the
-    aggregate in a hash table; sequence numbers must then lie below 2**62.
+    Without payload the greatest (sequence, operation) is that of the greatest
+    Put and the greatest Delete, so two numbers are folded, which keeps the
+    aggregate in a hash table.
     """
     cols = [*keys, "kl_seq", "kl_live", *payload]
     rows = changes.select(*cols)
     if base is not None:
         rows = rows.unionByName(base.select(*cols))
     if not payload:
-        packed = F.shiftleft(F.col("kl_seq"), 1).bitwiseOR(F.col("kl_live").cast("bigint"))
-        checked = F.when(F.abs("kl_seq") < F.lit(1 << 62), packed).otherwise(F.raise_error(F.lit("sequence number beyond 2**62")))
-        best = rows.groupBy(*keys).agg(F.max(checked).alias("kl_best"))
-        return best.select(*keys, F.shiftright("kl_best", 1).alias("kl_seq"), (F.col("kl_best").bitwiseAND(F.lit(1).cast("bigint")) == 1).alias("kl_live"))
+        put, gone = (F.max(F.when(F.col("kl_live") == x, F.col("kl_seq"))) for x in (True, False))
+        best = rows.groupBy(*keys).agg(put.alias("kl_put"), gone.alias("kl_gone"))
+        live = F.col("kl_put").isNotNull() & (F.col("kl_gone").isNull() | (F.col("kl_put") >= F.col("kl_gone")))
+        return best.select(*keys, F.greatest("kl_put", "kl_gone").alias("kl_seq"), live.alias("kl_live"))
     best = rows.groupBy(*keys).agg(F.max(F.struct("kl_seq", "kl_live", *payload)).alias("kl_best"))
     return best.select(*keys, "kl_best.kl_seq", "kl_best.kl_live", *[f"kl_best.{p}" for p in payload])
 
