@@ -9,12 +9,14 @@ of an item depends on the capacity alone.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keyloom.session import cut
 
@@ -54,11 +56,28 @@ def token_counter(path: str):
     return _loaded[path]
 
 
+def shipped_file(spark: SparkSession, path: str) -> str:
+    """Send a file to all workers, once per application; the name they find it by.  Files of one name must be one file."""
+    sc = spark.sparkContext
+    sent = sc.__dict__.setdefault("_keyloom_files", {})
+    name = os.path.basename(path)
+    if sent.setdefault(name, path) != path:
+        raise ValueError(f"{name} was sent from {sent[name]} already")
+    if name not in {os.path.basename(f) for f in sc.listFiles}:
+        sc.addFile(path)
+    return name
+
+
 def token_counts(documents: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
-    """doc_id and n_tokens of each document; null and empty texts have 0."""
+    """doc_id and n_tokens of each document; null and empty texts have 0.
+
+    The driver sends the tokenizer's file to the workers; no other machine needs it.
+    """
+
+    name = shipped_file(documents.sparkSession, tokenizer)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = token_counter(tokenizer)
+        count = token_counter(SparkFiles.get(name))
         for batch in batches:
             n = count([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
@@ -184,3 +203,25 @@ def fill_report(packed: DataFrame, specs: DataFrame) -> DataFrame:
     totals = sums.groupBy("spec_id").agg(F.sum("d").alias("documents"), F.sum("p").alias("parts"), F.sum("t").alias("tokens"), F.count("container_id").alias("containers"), F.max("t").alias("fullest"))
     rows = totals.join(specs.select("spec_id", "capacity_tokens").distinct(), "spec_id")
     return rows.select("spec_id", "documents", "parts", "tokens", "containers", "fullest", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_containers"), F.round(F.try_divide("tokens", F.col("containers") * F.col("capacity_tokens")), 6).alias("used"))
+
+
+def faults(packed: DataFrame, specs: DataFrame) -> DataFrame:
+    """What a packing must not have, per specification: spec_id, documents, overfull, torn, gaps, unplaced.
+
+    ``overfull``: containers above their capacity; ``torn``: documents in
+    several parts though they fit one container; ``gaps``: documents whose parts
+    don't follow each other from token 0; ``unplaced``: parts with tokens but no
+    container.  doc_id must be unique.
+    """
+    caps = specs.select("spec_id", F.col("capacity_tokens").alias("kl_cap")).distinct()
+    rows = packed.join(caps, "spec_id")
+    fill = rows.where("container_id is not null").groupBy("spec_id", "container_id", "kl_cap").agg(F.sum("n_tokens").alias("t"))
+    over = fill.groupBy("spec_id").agg(F.count_if(F.col("t") > F.col("kl_cap")).alias("overfull"))
+    per_doc = rows.groupBy("spec_id", "doc_id", "kl_cap").agg(
+        F.count(F.lit(1)).alias("parts"), F.sum("n_tokens").alias("t"), F.max(F.col("start_token") + F.col("n_tokens")).alias("e"), F.max("part").alias("last"), F.count_if((F.col("n_tokens") > 0) & F.col("container_id").isNull()).alias("u"),
+        F.count_if((F.col("start_token") != F.col("part") * F.col("kl_cap"))).alias("moved"),
+    )
+    torn = F.count_if((F.col("parts") > 1) & (F.col("t") <= F.col("kl_cap")))
+    gaps = F.count_if((F.col("t") != F.col("e")) | (F.col("last") + 1 != F.col("parts")) | (F.col("moved") > 0))
+    sums = per_doc.groupBy("spec_id").agg(F.count(F.lit(1)).alias("documents"), torn.alias("torn"), gaps.alias("gaps"), F.sum("u").alias("unplaced"))
+    return sums.join(over, "spec_id", "left").select("spec_id", "documents", F.coalesce("overfull", F.lit(0).cast("bigint")).alias("overfull"), "torn", "gaps", "unplaced")

