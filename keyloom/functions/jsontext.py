@@ -25,15 +25,18 @@ _decode = json.JSONDecoder(parse_constant=_no_constant).decode
 _encode = json.JSONEncoder(separators=(",", ":")).encode
 
 
-def parse(text: str):
-    """The value of a JSON text by the letter: NaN and Infinity are errors, as is anything after the value.  ValueError if it is ill-formed."""
+def parse(text: str, pairs=None):
+    """The value of a JSON text by the letter: NaN and Infinity are errors, as is anything after the value.  ValueError if it is ill-formed.
+
+    ``pairs`` makes an object of its (name, value) pairs; a dictionary by default.
+    """
     try:
-        return _decode(text)
+        return _decode(text) if pairs is None else json.JSONDecoder(parse_constant=_no_constant, object_pairs_hook=pairs).decode(text)
     except RecursionError:
-        return parse_deep(text)
+        return parse_deep(text, pairs)
 
 
-def parse_deep(text: str):
+def parse_deep(text: str, pairs=None):
     """:func:`parse` without recursion."""
     stack: list[tuple[object, str | None]] = []
     out, key, at = None, None, 0
@@ -55,14 +58,16 @@ def parse_deep(text: str):
             state = "value"
             continue
         if state == "comma" and mark == ",":
-            state = "key" if isinstance(stack[-1][0], dict) else "value"
+            state = "key" if isinstance(stack[-1][0], _Pairs) else "value"
             continue
-        if mark in ("]", "}") and stack and state in ("comma", "first" if mark == "]" else "firstkey") and isinstance(stack[-1][0], list if mark == "]" else dict):
+        if mark in ("]", "}") and stack and state in ("comma", "first" if mark == "]" else "firstkey") and isinstance(stack[-1][0], list if mark == "]" else _Pairs):
             value, key = stack.pop()
+            if mark == "}":
+                value = dict(value.pairs) if pairs is None else pairs(value.pairs)
         elif state not in ("value", "first"):
             raise ValueError(f"unexpected text at {at}")
         elif mark in ("[", "{"):
-            stack.append(([] if mark == "[" else {}, key))
+            stack.append(([] if mark == "[" else _Pairs(), key))
             state = "first" if mark == "[" else "firstkey"
             continue
         elif mark is not None:
@@ -77,13 +82,20 @@ def parse_deep(text: str):
             out, state = value, "end"
         else:
             top = stack[-1][0]
-            if isinstance(top, dict):
-                top[key] = value
+            if isinstance(top, _Pairs):
+                top.pairs.append((key, value))
             else:
                 top.append(value)
             state = "comma"
 
 
+class _Pairs:
+    """An object that is still open."""
+
+    def __init__(self) -> None:
+        self.pairs: list[tuple[str, object]] = []
+
+
 def dump(value) -> str:
     """The value as compact JSON text, however deep."""
     try:

@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import json
+import math
 import re
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from keyloom.functions.jsontext import parse
 
 #: Array levels that a type string may have, nesting and sizes that a value may have.
 MAX_ARRAY_LEVELS, MAX_DEPTH, MAX_ITEMS, MAX_BYTES = 8, 64, 1 << 20, 64 << 20
 SPARK_SCALARS = {"string": T.StringType(), "int32": T.IntegerType(), "int64": T.LongType(), "float": T.DoubleType(), "bool": T.BooleanType(), "json": T.StringType(), "bytes": T.BinaryType()}
 KEY_TYPES = ("string", "int32", "int64", "bytes")
 NUMERIC = ("int32", "int64", "float")
+#: An integer beyond it is no finite float.
+MAX_FLOAT = int(sys.float_info.max)
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_-]*")
 
 
@@ -234,15 +240,6 @@ def _unique_names(pairs: list[tuple]) -> dict:
     return out
 
 
-def _no_constant(name: str):
-    raise ValueError(name)
-
-
-def _number(digits: str) -> int | float:
-    """An integer, or where it is longer than any declared type holds, a float."""
-    return int(digits) if len(digits) <= 20 else float(digits)
-
-
 def _value_faults(value, t: FieldType, path: str, out: list[str]) -> None:
     fault = None
     if t.kind == "object":
@@ -264,7 +261,7 @@ def _value_faults(value, t: FieldType, path: str, out: list[str]) -> None:
     elif t.kind == "float":
         if type(value) not in (int, float):
             fault = "type"
-        elif value in (float("inf"), float("-inf")):
+        elif not math.isfinite(value) if isinstance(value, float) else abs(value) > MAX_FLOAT:
             fault = "not_finite"
     elif t.kind == "bool":
         fault = None if isinstance(value, bool) else "type"
@@ -292,8 +289,8 @@ def _field_faults(obj: dict, fields: tuple[Field, ...], prefix: str, out: list[s
 
 def _document_faults(text: str | None, schema: Schema) -> list[str]:
     try:
-        doc = json.loads(text, parse_constant=_no_constant, parse_int=_number, object_pairs_hook=_unique_names)
-    except (TypeError, ValueError, RecursionError):
+        doc = parse(text, _unique_names)
+    except (TypeError, ValueError):
         return ["document: malformed"]
     if not isinstance(doc, dict):
         return ["document: type"]
@@ -329,8 +326,8 @@ def _codec_fault(text: str | None) -> str | None:
     if len(text.encode("utf-8", "surrogatepass")) > MAX_BYTES:
         return "too_large"
     try:
-        level, depth = [json.loads(text)], 0
-    except (ValueError, RecursionError):
+        level, depth = [parse(text)], 0
+    except ValueError:
         return "malformed"
     while level:
         depth += 1
@@ -389,51 +386,182 @@ def multi_get_positional(docs: DataFrame, requested: DataFrame, key: str) -> Dat
     return requested.join(docs, key, "left").orderBy("ordinal")
 
 
-def create_only(current: DataFrame, batch: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of the batch whose key is new, and those whose key exists."""
-    return batch.join(current.select(key).distinct(), key, "left_anti"), batch.join(current.select(key).distinct(), key, "left_semi")
+def create_only(current: DataFrame, batch: DataFrame, key: str, order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Rows of the batch that create their key, and those whose key exists or was created by an earlier row of the batch.
+
+    Rows of one key are taken in ``order``, then in that of their other columns;
+    of rows that are equal in all any one creates.  Null keys are one key.
+    """
+    rest = [c for c in batch.columns if c != key and c not in order]
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*order, *rest)) if order or rest else F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))
+    known = current.select(F.col(key).alias("kl_known")).distinct().withColumn("kl_there", F.lit(True))
+    marked = batch.withColumn("kl_rank", first).join(known, F.col(key).eqNullSafe(F.col("kl_known")), "left")
+    creates = F.col("kl_there").isNull() & (F.col("kl_rank") == 1)
+    return marked.where(creates).select(*batch.columns), marked.where(~creates).select(*batch.columns)
 
 
-def partial_update(docs: DataFrame, key: str, sets: dict[str, Column] | None = None, unset: Sequence[str] = (), increment: dict[str, Column] | None = None, where: Column | None = None) -> DataFrame:
-    """Set, unset and increment fields (dotted paths reach into structs) of the matching documents.
+@dataclass(frozen=True)
+class Update:
+    """One step of an update: ``set`` a path to a value, ``unset`` it, or ``increment`` it by a whole number."""
 
-    The primary key can't be changed.  An increment of a missing number starts
-    from 0; integer overflow is an error.
+    kind: str
+    path: str
+    value: object = None
+
+
+def _child(kind: T.DataType | None, name: str, path: str) -> T.DataType | None:
+    if kind is None:
+        return None
+    if not isinstance(kind, T.StructType):
+        raise SchemaError("path_not_object", path)
+    return kind[name].dataType if name in kind.names else None
+
+
+def _rebuilt(old: Column | None, kind: T.DataType | None, parts: list[str], path: str, leaf) -> tuple[Column, T.DataType]:
+    """A struct with the value at ``parts`` made anew by ``leaf(old value, its type)``; missing and null parents are made."""
+    if not parts:
+        return leaf(old, kind)
+    below, name = _child(kind, parts[0], path), parts[0]
+    value, made = _rebuilt(old[name] if below is not None else None, below, parts[1:], path, leaf)
+    fields = kind.fields if kind is not None else []
+    cols = [(value if f.name == name else old[f.name]).alias(f.name) for f in fields]
+    types = [T.StructField(f.name, made if f.name == name else f.dataType) for f in fields]
+    if below is None:
+        cols, types = [*cols, value.alias(name)], [*types, T.StructField(name, made)]
+    return F.struct(*cols), T.StructType(types)
+
+
+def _at(df: DataFrame, path: str) -> Column | None:
+    """The value at a path, null where a parent is; None if no document can have one."""
+    kind: T.DataType | None = df.schema
+    for name in path.split("."):
+        if not isinstance(kind, T.StructType) or name not in kind.names:
+            return None
+        kind = kind[name].dataType
+    return F.col(".".join(f"`{x}`" for x in path.split(".")))
+
+
+def _apply(docs: DataFrame, step: Update) -> DataFrame:
+    """The documents (columns and struct paths) after one step, and in ``kl_fault`` what it must not do."""
+    top, *parts = step.path.split(".")
+    kind = docs.schema[top].dataType if top in docs.columns else None
+    old = F.col(f"`{top}`") if kind is not None else None
+    fault = F.lit(None).cast("string")
+    if step.kind == "unset":
+        if _at(docs, step.path) is None:
+            return docs
+        if not parts:
+            return docs.withColumn(top, F.lit(None).cast(kind))
+        new, _ = _rebuilt(old, kind, parts, step.path, lambda _, k: (F.lit(None).cast(k), k))
+        return docs.withColumn(top, F.when(old.isNotNull(), new))
+    if step.kind == "set":
+        value = step.value if isinstance(step.value, Column) else F.lit(step.value)
+        given = docs.select(value.alias("v")).schema["v"].dataType
+
+        def leaf(_, k):
+            return (value.cast(k), k) if k is not None else (value, given)
+    else:
+        by = F.lit(int(step.value)).cast("bigint")
+
+        def leaf(v, k):
+            nonlocal fault
+            if k is None:
+                return by, T.LongType()
+            if isinstance(k, (T.FloatType, T.DoubleType)):
+                return (F.coalesce(v, F.lit(0.0)) + by).cast(k), k
+            if not isinstance(k, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+                raise SchemaError("not_incrementable", step.path)
+            total = F.coalesce(v.cast("bigint"), F.lit(0).cast("bigint"))
+            fits = F.try_add(total, by).try_cast(k)
+            fault = F.when(fits.isNull(), F.lit(f"{step.path}: overflow"))
+            return fits, k
+
+    new, _ = _rebuilt(old, kind, parts, step.path, leaf)
+    return docs.withColumn("kl_fault", F.coalesce("kl_fault", fault)).withColumn(top, new)
+
+
+def update_documents(docs: DataFrame, key: str, steps: Sequence[Update], where: Column | None = None, required: Sequence[str] = ()) -> DataFrame:
+    """Apply updates in order to the matching documents; adds ``update_error``, null where all went well.
+
+    Paths lead through struct columns.  Setting makes what is missing on the
+    way, parents that are null included; an increment of a missing number starts
+    from 0.  A document for which a step overflows, or that would lack a
+    ``required`` path afterwards, stays as it was and says why.  Changing the
+    key, a path through something other than an object, and incrementing
+    something other than a number are errors of the call.  Documents that don't
+    match ``where`` (null is no match) get columns that are new as null.
     """
-    for name in [*(sets or {}), *unset, *(increment or {})]:
-        if name.split(".")[0] == key:
-            raise SchemaError("primary_key_update", name)
+    for step in steps:
+        if step.kind not in ("set", "unset", "increment"):
+            raise SchemaError("unknown_update", step.kind)
+        if step.path.split(".")[0] == key:
+            raise SchemaError("primary_key_update", step.path)
+    names = docs.columns
+    tops = list(dict.fromkeys(s.path.split(".")[0] for s in steps))
     applies = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    out = docs.withColumn("kl_applies", applies)
-    hit = F.col("kl_applies")
-    for name, value in (sets or {}).items():
-        out = _put(out, name, F.when(hit, value).otherwise(F.col(name)) if _has(out, name) else F.when(hit, value))
-    for name in unset:
-        if not _has(out, name):
+    kept = [F.col(f"`{c}`").alias(f"kl_old_{i}") for i, c in enumerate(tops) if c in names]
+    work = docs.select(*[F.col(f"`{c}`") for c in names], *kept, applies.alias("kl_applies"), F.lit(None).cast("string").alias("kl_fault"))
+    for step in steps:
+        work = _apply(work, step)
+    lacks = [F.when(v.isNull() if (v := _at(work, r)) is not None else F.lit(True), F.lit(f"{r}: missing")) for r in required]
+    error = F.coalesce("kl_fault", *lacks) if lacks else F.col("kl_fault")
+    work = work.withColumn("update_error", F.when(F.col("kl_applies"), error))
+    done = F.col("kl_applies") & F.col("update_error").isNull()
+    for i, c in enumerate(tops):
+        kind = work.schema[c].dataType if c in work.columns else None
+        if kind is None:
             continue
-        out = _put(out, name, F.when(~hit, F.col(name)))
-    for name, by in (increment or {}).items():
-        kind = _type(out, name)
-        start = F.coalesce(F.col(name), F.lit(0).cast(kind))
-        out = _put(out, name, F.when(hit, (start + by).cast(kind)).otherwise(F.col(name)))
-    return out.drop("kl_applies")
-
-
-def _type(df: DataFrame, name: str) -> T.DataType:
-    t: T.DataType = df.schema
-    for p in name.split("."):
-        t = t[p].dataType
-    return t
-
-
-def _has(df: DataFrame, name: str) -> bool:
-    try:
-        _type(df, name)
-        return True
-    except (KeyError, TypeError):
-        return False
-
-
-def _put(df: DataFrame, name: str, value: Column) -> DataFrame:
-    top, _, rest = name.partition(".")
-    return df.withColumn(top, F.col(top).withField(rest, value) if rest else value)
+        before = _widened(F.col(f"kl_old_{i}"), docs.schema[c].dataType, kind) if c in names else F.lit(None).cast(kind)
+        work = work.withColumn(c, F.when(done, F.col(f"`{c}`")).otherwise(before))
+    return work.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*names, *(t for t in tops if t in work.columns)])], "update_error")
+
+
+def _widened(old: Column, kind: T.DataType, to: T.DataType) -> Column:
+    """A struct with the fields that ``to`` has beyond ``kind`` as nulls."""
+    if kind == to or not isinstance(to, T.StructType):
+        return old.cast(to)
+    fields = [(_widened(old[f.name], kind[f.name].dataType, f.dataType) if f.name in kind.names else F.lit(None).cast(f.dataType)).alias(f.name) for f in to.fields]
+    return F.when(old.isNotNull(), F.struct(*fields))
+
+
+def partial_update(docs: DataFrame, key: str, sets: dict[str, Column] | None = None, unset: Sequence[str] = (), increment: dict[str, int] | None = None, where: Column | None = None) -> DataFrame:
+    """:func:`update_documents` with sets first, then unsets, then increments; an overflow fails the job."""
+    steps = [*(Update("set", p, v) for p, v in (sets or {}).items()), *(Update("unset", p) for p in unset), *(Update("increment", p, v) for p, v in (increment or {}).items())]
+    out = update_documents(docs, key, steps, where)
+    names = [c for c in out.columns if c != "update_error"]
+    guard = F.when(F.col("update_error").isNotNull(), F.raise_error(F.col("update_error"))).otherwise(F.lit(True))
+    return out.where(guard).select(*[F.col(f"`{c}`") for c in names])
+
+
+def put_documents(current: DataFrame, batch: DataFrame, schema: Schema, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """The write path of a collection: check, then write; the new state, and the rejected rows with their ``reason``.
+
+    ``current``: key, document, version of the live documents; ``batch``: key,
+    document (JSON text; null deletes) and ``seq``, their order, unique.  A put is rejected
+    if the document breaks the schema or can't be stored, if its primary field
+    isn't its key, or if a unique value is held by another key, in ``current`` or
+    in an earlier row of the batch; a value of ``current`` counts as held even if
+    the batch frees it, and a row holds its values even if another of them gets it rejected.  Of what is accepted the last row of a key holds, with the version counted on by the rows
+    accepted before it.  All checks are joins and windows over keys or values; nothing is collected.
+    """
+    doc = F.col("document")
+    primary = F.get_json_object(doc, "$." + schema.primary.name)
+    faults = validation_errors(doc, schema)
+    first = F.when(doc.isNull(), None).when(F.size(faults) > 0, faults[0]).when(codec_fault(doc).isNotNull(), F.concat(F.lit("document: "), codec_fault(doc))).when(~primary.eqNullSafe(F.col("key")), F.lit("key: differs"))
+    rows = batch.select("key", "document", F.col(seq).alias("kl_seq")).withColumn("reason", first)
+    for f in (f for f in schema.fields if f.unique and not f.primary):
+        value = F.get_json_object(doc, "$." + f.name)
+        held = current.select(value.alias("kl_value"), F.col("key").alias("kl_holder")).where("kl_value is not null").groupBy("kl_value").agg(F.min("kl_holder").alias("kl_min"), F.max("kl_holder").alias("kl_max"))
+        rows = rows.withColumn("kl_value", F.when(F.col("reason").isNull(), value))
+        taken = F.col("kl_min").isNotNull() & ((F.col("kl_min") != F.col("key")) | (F.col("kl_max") != F.col("key")))
+        rows = rows.join(held, "kl_value", "left").withColumn("kl_taken", F.coalesce(taken, F.lit(False)))
+        w = Window.partitionBy("kl_value", "kl_taken", F.when(F.col("kl_value").isNull(), F.col("key"))).orderBy("kl_seq")  # rows without a value are spread by key
+        rows = rows.withColumn("kl_first", F.first("key").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        clash = F.col("kl_value").isNotNull() & (F.col("kl_taken") | (F.col("kl_first") != F.col("key")))
+        rows = rows.withColumn("reason", F.coalesce("reason", F.when(clash, F.lit(f"{f.name}: not unique")))).drop("kl_value", "kl_min", "kl_max", "kl_taken", "kl_first")
+    good = rows.where("reason is null")
+    last = good.groupBy("key").agg(F.max(F.struct("kl_seq", "document")).alias("kl_b"), F.count(F.lit(1)).alias("kl_n"))
+    held = current.select(F.col("key").alias("kl_key"), F.col("document").alias("kl_doc"), F.col("version").alias("kl_version"))
+    joined = held.join(last, F.col("kl_key") == F.col("key"), "full_outer")
+    state = joined.select(F.coalesce("key", "kl_key").alias("key"), F.when(F.col("key").isNull(), F.col("kl_doc")).otherwise(F.col("kl_b.document")).alias("document"), (F.coalesce("kl_version", F.lit(0)) + F.coalesce("kl_n", F.lit(0))).cast("bigint").alias("version"))
+    return state.where("document is not null"), rows.where("reason is not null").select("key", "document", F.col("kl_seq").alias(seq), "reason")

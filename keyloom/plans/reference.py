@@ -232,7 +232,7 @@ def document_validation_all(spark, d):
 @query("select c_custkey, case when c_mktsegment = 'BUILDING' then 'Tower' else c_name end as c_name, c_nationkey + case when c_mktsegment = 'BUILDING' then 100 else 0 end as c_nationkey from customer")
 def partial_update(spark, d):
     docs = table(spark, d, "customer")
-    return documents.partial_update(docs, "c_custkey", sets={"c_name": F.lit("Tower")}, increment={"c_nationkey": F.lit(100)}, where=F.col("c_mktsegment") == "BUILDING").select("c_custkey", "c_name", "c_nationkey")
+    return documents.partial_update(docs, "c_custkey", sets={"c_name": F.lit("Tower")}, increment={"c_nationkey": 100}, where=F.col("c_mktsegment") == "BUILDING").select("c_custkey", "c_name", "c_nationkey")
 
 
 @query("select o_orderkey as key from orders where o_orderkey not in (select c_custkey from customer)")

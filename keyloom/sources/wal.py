@@ -7,12 +7,17 @@ data in and out.  Each segment file is decoded by one task.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keyloom.functions.checksums import crc32c, fnv1a64
+from keyloom.functions.checksums import crc32c, crc32c_many, fnv1a64
+from keyloom.operators.log import append_with_lsn, assign_versions
+from keyloom.session import cut
 
 # Marks, versions and codes of the binary formats.
 SEGMENT_MAGIC = int.from_bytes(b"MFSW", "little")
@@ -40,24 +45,48 @@ def _blob(b: bytes) -> bytes:
     return struct.pack("<I", len(b)) + b
 
 
-def _framed(magic: int, payload: bytes) -> bytes:
-    head = struct.pack("<II", magic, len(payload))
-    return head + payload + struct.pack("<I", crc32c(payload, crc32c(head)))
+def _framed(magic: int, payloads: Iterable[bytes]) -> bytes:
+    """Each payload with mark and length before it and a checksum over all of that behind."""
+    frames = [struct.pack("<II", magic, len(p)) + p for p in payloads]
+    ends = np.cumsum([len(f) for f in frames])
+    sums = crc32c_many(b"".join(frames), ends - [len(f) for f in frames], ends) if frames else []
+    return b"".join(x for f, c in zip(frames, sums) for x in (f, struct.pack("<I", c)))
 
 
 def encode_segment(records: Iterable[tuple[int, int, str, str, bytes, bytes | None]]) -> bytes:
     """(lsn, version, collection, op, key, value) records as a segment."""
-    out = []
-    for lsn, version, collection, op, key, value in records:
+
+    def payload(lsn: int, version: int, collection: str, op: str, key: bytes, value: bytes | None) -> bytes:
         put = op == "put"
-        payload = struct.pack("<HQQ", SEGMENT_VERSION, lsn, version) + _blob(collection.encode()) + bytes([PUT if put else DELETE]) + _blob(key) + _blob(value if put else b"")
-        out.append(_framed(SEGMENT_MAGIC, payload))
-    return b"".join(out)
+        return struct.pack("<HQQ", SEGMENT_VERSION, lsn, version) + _blob(collection.encode()) + bytes([PUT if put else DELETE]) + _blob(key) + _blob((value or b"") if put else b"")
+
+    return _framed(SEGMENT_MAGIC, (payload(*r) for r in records))
 
 
 def encode_generic(records: Iterable[tuple[int, str, bytes, bytes | None]]) -> bytes:
     """(version, op, key, value) records in the generic form."""
-    return b"".join(_framed(GENERIC_MAGIC, bytes([GENERIC_PUT if op == "put" else GENERIC_DELETE]) + struct.pack("<Q", v) + _blob(k) + _blob(x or b"")) for v, op, k, x in records)
+    return _framed(GENERIC_MAGIC, (bytes([GENERIC_PUT if op == "put" else GENERIC_DELETE]) + struct.pack("<Q", v) + _blob(k) + _blob(x or b"") for v, op, k, x in records))
+
+
+def _frames(data: bytes, magic: int, most: int) -> tuple[list[int], list[int], list[bool], tuple[str, int] | None]:
+    """Begin and end of each whole frame, whether its checksum holds, and what stopped the walk (None: the end or a record cut short)."""
+    starts, ends, stop, at = [], [], None, 0
+    while len(data) - at >= 8:
+        mark, size = struct.unpack_from("<II", data, at)
+        end = at + 8 + size + 4
+        if mark != magic:
+            stop = "bad_magic", at
+        elif end > len(data):
+            break
+        elif size > most:
+            stop = "payload_too_large", at
+        if stop:
+            break
+        starts.append(at)
+        ends.append(end)
+        at = end
+    sums = crc32c_many(data, starts, [e - 4 for e in ends]) if starts else []
+    return starts, ends, [c == struct.unpack_from("<I", data, e - 4)[0] for c, e in zip(sums, ends)], stop
 
 
 class _Cursor:
@@ -89,17 +118,10 @@ def decode_segment(data: bytes) -> Iterator[tuple[int, int, int, str, str, bytes
     A torn tail ends the segment quietly: a record cut short, or a wrong
     checksum on the last one.  Any other fault raises :class:`WalCorruption`.
     """
-    at, last = 0, 0
-    while len(data) - at >= 8:
-        magic, size = struct.unpack_from("<II", data, at)
-        if magic != SEGMENT_MAGIC:
-            raise WalCorruption("bad_magic", at)
-        end = at + 8 + size + 4
-        if end > len(data):
-            return
-        if size > MAX_PAYLOAD:
-            raise WalCorruption("payload_too_large", at)
-        if crc32c(data[at : end - 4]) != struct.unpack_from("<I", data, end - 4)[0]:
+    starts, ends, sound, stop = _frames(data, SEGMENT_MAGIC, MAX_PAYLOAD)
+    last = 0
+    for at, end, good in zip(starts, ends, sound):
+        if not good:
             if end == len(data):
                 return
             raise WalCorruption("checksum_mismatch", at)
@@ -120,7 +142,18 @@ def decode_segment(data: bytes) -> Iterator[tuple[int, int, int, str, str, bytes
         if lsn <= last:
             raise WalCorruption("non_monotonic_lsn", at)
         yield at, lsn, version, collection, "put" if code == PUT else "delete", key, value if code == PUT else None
-        at, last = end, lsn
+        last = lsn
+    if stop:
+        raise WalCorruption(*stop)
+
+
+def good_length(data: bytes) -> int:
+    """Bytes of a segment up to the end of its last whole record; what follows is a torn tail."""
+    starts, ends, sound, _ = _frames(data, SEGMENT_MAGIC, MAX_PAYLOAD)
+    for start, good in zip(starts, sound):
+        if not good:
+            return start
+    return ends[-1] if ends else 0
 
 
 def decode_generic(data: bytes) -> Iterator[tuple[int, int, str, bytes, bytes | None]]:
@@ -128,11 +161,9 @@ def decode_generic(data: bytes) -> Iterator[tuple[int, int, str, bytes, bytes |
 
     An empty value of a Put stays an empty value here.
     """
-    at = 0
-    while len(data) - at >= 8:
-        magic, size = struct.unpack_from("<II", data, at)
-        end = at + 8 + size + 4
-        if magic != GENERIC_MAGIC or size > MAX_GENERIC_PAYLOAD or end > len(data) or crc32c(data[at : end - 4]) != struct.unpack_from("<I", data, end - 4)[0]:
+    starts, ends, sound, _ = _frames(data, GENERIC_MAGIC, MAX_GENERIC_PAYLOAD)
+    for at, end, good in zip(starts, ends, sound):
+        if not good:
             return
         c = _Cursor(data[at + 8 : end - 4], at)
         try:
@@ -142,7 +173,6 @@ def decode_generic(data: bytes) -> Iterator[tuple[int, int, str, bytes, bytes |
         if code not in (GENERIC_PUT, GENERIC_DELETE) or not c.done():
             return
         yield at, version, "put" if code == GENERIC_PUT else "delete", key, value if code == GENERIC_PUT else None
-        at = end
 
 
 def encode_snapshot(lsn: int, collections: dict[str, list[tuple[int, bytes, bytes | None]]], most: int = 1024, capacity: int = 1024) -> bytes:
@@ -225,30 +255,87 @@ def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=names)
 
 
-def write_segments(log: DataFrame, path: str) -> None:
-    """Write a log (lsn, version, collection, op, key, value) as segment files, one per partition of its range.
+def _write_files(rows: DataFrame, path: str, names: list[str], encode, suffix: str) -> int:
+    """Write each partition of ``rows`` as one file named by its first number; files appear whole or not at all.
 
-    The log is range-partitioned by LSN first, so that each segment is ordered
-    and segments follow each other.
+    Workers reach ``path`` through Arrow's file systems, so it may be any URI
+    that those know.  A partition is written batch by batch as it comes.
     """
-    import os
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, out = None, []
+        first, out, tmp = None, None, ""
+        fs, root = FileSystem.from_uri(path)
         for batch in batches:
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("lsn", "version", "collection", "op", "key", "value"))))
-            if rows and first is None:
-                first = rows[0][0]
-            out.append(encode_segment(rows))
-        if first is not None:
-            tmp = os.path.join(path, f".segment-{first:020d}.tmp")
-            with open(tmp, "wb") as f:
-                f.writelines(out)
-                f.flush()
-                os.fsync(f.fileno())
-            os.replace(tmp, os.path.join(path, f"segment-{first:020d}.wal"))
-            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64())], names=["first_lsn"])
-
-    os.makedirs(path, exist_ok=True)
+            records = list(zip(*(batch.column(c).to_pylist() for c in names)))
+            if not records:
+                continue
+            if out is None:
+                first = records[0][0]
+                tmp = f"{root}/.{suffix}-{first:020d}-{uuid.uuid4().hex}.tmp"
+                fs.create_dir(root, recursive=True)
+                out = fs.open_output_stream(tmp)
+            out.write(encode(records))
+        if out is not None:
+            out.close()
+            fs.move(tmp, f"{root}/segment-{first:020d}.{suffix}")
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64())], names=["first"])
+
+    return rows.mapInArrow(work, "first bigint").count()
+
+
+def write_segments(log: DataFrame, path: str) -> int:
+    """Write a log (lsn, version, collection, op, key, value) as segment files, one per partition of its range; how many.
+
+    The log is range-partitioned by LSN first, so that each segment is ordered
+    and segments follow each other.  ``path`` is a URI.
+    """
+    names = ["lsn", "version", "collection", "op", "key", "value"]
     rows = log.select("lsn", "version", "collection", "op", F.col("key").cast("binary"), F.col("value").cast("binary"))
-    rows.repartitionByRange("lsn").sortWithinPartitions("lsn").mapInArrow(work, "first_lsn bigint").collect()
+    return _write_files(rows.repartitionByRange("lsn").sortWithinPartitions("lsn"), path, names, encode_segment, "wal")
+
+
+def write_generic(log: DataFrame, path: str) -> int:
+    """Write a log (version, op, key, value) in the generic form, in order of version; how many files."""
+    rows = log.select("version", "op", F.col("key").cast("binary"), F.col("value").cast("binary"))
+    return _write_files(rows.repartitionByRange("version").sortWithinPartitions("version"), path, ["version", "op", "key", "value"], encode_generic, "log")
+
+
+def truncate_torn_tails(spark: SparkSession, path: str) -> DataFrame:
+    """Cut each segment file under ``path`` behind its last whole record; the files that were cut: segment, length, kept."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = []
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                kept = good_length(data)
+                if kept < len(data):
+                    fs, at = FileSystem.from_uri(name if "://" in name else name.replace("file:", "file://", 1))
+                    with fs.open_output_stream(at + ".tmp") as out:
+                        out.write(data[:kept])
+                    fs.move(at + ".tmp", at)
+                    cut.append((name, len(data), kept))
+            yield _batch(cut, ["segment", "length", "kept"], [pa.string(), pa.int64(), pa.int64()])
+
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(work, "segment string, length bigint, kept bigint")
+    return spark.createDataFrame(rows.collect(), rows.schema)
+
+
+def append_segments(batch: DataFrame, path: str, order: Sequence[str]) -> DataFrame:
+    """Append records (collection, op, key, value) to the log under ``path`` and return them with their lsn and version.
+
+    Goes on from what is there: torn tails are cut, LSNs follow the last one, and
+    the versions of each key its last one, as tombstones count too.
+    """
+    spark = batch.sparkSession
+    fs, root = FileSystem.from_uri(path)
+    if fs.get_file_info(root).type != FileType.NotFound:
+        truncate_torn_tails(spark, f"{path}/*.wal")
+        held = read_segments(spark, f"{path}/*.wal")
+    else:
+        held = spark.createDataFrame([], SEGMENT_SCHEMA)
+    rows = append_with_lsn(held, batch, order)
+    last = held.groupBy("collection", "key").agg(F.max("version").alias("kl_last"))
+    counted = assign_versions(rows, ["collection", "key"], "lsn", "kl_n").join(last, ["collection", "key"], "left")
+    done = cut(counted.withColumn("version", (F.coalesce("kl_last", F.lit(0)) + F.col("kl_n")).cast("bigint")).select("lsn", "version", "collection", "op", "key", "value"))
+    write_segments(done, path)
+    return done

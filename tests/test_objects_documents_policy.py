@@ -138,7 +138,7 @@ def test_lookups_and_updates(spark):
     assert [r.id for r in D.multi_get(df, asked, "id").collect()] == ["c", "a"]
     assert [(r.id, r.email) for r in D.multi_get_positional(df, asked, "id").collect()] == [("c", "x"), ("zz", None), ("a", "x"), ("c", "x")]
     assert [(r.email, r.holders) for r in D.unique_violations(df, "email", "id").collect()] == [("x", 2)]
-    up = D.partial_update(df, "id", sets={"firm": F.lit("new")}, increment={"age": F.lit(10)}, unset=["email"], where=F.col("id") != "b")
+    up = D.partial_update(df, "id", sets={"firm": F.lit("new")}, increment={"age": 10}, unset=["email"], where=F.col("id") != "b")
     assert sorted(map(tuple, up.collect())) == [("a", None, 11, "new"), ("b", "y", 2, "c1"), ("c", None, 10, "new")]
     nested = D.partial_update(df.select("id", F.struct("email", "age").alias("p")), "id", sets={"p.email": F.lit("q")})
     assert {r.p.email for r in nested.collect()} == {"q"}
