@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from keyloom.operators.segments import neighbour, running_sum
+from keyloom.session import cut, file_bytes, file_system, publish_bytes
 
 
 def expired(now: Column, last_touch: Column, expires_at: Column, tti_ticks: Column) -> Column:
@@ -115,3 +120,110 @@ def promotable(cold: DataFrame, hot: DataFrame, tombstones: DataFrame, keys: Seq
     rows = rows.where(~expired(F.lit(now), F.col("last_touch"), F.col("expires_at"), F.col("tti_ticks")))
     held = hot.groupBy(*keys).agg(F.max(version).alias("kl_held"))
     return rows.join(held, list(keys), "left").where(F.col("kl_held").isNull() | (F.col("kl_held") < F.col(version))).drop("kl_held")
+
+
+class ColdTier:
+    """A stored cold tier: generations of demoted records and tombstones, listed by a numbered manifest that is published last.
+
+    A record has the key columns, version, value, last_touch, expires_at and
+    tti_ticks; a tombstone the key columns and version.  What a manifest doesn't
+    list doesn't count, so a failed demotion or compaction leaves the tier as it
+    was.  Of two writers from one state the second is refused.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str]):
+        self.spark, self.root, self.keys = spark, root.rstrip("/"), list(keys)
+
+    def manifest(self) -> dict:
+        """The newest manifest; of an empty tier one that lists nothing."""
+        p, fs = file_system(self.spark, f"{self.root}/_manifests")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        last = max((n for n in names if n.endswith(".json") and n[:1] != "_"), default=None)
+        return {"number": -1, "next": 1, "generations": [], "tombstones": []} if last is None else json.loads(file_bytes(self.spark, f"{self.root}/_manifests/{last}").decode())
+
+    def _store(self, rows: DataFrame, kind: str) -> dict:
+        path = f"{self.root}/{kind}/{uuid.uuid4().hex}"
+        rows.sortWithinPartitions(*self.keys).write.mode("error").parquet(path)
+        return {"path": path, "records": self.spark.read.schema(rows.schema).parquet(path).count()}
+
+    def _publish(self, before: dict, **changes) -> dict:
+        body = before | changes | {"number": before["number"] + 1}
+        if not publish_bytes(self.spark, f"{self.root}/_manifests/{body['number']:020d}.json", json.dumps(body).encode(), overwrite=False):
+            raise RuntimeError("the cold tier was changed by another writer")
+        return body
+
+    def add(self, records: DataFrame, tombstones: DataFrame | None = None) -> dict:
+        """Store a new generation and the tombstones that came with it, and publish both."""
+        m = self.manifest()
+        generations = [*m["generations"], self._store(records, "generations") | {"id": m["next"]}]
+        buried = m["tombstones"] if tombstones is None else [*m["tombstones"], self._store(tombstones.select(*self.keys, "version"), "tombstones")]
+        return self._publish(m, generations=generations, tombstones=buried, next=m["next"] + 1)
+
+    def _read(self, part: dict) -> DataFrame | None:
+        """Stored rows, or None if they can't be read or aren't all there (Parquet footers tell)."""
+        try:
+            rows = self.spark.read.parquet(part["path"])
+            return rows if rows.count() == part["records"] else None
+        except (Py4JError, PySparkException):
+            return None
+
+    def records(self) -> DataFrame | None:
+        """The records of all generations that can be read, with their ``generation``; None if there are none."""
+        out = None
+        for g in self.manifest()["generations"]:
+            rows = self._read(g)
+            if rows is not None:
+                rows = rows.withColumn("generation", F.lit(g["id"]))
+                out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def tombstones(self) -> DataFrame | None:
+        """All tombstones; that some can't be read is an error, since deleted records would come back."""
+        out = None
+        for t in self.manifest()["tombstones"]:
+            rows = self._read(t)
+            if rows is None:
+                raise OSError(f"tombstones in {t['path']} can't be read")
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def demote(self, hot: DataFrame, now: int, **policy) -> DataFrame:
+        """Move what :func:`demote` picks to a new generation; the hot rows that stay.
+
+        Rows leave the hot tier only after the generation is published.
+        """
+        picked = cut(demote(hot, now, **policy))
+        live = picked.where(~F.col("tombstone"))
+        meta = [F.col(c) if c in hot.columns else F.lit(0).cast("bigint").alias(c) for c in ("last_touch", "expires_at", "tti_ticks")]
+        self.add(live.select(*self.keys, "version", "value", *meta), picked.where("tombstone"))
+        gone = picked.select(*[F.col(k).alias(f"kl_{k}") for k in self.keys], F.col("version").alias("kl_version"))
+        same = F.col("version") == F.col("kl_version")
+        for k in self.keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"kl_{k}"))
+        return hot.join(gone, same, "left_anti")
+
+    def compact(self, now: int) -> dict:
+        """One new generation instead of all: the newest per key, without what is deleted or expired; reports what went."""
+        m, records, buried = self.manifest(), self.records(), self.tombstones()
+        if records is None:
+            return {"generations": 0, "records": 0, "kept": 0}
+        none = records.select(*self.keys, "version").limit(0)
+        kept = compact_cold(records, none if buried is None else buried, self.keys, now, m["next"]).drop("generation")
+        stored = self._store(kept, "generations") | {"id": m["next"]}
+        self._publish(m, generations=[stored], tombstones=[], next=m["next"] + 1)
+        return {"generations": len(m["generations"]), "records": sum(g["records"] for g in m["generations"]), "kept": stored["records"]}
+
+    def promote(self, hot: DataFrame, now: int) -> DataFrame:
+        """The hot tier with the records that :func:`promotable` lets in, clean; they stay cold until they are compacted away or overwritten."""
+        records, buried = self.records(), self.tombstones()
+        if records is None:
+            return hot
+        none = records.select(*self.keys, "version").limit(0)
+        new = promotable(records, hot, none if buried is None else buried, self.keys, now)
+        cols = {"dirty": F.lit(False), "tombstone": F.lit(False), "last_touch": F.lit(now).cast("bigint")}
+        new = new.select(*[(cols[c].alias(c) if c in cols else F.col(c) if c in new.columns else F.lit(None).cast(hot.schema[c].dataType).alias(c)) for c in hot.columns])
+        stale = new.select(*[F.col(k).alias(f"kl_{k}") for k in self.keys])
+        same = F.lit(True)
+        for k in self.keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"kl_{k}"))
+        return hot.join(stale, same, "left_anti").unionByName(new)

@@ -22,8 +22,10 @@ def rank_range(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     """Elements by 0-based rank from ``start`` to ``stop`` inclusive; negative ranks count from the end.
 
     A head range needs ranks from the front only and a tail range from the back,
-    both of which Spark limits on the map side.  Ranges that mix the two
-    directions also count each key's elements.
+    both of which Spark limits on the map side.  A range from the front to the
+    back is all rows without a head and a tail, which are sets of rows with
+    repetitions, so order among equal rows doesn't matter.  A range from the back
+    to the front can hold something only of keys with few elements.
     """
     cols = [F.col(o) if isinstance(o, str) else o for o in order]
     front = Window.partitionBy(*keys).orderBy(*cols)
@@ -34,11 +36,17 @@ def rank_range(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     if start < 0 and stop < 0:
         out = rows.withColumn("kl_r", F.row_number().over(back))
         return out.where(F.col("kl_r") <= -start).where(F.col("kl_r") >= -stop).drop("kl_r")
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    out = rows.withColumn("kl_r", F.row_number().over(front) - 1).withColumn("kl_n", n)
-    lo = F.greatest(F.lit(start) + (F.col("kl_n") if start < 0 else F.lit(0)), F.lit(0))
-    hi = F.lit(stop) + (F.col("kl_n") if stop < 0 else F.lit(0))
-    return out.where((F.col("kl_r") >= lo) & (F.col("kl_r") <= hi)).drop("kl_r", "kl_n")
+    if start >= 0:
+        out = rows
+        for part in ([(0, start - 1)] if start else []) + ([(stop + 1, -1)] if stop < -1 else []):
+            out = out.exceptAll(rank_range(rows, keys, order, *part))
+        return out
+    few = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("kl_n")).where(F.col("kl_n") <= stop + 1 - start)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"kl_k{i}"))
+    out = rows.join(few.select(*[F.col(k).alias(f"kl_k{i}") for i, k in enumerate(keys)], "kl_n"), same).withColumn("kl_r", F.row_number().over(front) - 1)
+    return out.where((F.col("kl_r") <= stop) & (F.col("kl_r") >= F.col("kl_n") + start)).select(*rows.columns)
 
 
 def array_range(arr: Column, start: int, stop: int) -> Column:

@@ -41,7 +41,7 @@ class FrequencySketch:
         want = max(64, 4 * max(16, capacity), min_width)
         self.width = 1 << (want - 1).bit_length()
         self.sample = sample or max(8 * max(1, capacity), 64, sample_floor)
-        self.most = 15 if kind == "packed" else 255
+        self.most = MAX_FREQUENCY if kind in ("packed", "two_counter") else 255
         self.tables = [np.zeros((DEPTH, self.width), np.int32) for _ in range(2 if kind == "two_counter" else 1)]
         self.active, self.seen = 0, 0
         self.door: set[int] | None = set() if kind == "doorkeeper" else None
@@ -69,11 +69,9 @@ class FrequencySketch:
 
     def _age(self) -> None:
         self.seen = 0
-        if len(self.tables) == 2:
+        if len(self.tables) == 2:  # the table that rested is halved and takes over
             self.active ^= 1
-            self.tables[self.active][:] = 0
-        else:
-            self.tables[0] >>= 1
+        self.tables[self.active] >>= 1
         if self.door is not None:
             self.door.clear()
 
@@ -89,6 +87,8 @@ class S3Fifo:
     New keys enter cold, keys remembered as ghosts enter hot.  Eviction takes
     the oldest cold key, which moves to hot instead if it was referenced often
     enough; the oldest hot key gets another round as long as it has references.
+    With admission a victim seen more often than the newcomer stays resident in
+    its stead, but in no queue, so it goes only when the queues are empty.
     """
 
     def __init__(self, capacity: int, config: PolicyConfig) -> None:
@@ -99,12 +99,14 @@ class S3Fifo:
         self.cold: OrderedDict = OrderedDict()
         self.hot: OrderedDict = OrderedDict()
         self.ghost: OrderedDict = OrderedDict()
+        self.loose: OrderedDict = OrderedDict()
+        self.loose_hot: set[int] = set()
         self.seen = FrequencySketch(self.capacity, "packed") if self.promote_at > 1 else None
         self.admission = FrequencySketch(self.capacity, config.admission, config.min_width, config.sample_floor) if config.admission else None
         self.gate = config.gate
 
     def read(self, key: int) -> bool:
-        for queue in (self.cold, self.hot):
+        for queue in (self.cold, self.hot, self.loose):
             if key in queue:
                 queue[key] = min(queue[key] + 1, MAX_REFERENCED)
                 if self.seen is not None:
@@ -121,7 +123,7 @@ class S3Fifo:
         if self.admission is not None:
             before = self.admission.estimate(key)
             rival = (key, self.admission.add(key))
-            if self.gate is not None and len(self.cold) + len(self.hot) >= self.capacity and before <= self.gate:
+            if self.gate is not None and len(self) >= self.capacity and before <= self.gate:
                 return
         if self.seen is not None:
             self.seen.add(key)
@@ -132,16 +134,22 @@ class S3Fifo:
             self.cold[key] = 0
         self._shrink(rival)
 
+    def __len__(self) -> int:
+        return len(self.cold) + len(self.hot) + len(self.loose)
+
     def remove(self, key: int) -> bool:
-        return self.cold.pop(key, None) is not None or self.hot.pop(key, None) is not None
+        self.loose_hot.discard(key)
+        return any(queue.pop(key, None) is not None for queue in (self.cold, self.hot, self.loose))
 
     def _shrink(self, rival) -> None:
-        while len(self.cold) + len(self.hot) > self.capacity:
+        while len(self) > self.capacity:
             if self.cold:
                 self._evict_cold(rival)
-            else:
+            elif self.hot:
                 self._evict_hot(rival)
-        while len(self.hot) > self.hot_most:
+            else:
+                self.loose_hot.discard(self.loose.popitem(last=False)[0])
+        while self.hot and len(self.hot) + len(self.loose_hot) > self.hot_most:
             self._evict_hot(rival)
         while len(self.ghost) > self.ghost_most:
             self.ghost.popitem(last=False)
@@ -155,22 +163,18 @@ class S3Fifo:
         key, refs = self.cold.popitem(last=False)
         if refs >= self.promote_at or self.seen is not None and self.seen.estimate(key) >= self.promote_at:
             self.hot[key] = max(refs - 1, 0)
-            return
-        if self._newcomer_yields(rival, key):
-            self.hot_or_cold_back(key, refs)
-            return
-        self.ghost[key] = None
-
-    def hot_or_cold_back(self, key: int, refs: int) -> None:
-        """The victim that outlived a newcomer stays cold, as the youngest there."""
-        self.cold[key] = refs
+        elif self._newcomer_yields(rival, key):
+            self.loose[key] = refs
+        else:
+            self.ghost[key] = None
 
     def _evict_hot(self, rival) -> None:
         key, refs = self.hot.popitem(last=False)
         if refs:
             self.hot[key] = refs - 1
         elif self._newcomer_yields(rival, key):
-            self.hot[key] = 0
+            self.loose[key] = 0
+            self.loose_hot.add(key)
 
 
 def replay(trace: DataFrame, config: PolicyConfig) -> DataFrame:
@@ -211,9 +215,10 @@ def zipf_trace(spark: SparkSession, accesses: int, support: int, alpha: float, s
     """A Zipf-distributed trace (seq, key): inverse distribution over hashed positions, the same on every run."""
 
     @F.pandas_udf("bigint")
-    def draw(u: pd.Series) -> pd.Series:
-        weights = np.cumsum(1.0 / np.arange(1, support + 1) ** alpha)
-        return pd.Series(np.minimum(np.searchsorted(weights, u.to_numpy() * weights[-1]), support - 1))
+    def draw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        weights = np.cumsum(1.0 / np.arange(1, support + 1) ** alpha)  # once a task
+        for u in batches:
+            yield pd.Series(np.minimum(np.searchsorted(weights, u.to_numpy() * weights[-1]), support - 1))
 
     u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
     return spark.range(accesses).select(F.col("id").alias("seq"), draw(u).alias("key"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from keyloom.operators.log import latest, live_rows
+from keyloom.operators.segments import neighbour
+from keyloom.session import file_bytes, file_system, publish_bytes
 
 
 def recover(snapshot: DataFrame, log: DataFrame, keys: Sequence[str], seq: str, checkpoint_lsn: int | None, op: str = "op") -> DataFrame:
@@ -41,9 +46,14 @@ def keep_last(rows: DataFrame, by: Sequence[str], order: str, n: int) -> DataFra
 
 
 def sequence_faults(log: DataFrame, by: Sequence[str], position: str, seq: str) -> DataFrame:
-    """Log rows whose sequence number does not exceed the one before it in the file."""
-    before = F.lag(seq).over(Window.partitionBy(*by).orderBy(position))
-    return log.withColumn("previous_lsn", before).where(F.col(seq) <= F.col("previous_lsn"))
+    """Log rows whose sequence number does not exceed the one before it, in order of the timestamp ``position``, then of ``seq``; adds ``previous_lsn``.
+
+    A group is split by ranges of time (of 2**36 microseconds, some 19 hours), so
+    a long log is no one task's burden.
+    """
+    rows = log.withColumn("kl_micros", F.unix_micros(F.col(position).cast("timestamp")))
+    found = neighbour(rows, by, "kl_micros", F.col(seq), "previous_lsn", bits=36, tie=(seq,))
+    return found.where(F.col(seq) <= F.col("previous_lsn")).drop("kl_micros")
 
 
 def recover_objects(log: DataFrame, metadata_prefix: str, key: str = "key", version: str = "version", now: int | None = None) -> DataFrame:
@@ -68,41 +78,48 @@ def recover_objects(log: DataFrame, metadata_prefix: str, key: str = "key", vers
 
 
 class CheckpointStore:
-    """Snapshots as Parquet directories, the last complete one found by its success marker."""
+    """Snapshots as Parquet directories; one counts once its marker, written last, says how many records it has."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
     def path(self, lsn: int) -> str:
         return f"{self.root}/ckpt-{lsn:020d}"
 
     def write(self, snapshot: DataFrame, lsn: int) -> str:
-        """Write to a temporary directory, then rename: readers see all of it or nothing."""
-        tmp, final = f"{self.root}/_tmp-{lsn:020d}", self.path(lsn)
-        snapshot.write.mode("overwrite").parquet(tmp)
-        a, fs = self._fs(tmp)
-        b, _ = self._fs(final)
-        fs.delete(b, True)
-        if not fs.rename(a, b):
-            raise OSError(f"could not publish {final}")
+        """Write the rows, then the marker: readers see all of it or nothing."""
+        final = self.path(lsn)
+        p, fs = file_system(self.spark, final)
+        fs.delete(p, True)
+        snapshot.write.mode("error").parquet(f"{final}/rows")
+        n = self.spark.read.parquet(f"{final}/rows").count()
+        publish_bytes(self.spark, f"{final}/marker.json", json.dumps({"lsn": lsn, "records": n}).encode())
         return final
 
     def lsns(self) -> list[int]:
-        """Sequence numbers of complete snapshots, newest first."""
-        root, fs = self._fs(self.root)
+        """Sequence numbers of marked snapshots, newest first."""
+        root, fs = file_system(self.spark, self.root)
         if not fs.exists(root):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(root)]
         found = [int(n[5:]) for n in names if n.startswith("ckpt-")]
-        return sorted((x for x in found if fs.exists(self._fs(self.path(x) + "/_SUCCESS")[0])), reverse=True)
+        return sorted((x for x in found if fs.exists(file_system(self.spark, f"{self.path(x)}/marker.json")[0])), reverse=True)
+
+    def load(self, lsn: int) -> DataFrame | None:
+        """The snapshot, or None if it can't be read or has not as many records as its marker says (Parquet footers tell)."""
+        try:
+            head = json.loads(file_bytes(self.spark, f"{self.path(lsn)}/marker.json").decode())
+            rows = self.spark.read.parquet(f"{self.path(lsn)}/rows")
+            return rows if head["lsn"] == lsn and rows.count() == head["records"] else None
+        except (ValueError, KeyError, TypeError, Py4JError, PySparkException):
+            return None
 
     def load_latest(self) -> tuple[int, DataFrame] | None:
+        """The newest snapshot that can be read; broken ones are passed over."""
         for lsn in self.lsns():
-            return lsn, self.spark.read.parquet(self.path(lsn))
+            rows = self.load(lsn)
+            if rows is not None:
+                return lsn, rows
         return None
 
     def checkpoint_and_reset(self, log: DataFrame, keys: Sequence[str], seq: str, keep: int = 2) -> tuple[int, DataFrame]:
@@ -115,9 +132,13 @@ class CheckpointStore:
         return lsn, log.where(F.col(seq) > F.lit(lsn))
 
     def prune(self, keep: int = 2) -> list[int]:
-        """Delete all but the newest ``keep`` snapshots; 0 keeps everything."""
-        gone = self.lsns()[keep:] if keep else []
-        for lsn in gone:
-            p, fs = self._fs(self.path(lsn))
-            fs.delete(p, True)
+        """Delete all but the newest ``keep`` snapshots that can be read, and those that can't and are older; 0 keeps everything."""
+        lsns, gone, sound = self.lsns(), [], 0
+        for lsn in lsns if keep else []:
+            if sound >= keep:
+                p, fs = file_system(self.spark, self.path(lsn))
+                fs.delete(p, True)
+                gone.append(lsn)
+            elif self.load(lsn) is not None:
+                sound += 1
         return gone

@@ -47,14 +47,14 @@ def running_sum(df: DataFrame, keys: Sequence[str], seq: str, value: Column, to:
     return out.withColumn(to, (F.coalesce(F.col("kl_base").cast(kind), zero) + F.coalesce(F.col("kl_own"), zero)).cast(kind)).drop("kl_val", "kl_seg", "kl_base", "kl_own")
 
 
-def neighbour(df: DataFrame, keys: Sequence[str], seq: str, value: Column, to: str, ahead: bool = False, bits: int = SEGMENT_BITS) -> DataFrame:
-    """The value of the row before each row of a key in order of ``seq``, or of the row after it; null at the end."""
+def neighbour(df: DataFrame, keys: Sequence[str], seq: str, value: Column, to: str, ahead: bool = False, bits: int = SEGMENT_BITS, tie: Sequence[str] = ()) -> DataFrame:
+    """The value of the row before each row of a key in order of ``seq``, then ``tie``, or of the row after it; null at the end."""
     rows = _segmented(df.withColumn("kl_val", F.struct(value.alias("v"))), seq, bits)
     pick = F.min_by if ahead else F.max_by
-    edge = rows.groupBy(*keys, "kl_seg").agg(pick("kl_val", seq).alias("kl_edge"))
+    edge = rows.groupBy(*keys, "kl_seg").agg(pick("kl_val", F.struct(seq, *tie) if tie else F.col(seq)).alias("kl_edge"))
     by_seg = Window.partitionBy(*keys).orderBy("kl_seg")
     shift = F.lead if ahead else F.lag
     carried = edge.withColumn("kl_far", shift("kl_edge").over(by_seg)).drop("kl_edge")
-    own = Window.partitionBy(*keys, "kl_seg").orderBy(seq)
+    own = Window.partitionBy(*keys, "kl_seg").orderBy(seq, *tie)
     out = _carry(rows.withColumn("kl_near", shift("kl_val").over(own)), carried, keys)
     return out.withColumn(to, F.coalesce("kl_near", "kl_far")["v"]).drop("kl_val", "kl_seg", "kl_near", "kl_far")

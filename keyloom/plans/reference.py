@@ -147,8 +147,8 @@ def keep_last_n(spark, d):
 with w as (select store_id, segment_no, lsn, arrived_at, lag(lsn) over (partition by store_id, segment_no order by arrived_at, lsn) as previous_lsn from wal_records)
 select store_id, segment_no, lsn, previous_lsn from w where lsn <= previous_lsn""")
 def sequence_faults(spark, d):
-    rows = table(spark, d, "wal_records").select("store_id", "segment_no", "lsn", "arrived_at").withColumn("kl_at", F.struct("arrived_at", "lsn"))
-    return recovery.sequence_faults(rows, ["store_id", "segment_no"], "kl_at", "lsn").select("store_id", "segment_no", "lsn", "previous_lsn")
+    rows = table(spark, d, "wal_records").select("store_id", "segment_no", "lsn", "arrived_at")
+    return recovery.sequence_faults(rows, ["store_id", "segment_no"], "arrived_at", "lsn").select("store_id", "segment_no", "lsn", "previous_lsn")
 
 
 @query("""

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from keyloom.functions.keys import is_put
 from keyloom.operators.log import latest
-from keyloom.sources.sql_sink import guarded_merge
+from keyloom.session import file_system
 
 
 def change_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 16) -> DataFrame:
@@ -33,31 +34,70 @@ def start_flusher(changes: DataFrame, keys: Sequence[str], seq: str, flush: Call
     return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
-def parquet_upserter(path: str, key: str, lsn: str, op: str = "op") -> Callable[[DataFrame, int], None]:
-    """A sink that merges batches into a Parquet table, one directory per batch number, the last one current."""
+def delta_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that stores each batch (key, sequence number, operation, columns) as a delta of its own and rewrites nothing.
+
+    A batch that comes again replaces its own delta.  :func:`current_rows` reads
+    the table, :func:`compact_table` folds old deltas into a base now and then.
+    """
 
     def flush(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        target = f"{path}/v{number:010d}"
-        cols = [c for c in batch.columns if c != op]
-        before = current_version(spark, path, below=number)
-        held = spark.read.parquet(before) if before else batch.select(*cols).limit(0)
-        guarded_merge(held, batch, key, lsn, op).write.mode("overwrite").parquet(target)
+        batch.write.mode("overwrite").parquet(f"{path}/delta-{number:012d}")
 
     return flush
 
 
-def current_version(spark: SparkSession, path: str, below: int | None = None) -> str | None:
-    """The newest complete version of a table that :func:`parquet_upserter` writes."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(p))
-    for name in reversed(names):
-        if name[:1] == "v" and (below is None or int(name[1:]) < below) and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")):
-            return f"{path}/{name}"
-    return None
+def _parts(spark: SparkSession, path: str) -> tuple[int, str | None, list[tuple[int, str]]]:
+    """Number and path of the newest complete base (-1 and None if there is none), and the complete deltas after it."""
+    p, fs = file_system(spark, path)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+    whole = [n for n in names if n[:6] in ("base-0", "delta-") and fs.exists(file_system(spark, f"{path}/{n}/_SUCCESS")[0])]
+    base = max((n for n in whole if n.startswith("base-")), default=None)
+    top = int(base[5:]) if base else -1
+    deltas = [(int(n[6:]), f"{path}/{n}") for n in whole if n.startswith("delta-") and int(n[6:]) > top]
+    return top, f"{path}/{base}" if base else None, deltas
+
+
+def _folded(spark: SparkSession, path: str, key: str, lsn: str, op: str) -> tuple[int, DataFrame | None]:
+    """The newest row per key of base and deltas, deletes included, and the number of the last delta.
+
+    Of rows with one LSN a delete holds, else the one of the earliest batch, as
+    if each batch had been merged in turn by version guard.
+    """
+    top, base, deltas = _parts(spark, path)
+    frames = ([spark.read.parquet(base).withColumn("kl_batch", F.lit(-1).cast("bigint"))] if base else []) + [spark.read.parquet(d).withColumn("kl_batch", F.lit(n).cast("bigint")) for n, d in deltas]
+    if not frames:
+        return top, None
+    rows = frames[0]
+    for f in frames[1:]:
+        rows = rows.unionByName(f)
+    rest = [c for c in rows.columns if c not in (key, lsn, "kl_batch")]
+    best = rows.groupBy(key).agg(F.max(F.struct(F.col(lsn), (~is_put(F.col(op))).alias("kl_gone"), (-F.col("kl_batch")).alias("kl_early"), *rest)).alias("kl_b"))
+    names = [c for c in rows.columns if c != "kl_batch"]
+    return max([top, *(n for n, _ in deltas)]), best.select(*[F.col(key) if c == key else F.col(f"kl_b.`{c}`").alias(c) for c in names])
+
+
+def current_rows(spark: SparkSession, path: str, key: str, lsn: str, op: str = "op") -> DataFrame | None:
+    """The live rows of a table that :func:`delta_sink` writes; None before the first batch."""
+    _, rows = _folded(spark, path, key, lsn, op)
+    return None if rows is None else rows.where(is_put(F.col(op))).drop(op)
+
+
+def compact_table(spark: SparkSession, path: str, key: str, lsn: str, op: str = "op") -> int:
+    """Fold all deltas into a new base and delete what it replaces; the number of the last delta in it.
+
+    Tombstones stay in the base, so that late rows can't revive their keys.  The
+    base counts once it is complete; readers of the old parts must have ended.
+    """
+    top, base, deltas = _parts(spark, path)
+    last, rows = _folded(spark, path, key, lsn, op)
+    if rows is None or not deltas:
+        return last
+    rows.write.mode("overwrite").parquet(f"{path}/base-{last:012d}")
+    for old in ([base] if base else []) + [d for _, d in deltas]:
+        p, fs = file_system(spark, old)
+        fs.delete(p, True)
+    return last
 
 
 def append_log(changes: DataFrame, path: str, checkpoint: str, every: str = "1 second") -> StreamingQuery:

@@ -199,3 +199,25 @@ def test_sketch_ages():
     for _ in range(40):
         packed.add(7)
     assert packed.estimate(7) == 15
+    two = P.FrequencySketch(16, "two_counter", sample=20)
+    for _ in range(19):
+        two.add(7)
+    assert two.estimate(7) == 15
+    two.add(7)  # the other table takes over; this one rests
+    for i in range(20):
+        two.add(2000 + i)
+    assert two.estimate(7) in (7, 8)  # halved as it takes over again
+
+
+def test_a_victim_that_outlives_a_newcomer_leaves_the_queues():
+    cache = P.S3Fifo(4, P.PolicyConfig(4, admission="plain"))
+    for _ in range(5):
+        for k in range(4):
+            cache.admission.add(k)
+    for k in range(4):
+        cache.insert(k)
+    cache.insert(9)
+    assert len(cache) == 4 and not cache.read(9) and list(cache.loose) == [0] and cache.read(0)
+    for k in range(100, 200):
+        cache.insert(k)
+        assert len(cache) <= 4

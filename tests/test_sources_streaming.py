@@ -157,15 +157,23 @@ def test_flusher_applies_batches_once(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"file://{src}")
         time.sleep(0.05)
     stream = flusher.change_stream(spark, f"file://{src}", spark.read.parquet(f"file://{src}").schema, files_per_batch=1)
-    flush = flusher.parquet_upserter(dst, "key", "lsn")
+    flush = flusher.delta_sink(dst)
+    assert flusher.current_rows(spark, dst, "key", "lsn") is None
     q = flusher.start_flusher(stream, ["key"], "lsn", flush, f"file://{tmp_path}/cp", every="0 seconds")
     q.processAllAvailable()
     q.stop()
     want = [("a", 2, "y"), ("c", 5, "c")]
-    read = lambda: sorted(map(tuple, spark.read.parquet(flusher.current_version(spark, dst)).collect()))
+    read = lambda: sorted(map(tuple, flusher.current_rows(spark, dst, "key", "lsn").select("key", "lsn", "v").collect()))
     assert read() == want
     flush(spark.createDataFrame([("a", 2, "repeat", "put"), ("c", 5, "c", "put")], schema), 99)
     assert read() == want
+    assert flusher.compact_table(spark, dst, "key", "lsn") == 99 and read() == want
+    assert len(list((tmp_path / "dst").iterdir())) == 1 and flusher.compact_table(spark, dst, "key", "lsn") == 99
+    flush(spark.createDataFrame([("b", 4, "late", "put"), ("c", 5, None, "delete"), ("d", 7, "d", "put")], schema), 100)
+    flush(spark.createDataFrame([("d", 7, "d", "put")], schema), 100)
+    assert read() == [("a", 2, "y"), ("c", 5, "c"), ("d", 7, "d")]
+    flush(spark.createDataFrame([("b", 4, "late", "put"), ("c", 5, None, "delete")], schema), 101)
+    assert read() == [("a", 2, "y"), ("d", 7, "d")]
 
 
 def test_expiry_stream(spark, tmp_path):
@@ -178,3 +186,16 @@ def test_expiry_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("expired_keys").collect())) == [("a", 6, "expired"), ("b", 11, "expired")]
+
+
+def test_keys_that_nobody_touches_expire_by_timer(spark, tmp_path):
+    src = f"file://{tmp_path}/touch"
+    schema = "key string, tick bigint, ttl_ticks bigint, tti_ticks bigint, write boolean"
+    for i, rows in enumerate([[("gone", 1, 5, 0, True), ("idle", 2, 0, 3, True), ("kept", 2, 0, 0, True)], [("other", 100, 0, 0, True)], [("late", 3, 4, 0, True), ("other", 101, 0, 0, False)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(0.05)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = expiring.expiries(stream).writeStream.format("memory").queryName("timed_out").option("checkpointLocation", f"file://{tmp_path}/cp").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(map(tuple, spark.table("timed_out").collect())) == [("gone", 6, "expired"), ("idle", 5, "expired"), ("late", 7, "expired")]
