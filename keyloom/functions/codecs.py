@@ -8,9 +8,14 @@ import struct
 # The tag byte of each object type.
 TAGS = {"bytes": 0, "string": 1, "integer": 2, "list": 3, "hash": 4, "set": 5, "sorted_set": 6, "json": 7, "stream": 8, "null": 9}
 NAMES = {v: k for k, v in TAGS.items()}
+SCHEMA_TAGS = {"null": 0, "string": 1, "int32": 2, "int64": 3, "float": 4, "bool": 5, "object": 6, "array": 7, "json": 8, "bytes": 9}
 KEY_TAGS = {"string": 0, "int32": 1, "int64": 2, "bytes": 3}
 
 
+#: Limits of a document value.
+MAX_VALUE_BYTES, MAX_VALUE_ITEMS, MAX_VALUE_LEVELS = 64 << 20, 1 << 20, 64
+
+
 class CodecError(ValueError):
     """Bytes that aren't a well-formed value."""
 
@@ -121,3 +126,117 @@ def decode_object(data: bytes):
     if r.at != len(data):
         raise CodecError("bytes after the value")
     return kind, value
+
+
+def encode_value(value, kind=None) -> bytes:
+    """A document value with its tags: null, text, numbers, truth values, objects (fields in order of name) and arrays.
+
+    ``kind`` is the declared type as :mod:`keyloom.operators.documents` has it;
+    without one whole numbers are written in 32 bits where they fit, else in 64.
+    Values that no reader takes are a :class:`CodecError`: numbers that aren't
+    finite or too large, and more levels, items or bytes than a value may have.
+    """
+    out = _tagged(value, kind, 0)
+    if len(out) > MAX_VALUE_BYTES:
+        raise CodecError("value too large")
+    return out
+
+
+def _tagged(value, kind, level: int) -> bytes:
+    if level > MAX_VALUE_LEVELS:
+        raise CodecError("value too deep")
+    name = kind.kind if kind is not None else None
+    if value is None:
+        return _tag("null")
+    if name in ("json", "bytes"):
+        return _tag(name) + _blob(value if isinstance(value, bytes) else str(value).encode())
+    if isinstance(value, bool):
+        return _tag("bool") + bytes([value])
+    if isinstance(value, int) and name != "float":
+        if name == "int32" or name is None and -(1 << 31) <= value < 1 << 31:
+            return _tag("int32") + _number("<i", value)
+        return _tag("int64") + _number("<q", value)
+    if isinstance(value, (int, float)):
+        if not math.isfinite(value):
+            raise CodecError("number is not finite")
+        return _tag("float") + struct.pack("<d", value)
+    if isinstance(value, str):
+        return _tag("string") + _blob(value.encode())
+    if isinstance(value, bytes):
+        return _tag("bytes") + _blob(value)
+    if len(value) > MAX_VALUE_ITEMS:
+        raise CodecError("too many items")
+    if isinstance(value, dict):
+        kinds = {f.name: f.type for f in kind.fields} if name == "object" else {}
+        parts = [_blob(k.encode()) + _tagged(value[k], kinds.get(k), level + 1) for k in sorted(value, key=str.encode)]
+        return _tag("object") + struct.pack("<I", len(value)) + b"".join(parts)
+    inner = kind.inner if name == "array" else None
+    return _tag("array") + struct.pack("<I", len(value)) + b"".join(_tagged(v, inner, level + 1) for v in value)
+
+
+def _tag(name: str) -> bytes:
+    return bytes([SCHEMA_TAGS[name]])
+
+
+def _number(form: str, value: int) -> bytes:
+    try:
+        return struct.pack(form, value)
+    except struct.error as e:
+        raise CodecError("number out of range") from e
+
+
+def decode_value(data: bytes):
+    """The value that :func:`encode_value` wrote; anything left over, missing or beyond the limits is an error."""
+    if len(data) > MAX_VALUE_BYTES:
+        raise CodecError("value too large")
+    r = _Reader(data)
+    value = _read_value(r, 0)
+    if r.at != len(data):
+        raise CodecError("bytes after the value")
+    return value
+
+
+def _read_value(r: _Reader, level: int):
+    if level > MAX_VALUE_LEVELS:
+        raise CodecError("value too deep")
+    kind = {v: k for k, v in SCHEMA_TAGS.items()}.get(r.take(1)[0])
+    if kind == "null":
+        return None
+    if kind in ("json", "bytes"):
+        return r.blob()
+    if kind == "string":
+        return _utf8(r.blob())
+    if kind == "bool":
+        mark = r.take(1)[0]
+        if mark > 1:
+            raise CodecError("neither true nor false")
+        return mark == 1
+    if kind in ("int32", "int64", "float"):
+        value = r.number({"int32": "<i", "int64": "<q", "float": "<d"}[kind])
+        if kind == "float" and not math.isfinite(value):
+            raise CodecError("number is not finite")
+        return value
+    if kind == "array":
+        n = r.count(1)
+        if n > MAX_VALUE_ITEMS:
+            raise CodecError("too many items")
+        return [_read_value(r, level + 1) for _ in range(n)]
+    if kind == "object":
+        n = r.count(5)
+        if n > MAX_VALUE_ITEMS:
+            raise CodecError("too many items")
+        out: dict = {}
+        for _ in range(n):
+            name = _utf8(r.blob())
+            if name in out:
+                raise CodecError("repeated field")
+            out[name] = _read_value(r, level + 1)
+        return out
+    raise CodecError("unknown tag")
+
+
+def _utf8(data: bytes) -> str:
+    try:
+        return data.decode()
+    except UnicodeDecodeError as e:
+        raise CodecError("text is not UTF-8") from e

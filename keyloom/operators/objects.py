@@ -80,6 +80,12 @@ def without_members(rows: DataFrame, removed: DataFrame, on: Sequence[str]) -> D
     return rows.join(removed.select(*on).distinct(), list(on), "left_anti")
 
 
+def assign(rows: DataFrame, containers: DataFrame, key: str) -> DataFrame:
+    """Replace whole lists, hashes or sets: of a key that ``containers`` has rows for, only those stay."""
+    new = containers.select(F.col(key).alias("kl_key")).distinct()
+    return rows.join(new, F.col(key).eqNullSafe(F.col("kl_key")), "left_anti").unionByName(containers)
+
+
 def hash_fields(commands: DataFrame, key: str, field: str, value: str, seq: str) -> DataFrame:
     """Last value per field; a field whose last value is null is deleted."""
     return commands.groupBy(key, field).agg(F.max_by(F.struct(value), seq).alias("kl_v")).select(key, field, F.col(f"kl_v.`{value}`").alias(value)).where(F.col(value).isNotNull())

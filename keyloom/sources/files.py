@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
 import io
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -69,6 +72,28 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(work, "url string, content binary")
 
 
+def write_archives(rows: DataFrame, path: str, url: str = "url", content: str = "content") -> int:
+    """Write (url, content) rows as gzipped archives of conversion records, a member a record and a file a partition; how many files."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = FileSystem.from_uri(path)
+        out, tmp = None, f"{root}/.{uuid.uuid4().hex}.tmp"
+        for batch in batches:
+            for u, data in zip(batch.column("url").to_pylist(), batch.column("content").to_pylist()):
+                if out is None:
+                    fs.create_dir(root, recursive=True)
+                    out = fs.open_output_stream(tmp)
+                body = data or b""
+                head = f"WARC/1.0\r\nWARC-Type: conversion\r\nWARC-Target-URI: {u}\r\nContent-Length: {len(body)}\r\n\r\n"
+                out.write(gzip.compress(head.encode() + body + b"\r\n\r\n", 1, mtime=0))
+        if out is not None:
+            out.close()
+            fs.move(tmp, f"{root}/part-{tmp[-36:-4]}.wet.gz")
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], names=["n"])
+
+    return rows.select(F.col(url).cast("string").alias("url"), F.col(content).cast("binary").alias("content")).mapInArrow(work, "n bigint").count()
+
+
 def read_trace(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """An access trace: the second column of CSV files, numbered in file order, at most ``limit`` rows."""
     rows = spark.read.schema("first string, key string").csv(path).select(F.monotonically_increasing_id().alias("seq"), "key").where("key is not null")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from keyloom.functions.keys import is_put
 from keyloom.operators.documents import Schema, SchemaError, validate_schema
 
 # Columns that every exported table has, and SQL types by field type.
@@ -71,6 +73,41 @@ def delete_statement(schema: Schema) -> str:
     return f"DELETE FROM {quote(schema.name)} WHERE {quote(KEY_COLUMN)} = ? AND {quote(LSN_COLUMN)} <= ?;"
 
 
+def run_batch(batch: DataFrame, schema: Schema, connect, key: str = "key", lsn: str = "lsn", op: str = "op", parts: int = 1) -> int:
+    """Run a batch of puts and deletes through the statements on a database; how many rows were sent.
+
+    ``connect`` makes a connection (DB-API, ``?`` marks) on a worker.  The batch
+    is reduced to its latest row per key and split by key into ``parts``, each
+    one transaction: all of it or nothing.  Statements are guarded by LSN, so a
+    task that runs again changes nothing.  Columns are named as the fields of the schema.
+    """
+    names = [f.name for _, f in columns(schema)]
+    put, drop = upsert_statement(schema), delete_statement(schema)
+    cols = [F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)]
+    rows = batch.select(F.encode(F.col(key).cast("string"), "UTF-8").alias("k"), F.col(lsn).cast("bigint").alias("l"), is_put(F.col(op)).alias("p"), *cols)
+    rest = [c for c in rows.columns if c not in ("k", "l")]
+    newest = rows.groupBy("k").agg(F.max(F.struct("l", *rest)).alias("b")).select("k", "b.*")
+
+    def work(batches):
+        db, sent = connect(), 0
+        try:
+            for b in batches:
+                data = b.to_pylist()
+                db.executemany(put, [[*(r[f"c{i}"] for i in range(len(names))), r["k"], r["l"]] for r in data if r["p"]])
+                db.executemany(drop, [[r["k"], r["l"]] for r in data if not r["p"]])
+                sent += len(data)
+            db.commit()
+        except BaseException:
+            db.rollback()
+            raise
+        finally:
+            db.close()
+        yield pa.RecordBatch.from_arrays([pa.array([sent], pa.int64())], names=["n"])
+
+    done = newest.repartition(parts, "k").mapInArrow(work, "n bigint")
+    return done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def guarded_merge(target: DataFrame, batch: DataFrame, key: str, lsn: str, op: str = "op") -> DataFrame:
     """Apply a batch of puts and deletes to a table by the statements' rules.
 
@@ -79,8 +116,6 @@ def guarded_merge(target: DataFrame, batch: DataFrame, key: str, lsn: str, op: s
     is reduced to its latest row per key first.  Applying a batch again changes
     nothing.  One shuffle join on the key; columns are those of ``target``.
     """
-    from keyloom.functions.keys import is_put
-
     payload = [c for c in target.columns if c != key]
     renamed = batch.select(F.col(key), F.col(lsn).alias("kl_l"), is_put(F.col(op)).alias("kl_put"), *[F.col(c).alias(f"kl_{i}") for i, c in enumerate(payload)])
     rest = [c for c in renamed.columns if c not in (key, "kl_l")]

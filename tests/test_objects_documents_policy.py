@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from keyloom.functions.codecs import CodecError, decode_key, decode_object, encode_key, encode_object
+from keyloom.functions.codecs import CodecError, decode_key, decode_object, decode_value, encode_key, encode_object, encode_value
 from keyloom.functions.keys import encoded_key
 from keyloom.operators import documents as D
 from keyloom.operators import objects as O
@@ -76,6 +76,7 @@ def test_container_algebra(spark, as_rows):
     assert as_rows(O.cardinality(asked, members, "k")) == [("k", 2), ("none", 0)]
     lists = O.append_positions(spark.createDataFrame([("a", 0, "x")], "key string, pos int, value string"), spark.createDataFrame([("a", "z", 2), ("a", "y", 1), ("b", "w", 3)], "key string, value string, q int"), "key", "q")
     assert as_rows(lists) == [("a", 0, "x"), ("a", 1, "y"), ("a", 2, "z"), ("b", 0, "w")]
+    assert as_rows(O.assign(lists, spark.createDataFrame([("a", 0, "new")], "key string, pos int, value string"), "key")) == [("a", 0, "new"), ("b", 0, "w")]
     popped, rest = O.pop(lists, "key")
     assert as_rows(popped, "key", "value") == [("a", "x"), ("b", "w")] and as_rows(rest, "value") == [("y",), ("z",)]
     assert as_rows(O.appended(h.where("v is not null"), "k", "v", "q")) == [("k", "12"), ("k2", "x")]
@@ -163,6 +164,27 @@ def test_codecs(spark):
     assert tuple(r) == (encode_key(-2, "int32").hex().upper(), encode_key(-2, "int64").hex().upper(), encode_key("ab", "string").hex().upper())
 
 
+def test_document_values():
+    value = {"b": [1, 2**40, 1.5, None, True, "é", b"\x00"], "a": {"x": []}, "": -1}
+    data = encode_value(value)
+    assert decode_value(data) == value and list(decode_value(data)) == ["", "a", "b"]
+    typed = D.parse_type({"object": [{"name": "n", "type": "int64"}, {"name": "f", "type": "float"}, {"name": "j", "type": "json"}, {"name": "l", "type": "int32[]"}]})
+    assert decode_value(encode_value({"n": 1, "f": 2, "j": "[1]", "l": [3]}, typed)) == {"n": 1, "f": 2.0, "j": b"[1]", "l": [3]}
+    assert encode_value(1, D.parse_type("int64"))[0] == 3 and encode_value(1)[0] == 2
+    deep = None
+    for _ in range(64):
+        deep = [deep]
+    assert decode_value(encode_value(deep)) == deep
+    for bad in ([deep], float("nan"), 1 << 63, {"x": float("inf")}):
+        with pytest.raises(CodecError):
+            encode_value(bad)
+    with pytest.raises(CodecError):
+        encode_value(1 << 40, D.parse_type("int32"))
+    for broken in (data[:-1], data + b"x", b"", b"\x63", b"\x07\xff\xff\xff\xff", b"\x05\x02", b"\x01\x01\x00\x00\x00\xff"):
+        with pytest.raises(CodecError):
+            decode_value(broken)
+
+
 def test_cache_policy(spark):
     trace = P.zipf_trace(spark, 20000, 2000, 1.1)
     assert trace.collect() == P.zipf_trace(spark, 20000, 2000, 1.1).collect()

@@ -106,6 +106,9 @@ def test_json_lines_archives_traces_pages(spark, tmp_path):
     (tmp_path / "b.wet.gz").write_bytes(blob[:-20])
     got = [(r.url, bytes(r.content)) for r in files.read_archives(spark, f"file://{tmp_path}/*.wet.gz").collect()]
     assert sorted(got)[:2] == [("http://a", b"line\nWARC/1.0\n")] * 2 and ("http://c", b"c") in got
+    pages = spark.createDataFrame([("http://x", b"one\r\n\r\nWARC/1.0"), ("http://y", b"")], "url string, content binary")
+    assert files.write_archives(pages.coalesce(1), f"file://{tmp_path}/arch") == 1
+    assert [(r.url, bytes(r.content)) for r in files.read_archives(spark, f"file://{tmp_path}/arch/*.wet.gz").collect()] == [("http://x", b"one\r\n\r\nWARC/1.0")]
     (tmp_path / "t.csv").write_text("1,a\n2,b\n3,a\n")
     assert [r.key for r in files.read_trace(spark, f"file://{tmp_path}/t.csv", 2).collect()] == ["a", "b"]
     df = spark.createDataFrame([(b"hello",), (None,)], "c binary")
@@ -138,6 +141,27 @@ def test_statements_and_merge_agree(spark):
     assert sorted(map(tuple, target.collect())) == sorted(db.execute(f"select id, {sql_sink.LSN_COLUMN}, v from users").fetchall())
 
 
+def test_statements_run_in_transactions(spark, tmp_path):
+    schema = D.Schema("users", (D.Field("id", D.FieldType("string"), primary=True), D.Field("v", D.FieldType("int64"))))
+    path = str(tmp_path / "db")
+    db = sqlite3.connect(path)
+    for s in sql_sink.create_statements(schema):
+        db.execute(s)
+    db.commit()
+    connect = lambda: sqlite3.connect(path)
+    kind = "key string, id string, v bigint, lsn bigint, op string"
+    one = spark.createDataFrame([("a", "a", 1, 1, "put"), ("a", "a", 2, 2, "put"), ("b", "b", 1, 3, "put"), ("c", "c", None, 4, "delete")], kind)
+    two = spark.createDataFrame([("a", "a", 9, 1, "put"), ("b", None, None, 3, "delete"), ("d", "d", 4, 5, "put")], kind)
+    read = lambda: sorted(db.execute("select id, v from users").fetchall())
+    assert sql_sink.run_batch(one, schema, connect) == 3 and read() == [("a", 2), ("b", 1)]
+    for _ in range(2):
+        assert sql_sink.run_batch(two, schema, connect) == 3 and read() == [("a", 2), ("d", 4)]
+    bad = spark.createDataFrame([("e", "e", 1, 6, "put"), ("f", "a", 1, 7, "put")], kind)  # the second row's key clashes
+    with pytest.raises(Exception):
+        sql_sink.run_batch(bad.union(spark.createDataFrame([("g", "a2", 1, None, "put")], kind)), schema, connect)
+    assert read() == [("a", 2), ("d", 4)] and sql_sink.run_batch(one.limit(0), schema, connect) == 0
+
+
 def test_table_text():
     with pytest.raises(D.SchemaError):
         sql_sink.create_statements(table_schema())
