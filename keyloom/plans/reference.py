@@ -101,14 +101,6 @@ def expected_version_conflicts(spark, d):
     return log.split_conflicts(batch, current, ["key"])[1].select("key", "expected_version", "actual_version")
 
 
-@query("""
-with held as (select user_id, max(event_id) as v from events where event_id % 3 <> 0 group by user_id)
-select e.event_id as lsn, e.user_id as key from events e left join held h on h.user_id = e.user_id where h.v is null or e.event_id > h.v""")
-def drop_stale_records(spark, d):
-    rows = change_log(spark, d)
-    return log.drop_stale(rows, rows.where("lsn % 3 <> 0"), ["key"], "lsn").select("lsn", "key")
-
-
 @query("select row_number() over (order by o_orderdate, o_orderkey) + (select max(event_id) from events) as lsn, o_orderkey as key from orders")
 def append_log(spark, d):
     batch = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), "o_orderdate")
@@ -201,28 +193,9 @@ def multi_get_positional(spark, d):
     return documents.multi_get_positional(table(spark, d, "customer"), _requests(spark, d), "c_custkey").select("ordinal", "c_custkey", "c_name")
 
 
-@query("select email, count(distinct id) as holders, min(id) as first_key from users where email is not null group by email having count(distinct id) > 1")
-def unique_violations(spark, d):
-    return documents.unique_violations(table(spark, d, "users"), "email", "id")
-
-
-@query("""
-select store_id, lsn, collection,
-  case when not json_valid(document) then 'document: malformed'
-       else concat_ws('; ', case when json_type(j, '$.id') is null then 'id: missing' when json_type(j, '$.id') = 'NULL' then 'id: null' when json_type(j, '$.id') <> 'VARCHAR' then 'id: type' end,
-         case when json_type(j, '$.email') is null then 'email: missing' when json_type(j, '$.email') = 'NULL' then 'email: null' when json_type(j, '$.email') <> 'VARCHAR' then 'email: type' end,
-         case when json_type(j, '$.tags') in ('OBJECT', 'VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE', 'BOOLEAN') then 'tags: type' end) end as errors
-from (select distinct store_id, lsn, collection, document, case when json_valid(document) then document else '{}' end as j from schema_flush where document is not null and collection = 'users')""")
-def document_validation_errors(spark, d):
-    s = documents.FieldType("string")
-    schema = documents.Schema("users", (documents.Field("id", s, primary=True), documents.Field("email", s), documents.Field("tags", documents.FieldType("array", s), optional=True)))
-    docs = table(spark, d, "schema_flush").where("document is not null and collection = 'users'").select("store_id", "lsn", "collection", "document").distinct()
-    return docs.select("store_id", "lsn", "collection", F.array_join(documents.validation_errors(F.col("document"), schema), "; ").alias("errors"))
-
-
 @query()
-def document_validation_all(spark, d):
-    """The documents of all collections against all fields that schema_fields declares; :func:`document_validation_errors` is a part of it that SQL can check."""
+def document_validation(spark, d):
+    """The documents of all collections against all fields that schema_fields declares, a row a document; ``document_faults`` has the same faults a row each, checked by SQL."""
     schemas = documents.declared_schemas(table(spark, d, "schema_fields"))
     docs = table(spark, d, "schema_flush").where("document is not null").select("store_id", "lsn", "collection", "document").distinct()
     errors = documents.collection_errors(F.col("collection"), F.col("document"), schemas)
@@ -351,7 +324,16 @@ def list_pop_back(spark, d):
     return objects.pop(_thread_lists(spark, d), "key", front=False)[0].select("key", "value")
 
 
-@query()
+@query("""
+with recursive c as (
+  select user_id, event_id, case event_type when 'click' then 'pop_front' when 'error' then 'pop_back' else 'push' end as op, row_number() over (partition by user_id order by event_id) as n from events),
+run as (
+  select user_id, 0::bigint as n, []::varchar[] as items, null::bigint as event_id, null::varchar as op, null::varchar as popped from (select distinct user_id from events)
+  union all
+  select c.user_id, c.n, case c.op when 'push' then list_append(r.items, c.event_id::varchar) when 'pop_front' then r.items[2:] else r.items[:-2] end,
+    c.event_id, c.op, case c.op when 'pop_front' then r.items[1] when 'pop_back' then r.items[-1] end
+  from run r join c on c.user_id = r.user_id and c.n = r.n + 1)
+select user_id::varchar as key, event_id as seq, op, popped, len(items)::int as length from run where n > 0""")
 def list_command_replay(spark, d):
     """Pushes by views and signups, pops by clicks (front) and errors (back), replayed per user."""
     e = table(spark, d, "events")
@@ -417,10 +399,11 @@ def expired_keys_hidden(spark, d):
     return hot.where(~F.col("tombstone") & ~gone).select("key", "version", "value")
 
 
-@query(f"with {_HOT}, c as (select max(version) as now from hot) select key, version from hot, c where dirty and now - last_touch >= 1000")
+@query(f"with {_HOT}, c as (select max(version) as now from hot) select key, version from hot, c where dirty and now - last_touch >= now // 200")
 def idle_flush_selection(spark, d):
     hot = hot_state(spark, d)
-    return expiry.idle_dirty(hot, hot.agg(F.max("version").alias("m")).scalar(), 1000).select("key", "version")
+    now = _now(hot)
+    return expiry.idle_dirty(hot, F.lit(now), now // 200).select("key", "version")
 
 
 @query(f"with {_HOT}, c as (select max(version) as now from hot) select key, version from hot, c where tombstone or now - last_touch < 1000")
@@ -433,18 +416,20 @@ def _now(hot: DataFrame) -> int:
     return int(hot.agg(F.max("version")).first()[0] or 0)
 
 
-@query(f"with {_HOT}, c as (select max(version) as now from hot) select key, version from hot, c where not dirty and now - last_touch >= 1024 order by last_touch, version, key limit 128")
+@query(f"with {_HOT}, c as (select max(version) as now from hot) select key, version from hot, c where not dirty and now - last_touch >= now // 200 order by last_touch, version, key limit 128")
 def demote_oldest(spark, d):
     hot = hot_state(spark, d)
-    return expiry.demote(hot, _now(hot)).select("key", "version")
+    now = _now(hot)
+    return expiry.demote(hot, now, idle_ticks=now // 200).select("key", "version")
 
 
 @query(f"""
 with {_HOT}, c as (select max(version) as now from hot)
-select case when dirty then 'skipped_dirty' when now - last_touch < 1024 then 'skipped_recent' else 'candidate' end as disposition, count(*) as n from hot, c group by 1""")
+select case when dirty then 'skipped_dirty' when now - last_touch < now // 200 then 'skipped_recent' else 'candidate' end as disposition, count(*) as n from hot, c group by 1""")
 def demotion_report(spark, d):
     hot = hot_state(spark, d)
-    return expiry.demotion_report(hot, _now(hot))
+    now = _now(hot)
+    return expiry.demotion_report(hot, now, idle_ticks=now // 200)
 
 
 def _cold(spark: SparkSession, d: str, events: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -467,26 +452,6 @@ def cold_gc(spark, d):
     return expiry.compact_cold(*_cold(spark, d), ["key"], now=0, to_generation=5).select("key", "version", "value", "generation")
 
 
-@query(f"""
-with {_COLD}, {_HOT}, kept as (select * from hot where key % 2 = 0),
-j as (select coalesce(h.key, s.key) as key, h.version as hv, h.value as hx, h.tombstone, s.version as cv, s.value as cx from kept h full join seen s on s.key = h.key)
-select key, case when hv is not null and (tombstone or cv is null or hv >= cv) then hv else cv end as version,
-  case when hv is not null and (tombstone or cv is null or hv >= cv) then hx else cx end as value,
-  case when hv is not null and (tombstone or cv is null or hv >= cv) then 'hot' else 'cold' end as tier
-from j where not coalesce(hv is not null and tombstone, false)""")
-def cold_read_through(spark, d):
-    cold, buried = _cold(spark, d)
-    return expiry.read_through(hot_state(spark, d).where("key % 2 = 0"), cold, buried, ["key"])
-
-
-@query(f"""
-with {_COLD}, {_HOT}, kept as (select * from hot where key % 3 = 0)
-select s.key, s.version from seen s left join kept h on h.key = s.key where h.version is null or h.version < s.version""")
-def promotion_guard(spark, d):
-    cold, buried = _cold(spark, d)
-    return expiry.promotable(cold, hot_state(spark, d).where("key % 3 = 0"), buried, ["key"], now=0).select("key", "version")
-
-
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Every event in one of two parts that take turns in blocks of 1024, so that a key may be newer in either."""
     e = table(spark, d, "events")
@@ -509,14 +474,14 @@ with {_TIERS}
 select coalesce(h.key, s.key) as key, case when h.key is null or s.version > h.version then s.version else h.version end as version,
   case when h.key is null or s.version > h.version then s.value else h.value end as value, case when h.key is null or s.version > h.version then 'cold' else 'hot' end as tier
 from hot h full join seen s on s.key = h.key where not coalesce(h.tombstone, false)""")
-def cold_read_through_all(spark, d):
+def cold_read_through(spark, d):
     """All keys of both tiers, each event in one of them."""
     hot, cold = _halves(spark, d)
     return expiry.read_through(hot_state(spark, d, hot), *_cold(spark, d, cold), ["key"])
 
 
 @query(f"with {_TIERS} select s.key, s.version from seen s where not exists (select 1 from hot h where h.key = s.key and h.version >= s.version)")
-def promotion_guard_all(spark, d):
+def promotion_guard(spark, d):
     hot, cold = _halves(spark, d)
     records, buried = _cold(spark, d, cold)
     return expiry.promotable(records, hot_state(spark, d, hot), buried, ["key"], now=0).select("key", "version")
@@ -525,7 +490,7 @@ def promotion_guard_all(spark, d):
 @query("""
 with held as (select user_id, max(event_id) as v from events where (event_id >> 10) % 2 = 0 group by user_id)
 select e.event_id as lsn, e.user_id as key from events e left join held h on h.user_id = e.user_id where (e.event_id >> 10) % 2 = 1 and (h.v is null or e.event_id > h.v)""")
-def drop_stale_all(spark, d):
+def drop_stale_records(spark, d):
     """A batch of one half of the events against what is stored of the other."""
     stored, batch = (e.select(F.col("event_id").alias("lsn"), F.col("user_id").alias("key")) for e in _halves(spark, d))
     return log.drop_stale(batch, stored, ["key"], "lsn")

@@ -24,7 +24,7 @@ def validate(spark, tmp_path):
     def run(docs):
         data = [("s", i, c, d if d is None or isinstance(d, str) else json.dumps(d)) for i, (c, d) in enumerate(docs)]
         spark.createDataFrame(data, "store_id string, lsn bigint, collection string, document string").write.mode("overwrite").parquet(f"{tmp_path}/schema_flush.parquet")
-        return {r.lsn: r.errors for r in entry.queries()["document_validation_all"](spark, str(tmp_path)).collect()}
+        return {r.lsn: r.errors for r in entry.queries()["document_validation"](spark, str(tmp_path)).collect()}
 
     return run
 

@@ -13,11 +13,11 @@ def test_no_key_is_left_out(spark, tmp_path, as_rows):
         (late + 4, 6, "view", 8.0), (2 * late, 6, "view", 9.0), (late + 5, 7, "view", 10.0), (2 * late + 1, 9, "view", 11.0), (late + 6, 9, "view", 12.0), (late + 7, 11, "view", 13.0), (2 * late + 2, 11, "error", 14.0),
     ]
     spark.createDataFrame(data, cols).write.parquet(f"{tmp_path}/events.parquet")
-    run = {name: entry.queries()[name](spark, str(tmp_path)) for name in ("cold_read_through_all", "promotion_guard_all", "drop_stale_all")}
-    assert sorted(map(tuple, run["cold_read_through_all"].select("key", "version", "value", "tier").collect())) == [
+    run = {name: entry.queries()[name](spark, str(tmp_path)) for name in ("cold_read_through", "promotion_guard", "drop_stale_records")}
+    assert sorted(map(tuple, run["cold_read_through"].select("key", "version", "value", "tier").collect())) == [
         (1, late, 2.0, "cold"), (2, 2, 3.0, "hot"), (6, 2 * late, 9.0, "hot"), (7, late + 5, 10.0, "cold"), (9, 2 * late + 1, 11.0, "hot")]
-    assert sorted(map(tuple, run["promotion_guard_all"].collect())) == [(1, late), (3, late + 1), (7, late + 5)]
-    assert sorted(map(tuple, run["drop_stale_all"].collect())) == [(late, 1), (late + 1, 3), (late + 2, 5), (late + 3, 5), (late + 5, 7)]
+    assert sorted(map(tuple, run["promotion_guard"].collect())) == [(1, late), (3, late + 1), (7, late + 5)]
+    assert sorted(map(tuple, run["drop_stale_records"].collect())) == [(late, 1), (late + 1, 3), (late + 2, 5), (late + 3, 5), (late + 5, 7)]
 
 
 HOT = "key string, version bigint, last_touch bigint, dirty boolean, tombstone boolean, value string"
