@@ -30,6 +30,8 @@ from keyloom.session import file_bytes, publish_bytes
 MAX_TRAIN = 8000
 #: Sentences of the training posts that a term must stand in.
 MIN_SENTENCES = 6
+#: Terms that a model has at most, the most frequent ones; it bounds what is broadcast.
+MAX_TERMS = 1 << 19
 BEAM = 8
 FOLDS = 3
 NUMBER = np.uint64(word_hash("#"))
@@ -247,7 +249,10 @@ class SubjectModel:
         """The sentence model by expectation-maximisation, and the model of whole posts."""
         k = y.shape[1]
         pairs = np.unique(posts.terms, return_counts=True)
-        self.vocabulary = HashIndex(pairs[0][pairs[1] >= MIN_SENTENCES])
+        chosen = np.flatnonzero(pairs[1] >= MIN_SENTENCES)
+        if len(chosen) > MAX_TERMS:
+            chosen = np.sort(chosen[np.argsort(-pairs[1][chosen], kind="stable")[:MAX_TERMS]])
+        self.vocabulary = HashIndex(pairs[0][chosen])
         v = len(self.vocabulary.keys)
         ids, sentence = self.known(posts)
         prior = np.full((len(y), k + 1), 0.02)
