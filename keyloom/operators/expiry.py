@@ -44,6 +44,12 @@ def idle_dirty(state: DataFrame, now: Column, idle_ticks: int, limit: int | None
     return rows if limit is None else rows.orderBy(*order).limit(limit)
 
 
+def flush_idle(state: DataFrame, now: int, idle_ticks: int) -> tuple[DataFrame, DataFrame]:
+    """The dirty rows idle for ``idle_ticks``, to be written behind, and the state without them: a flushed row is evicted."""
+    idle = F.coalesce(F.col("dirty") & (F.lit(now) - F.col("last_touch") >= idle_ticks), F.lit(False))
+    return state.where(idle), state.where(~idle)
+
+
 def evict_idle(state: DataFrame, now: Column, idle_ticks: int) -> DataFrame:
     """Live rows idle for ``idle_ticks`` go, flushed or not; tombstones stay."""
     return state.where(F.col("tombstone") | (now - F.col("last_touch") < idle_ticks))
@@ -99,6 +105,21 @@ def compact_cold(cold: DataFrame, tombstones: DataFrame, keys: Sequence[str], no
     return rows.withColumn("generation", F.lit(to_generation))
 
 
+def compaction_report(cold: DataFrame, tombstones: DataFrame, keys: Sequence[str], now: int) -> DataFrame:
+    """Records by what :func:`compact_cold` does with them: superseded by a newer generation, deleted, expired or kept."""
+    newest = newest_cold(cold, keys)
+    alive = not_buried(newest, tombstones, keys)
+    gone = F.count_if(expired(F.lit(now), F.col("last_touch"), F.col("expires_at"), F.col("tti_ticks")))
+    counts = {"a": cold.agg(F.count(F.lit(1)).alias("n")), "b": newest.agg(F.count(F.lit(1)).alias("n")), "c": alive.agg(F.count(F.lit(1)).alias("n")), "d": alive.agg(gone.alias("n"))}
+    rows = None
+    for name, count in counts.items():
+        part = count.select(F.lit(name).alias("name"), "n")
+        rows = part if rows is None else rows.unionByName(part)
+    row = rows.agg(*[F.max(F.when(F.col("name") == c, F.col("n"))).alias(c) for c in counts])
+    what = {"superseded": F.col("a") - F.col("b"), "deleted": F.col("b") - F.col("c"), "expired": F.col("d"), "kept": F.col("c") - F.col("d")}
+    return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("disposition"), v.cast("bigint").alias("n")) for k, v in what.items()])).alias("r")).select("r.*")
+
+
 def read_through(hot: DataFrame, cold: DataFrame, tombstones: DataFrame, keys: Sequence[str], version: str = "version", value: str = "value") -> DataFrame:
     """What a read sees: the hot row, else the newest cold record that is not deleted.
 

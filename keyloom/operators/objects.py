@@ -96,6 +96,16 @@ def set_members(commands: DataFrame, key: str, member: str) -> DataFrame:
     return commands.select(key, member).distinct()
 
 
+def contains(requested: DataFrame, rows: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Each request once, with whether its element is there (``present``); nulls are values like any other."""
+    names = [f"kl_k{i}" for i in range(len(on))]
+    held = rows.select(*[F.col(c).alias(n) for c, n in zip(on, names)]).distinct().withColumn("kl_there", F.lit(True))
+    same = F.lit(True)
+    for c, n in zip(on, names):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    return requested.select(*on).distinct().join(held, same, "left").select(*on, F.col("kl_there").isNotNull().alias("present"))
+
+
 def cardinality(requested: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Elements per requested key; a missing key has 0."""
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("kl_n"))

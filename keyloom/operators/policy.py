@@ -211,6 +211,31 @@ def hit_ratio(replayed: DataFrame) -> DataFrame:
     return replayed.agg(F.count(F.lit(1)).alias("accesses"), F.count_if("hit").alias("hits"), F.round(F.try_divide(100.0 * F.count_if("hit"), F.count(F.lit(1))), 3).alias("hit_percent"))
 
 
+def sketch_estimates(trace: DataFrame, config: PolicyConfig, sample: int | None = None) -> DataFrame:
+    """Each key of a trace (seq, key) with what its shard's frequency sketch thinks of it after all accesses.
+
+    ``config.admission`` names the kind of sketch; ``sample`` is after how many
+    accesses it ages, by default as the policy sets it.  A worker holds the distinct keys of its shards; null keys are no accesses.
+    """
+    shards = 1 << (max(1, config.shards) - 1).bit_length()
+    per_shard = max(1, -(-config.capacity // shards))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketches: dict[int, tuple[FrequencySketch, dict[int, None]]] = {}
+        for batch in batches:
+            for k, s in zip(batch.column("key").to_pylist(), batch.column("shard").to_pylist()):
+                if s not in sketches:
+                    sketches[s] = FrequencySketch(per_shard, config.admission or "plain", config.min_width, config.sample_floor, sample), {}
+                sketches[s][0].add(k)
+                sketches[s][1][k] = None
+        for sketch, keys in sketches.values():
+            yield pa.RecordBatch.from_arrays([pa.array(list(keys), pa.int64()), pa.array([sketch.estimate(k) for k in keys], pa.int64())], names=["key", "estimate"])
+
+    rows = trace.where("key is not null").select(F.col("seq").cast("bigint"), F.col("key").cast("bigint"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "seq", "key").mapInArrow(work, "key bigint, estimate bigint")
+
+
 def zipf_trace(spark: SparkSession, accesses: int, support: int, alpha: float, seed: int = 1) -> DataFrame:
     """A Zipf-distributed trace (seq, key): inverse distribution over hashed positions, the same on every run."""
 

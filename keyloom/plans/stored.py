@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keyloom.functions import codecs
-from keyloom.operators import documents, expiry, log, objects, recovery
-from keyloom.plans.reference import _LAST, _cold, _halves, change_log
+from keyloom.functions.keys import encoded_key
+from keyloom.operators import documents, expiry, log, objects, pages, policy, recovery
+from keyloom.plans.reference import _COLD, _HOT, _LAST, _cold, _halves, _now, change_log, hot_state
 from keyloom.session import scratch, table
 from keyloom.sources import files, wal
 from keyloom.streaming import expiring, flusher
@@ -366,3 +367,76 @@ def stream_append_log(spark, d):
     q.processAllAvailable()
     q.stop()
     return spark.read.parquet(path).select("lsn", "key")
+
+
+@query(f"with {_HOT}, c as (select max(version) as now from hot) select key, version, 'flushed' as went from hot, c where dirty and now - last_touch >= now // 200 union all select key, version, 'stays' from hot, c where not (dirty and now - last_touch >= now // 200)")
+def idle_flush(spark, d):
+    """Idle dirty rows are written behind and evicted, the others stay."""
+    hot = hot_state(spark, d)
+    now = _now(hot)
+    flushed, rest = expiry.flush_idle(hot, now, now // 200)
+    return flushed.select("key", "version", F.lit("flushed").alias("went")).unionByName(rest.select("key", "version", F.lit("stays").alias("went")))
+
+
+@query(f"""
+with {_COLD}, t as (select count(*) as a from events where event_type <> 'error'), k as (select count(*) as b from cold where rn = 1), s as (select count(*) as c from seen)
+select 'superseded' as disposition, a - b as n from t, k union all select 'deleted', b - c from k, s union all select 'expired', 0 union all select 'kept', c from s""")
+def cold_gc_report(spark, d):
+    return expiry.compaction_report(*_cold(spark, d), ["key"], now=0)
+
+
+@query("""
+with members as (select distinct user_id as key, event_type as member from events), asked as (select c_custkey as key, unnest(['view', 'error', 'none']) as member from customer)
+select a.key, a.member, m.key is not null as present from asked a left join members m on m.key = a.key and m.member = a.member""")
+def set_contains(spark, d):
+    members = objects.set_members(table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("member")), "key", "member")
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.explode(F.array(F.lit("view"), F.lit("error"), F.lit("none"))).alias("member"))
+    return objects.contains(asked, members, ["key", "member"])
+
+
+@query("select o_orderkey, '02' || list_aggregate(list_reverse(regexp_extract_all(printf('%016X', o_orderkey::bigint), '(..)', 1)), 'string_agg', '') as number_key, '03' || hex(encode(o_orderstatus)) as bytes_key from orders")
+def key_encoding_long_and_bytes(spark, d):
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", encoded_key(F.col("o_orderkey").cast("bigint"), "int64").alias("number_key"), encoded_key(F.encode("o_orderstatus", "UTF-8"), "bytes").alias("bytes_key"))
+
+
+@query("select user_id as key, count(*) as accesses, unnest(['doorkeeper', 'packed', 'plain', 'two_counter']) as kind, true as in_bounds from events group by user_id")
+def sketches_never_undercount(spark, d):
+    """Sketches that don't age estimate at least what was counted, up to where they saturate; a doorkeeper keeps the first access."""
+    trace = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("key"))
+    exact, out = log.frequencies(trace, ["key"]), None
+    for kind, most, off in (("plain", 255, 0), ("packed", 15, 0), ("doorkeeper", 255, 1), ("two_counter", 15, 0)):
+        est = policy.sketch_estimates(trace, policy.PolicyConfig(capacity=4096, shards=4, admission=kind), sample=1 << 60)
+        held = F.col("estimate").between(F.least(F.col("accesses") - off, F.lit(most)), most)
+        part = exact.join(est, "key").select("key", "accesses", F.lit(kind).alias("kind"), held.alias("in_bounds"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("select o_custkey::varchar as file, sum(octet_length(encode(o_orderstatus || ':' || o_orderkey || ';')))::bigint as length, md5(string_agg(o_orderstatus || ':' || o_orderkey || ';', '' order by o_orderkey)) as digest from orders group by o_custkey")
+def paged_files(spark, d):
+    """Each customer's orders written piece by piece into a file of small pages, and the whole file read back."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("file"), F.col("o_orderkey").alias("seq"), F.concat("o_orderstatus", F.lit(":"), F.col("o_orderkey").cast("string"), F.lit(";")).alias("text"))
+    from keyloom.operators.segments import running_sum
+
+    placed = running_sum(o, ["file"], "seq", F.octet_length("text"), "offset", inclusive=False)
+    stored = pages.write_at(spark.createDataFrame([], pages.SCHEMA), placed.select("file", "offset", F.encode("text", "UTF-8").alias("data"), "seq"), page=64)
+    sizes = pages.lengths(stored, 64)
+    back = pages.read_at(stored, sizes.withColumn("offset", F.lit(0).cast("bigint")), page=64)
+    return back.select("file", F.col("available").alias("length"), F.md5("data").alias("digest"))
+
+
+@query(f"with {_LAST} select user_id as key, lsn, value from last where event_type <> 'error'")
+def checkpoint_and_reset(spark, d):
+    """A log that is emptied by a checkpoint half way; the snapshot and what came later are all that is left."""
+    changes = change_log(spark, d)
+    half = (changes.agg(F.max("lsn")).first()[0] or 0) // 2
+    store = recovery.CheckpointStore(spark, scratch(spark, "checkpoints"))
+    lsn, _ = store.checkpoint_and_reset(changes.where(F.col("lsn") <= half), ["key"], "lsn")
+    return recovery.recover(store.load_latest()[1], changes.where(F.col("lsn") > half), ["key"], "lsn", lsn).select("key", "lsn", "value")
+
+
+@query()
+def hot_key_trace_hit_ratio(spark, d):
+    """A generated trace whose hot fifth of keys gets four fifths of the accesses, through the cache policy."""
+    return policy.hit_ratio(policy.replay(policy.hot_key_trace(spark, 100_000, 10_000), policy.PolicyConfig(capacity=2000, shards=8)))
