@@ -29,11 +29,11 @@ from keyloom.session import file_bytes, publish_bytes
 #: Labelled posts that are read for training, chosen by a hash of their id.
 MAX_TRAIN = 8000
 #: Sentences of the training posts that a term must stand in.
-MIN_SENTENCES = 6
+MIN_SENTENCES = 4
 #: Terms that a model has at most, the most frequent ones; it bounds what is broadcast.
 MAX_TERMS = 1 << 19
 BEAM = 8
-FOLDS = 3
+FOLDS = 2
 NUMBER = np.uint64(word_hash("#"))
 
 
