@@ -216,6 +216,28 @@ def document_faults(spark, d):
     return faults.groupBy("store_id", "lsn", "collection", "fault").agg(F.count(F.lit(1)).alias("copies"))
 
 
+@query("""
+with b as (select o_custkey::varchar as key, o_orderkey as seq, 'm' || (o_orderkey % 9973) as email, o_orderstatus = 'F' as gone, o_orderpriority like '1%' as bad from orders),
+good as (select key, seq, email, first_value(key) over (partition by email order by seq) as holder from b where not gone and not bad),
+taken as (select key, seq, email from good where holder = key union all select key, seq, null from b where gone),
+last as (select *, row_number() over (partition by key order by seq desc) as rn, count(*) over (partition by key) as n from taken),
+new as (select coalesce(l.key, c_custkey::varchar) as key, case when l.key is null then c_name else l.email end as email, (c_custkey is not null)::bigint + coalesce(l.n, 0) as version from customer full join (select * from last where rn = 1) l on l.key = c_custkey::varchar)
+select key, email, version, null as reason from new where email is not null
+union all select key, null, seq, 'email: type' from b where not gone and bad union all select key, null, seq, 'email: not unique' from good where holder <> key""")
+def put_documents(spark, d):
+    """The write path: customers as documents, orders as puts and deletes, some of which break the schema or a unique field."""
+    s = documents.FieldType("string")
+    schema = documents.Schema("customers", (documents.Field("id", s, primary=True, indexed=True), documents.Field("email", s, indexed=True, unique=True)))
+    current = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.to_json(F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("email"))).alias("document"), F.lit(1).cast("bigint").alias("version"))
+    o, key = table(spark, d, "orders"), F.col("o_custkey").cast("string")
+    mail = F.concat(F.lit("m"), (F.col("o_orderkey") % 9973).cast("string"))
+    doc = F.when(F.col("o_orderpriority").startswith("1"), F.to_json(F.struct(key.alias("id"), F.lit(5).alias("email")))).otherwise(F.to_json(F.struct(key.alias("id"), mail.alias("email"))))
+    batch = o.select(key.alias("key"), F.when(F.col("o_orderstatus") != "F", doc).alias("document"), F.col("o_orderkey").alias("seq"))
+    state, rejected = documents.put_documents(current, batch, schema)
+    rows = state.select("key", F.get_json_object("document", "$.email").alias("email"), "version", F.lit(None).cast("string").alias("reason"))
+    return rows.unionByName(rejected.select("key", F.lit(None).cast("string").alias("email"), F.col("seq").alias("version"), "reason"))
+
+
 # -------------------------------------------------------------- objects, values
 
 

@@ -26,22 +26,41 @@ def write_jsonl(rows: DataFrame, path: str, columns: tuple[str, ...] = ("url", "
     rows.select(*cols).write.mode("overwrite").json(path)
 
 
-def inflated(data: bytes) -> bytes:
-    """All gzip members of ``data`` one after the other, as far as they are whole."""
-    out = []
-    while data:
-        member = zlib.decompressobj(wbits=31)
-        try:
-            out.append(member.decompress(data))
-        except zlib.error:
-            break
-        data = member.unused_data
-    return b"".join(out)
-
-
-def archive_records(data: bytes) -> Iterator[tuple[str, bytes]]:
-    """(url, content) of the conversion records of a gzipped archive of one or more members."""
-    f = io.BytesIO(inflated(data))
+#: Compressed bytes that are read at a time, and content bytes that go into one Arrow batch.
+CHUNK, BATCH_BYTES = 1 << 18, 8 << 20
+
+
+class _Inflated(io.RawIOBase):
+    """All gzip members of a stream one after the other, as far as they are whole, a chunk at a time."""
+
+    def __init__(self, source) -> None:
+        self.source, self.member, self.held, self.over = source, zlib.decompressobj(wbits=31), b"", False
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while not self.over:
+            try:
+                data = self.member.decompress(self.held, len(into))
+            except zlib.error:
+                break
+            self.held = self.member.unconsumed_tail
+            if self.member.eof:
+                self.held, self.member = self.member.unused_data, zlib.decompressobj(wbits=31)
+            if data:
+                into[: len(data)] = data
+                return len(data)
+            if not self.held:
+                self.held = self.source.read(CHUNK)
+                self.over = not self.held
+        self.over = True
+        return 0
+
+
+def archive_records(source) -> Iterator[tuple[str, bytes]]:
+    """(url, content) of the conversion records of a gzipped archive of one or more members, read from a stream; a record is held at a time."""
+    f = io.BufferedReader(_Inflated(source), CHUNK)
     while line := f.readline():
         if not line.startswith(b"WARC/1.0"):
             continue
@@ -58,18 +77,31 @@ def archive_records(data: bytes) -> Iterator[tuple[str, bytes]]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """url and content (binary) of all conversion records under ``path``; a truncated file gives what precedes the cut."""
+    """url and content (binary) of all conversion records under ``path``; a truncated file gives what precedes the cut.
+
+    Spark only lists the files; workers read them as streams through Arrow's file systems.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("content").to_pylist():
-                urls, bodies = [], []
-                for url, body in archive_records(data):
-                    urls.append(url)
-                    bodies.append(body)
-                yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array(bodies, pa.binary())], names=["url", "content"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(work, "url string, content binary")
+            for name in batch.column("path").to_pylist():
+                fs, at = FileSystem.from_uri(name if "://" in name else name.replace("file:", "file://", 1))
+                urls, bodies, size = [], [], 0
+                with fs.open_input_stream(at, compression=None) as source:
+                    for url, body in archive_records(source):
+                        urls.append(url)
+                        bodies.append(body)
+                        size += len(body)
+                        if size >= BATCH_BYTES:
+                            yield _pages(urls, bodies)
+                            urls, bodies, size = [], [], 0
+                yield _pages(urls, bodies)
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(work, "url string, content binary")
+
+
+def _pages(urls: list[str], bodies: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array(bodies, pa.binary())], names=["url", "content"])
 
 
 def write_archives(rows: DataFrame, path: str, url: str = "url", content: str = "content") -> int:
