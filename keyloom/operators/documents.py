@@ -10,9 +10,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from keyloom.functions.jsontext import parse
+from keyloom.operators.dedupe import first_copies
 
 #: Array levels that a type string may have, nesting and sizes that a value may have.
 MAX_ARRAY_LEVELS, MAX_DEPTH, MAX_ITEMS, MAX_BYTES = 8, 64, 1 << 20, 64 << 20
@@ -390,14 +391,14 @@ def create_only(current: DataFrame, batch: DataFrame, key: str, order: Sequence[
     """Rows of the batch that create their key, and those whose key exists or was created by an earlier row of the batch.
 
     Rows of one key are taken in ``order``, then in that of their other columns;
-    of rows that are equal in all any one creates.  Null keys are one key.
+    of rows that are equal in all any one creates.  Null keys are one key.  Of a
+    key that comes very often each task sends one row; the others are what the
+    batch has beyond the creating rows, repetitions counted.
     """
-    rest = [c for c in batch.columns if c != key and c not in order]
-    first = F.row_number().over(Window.partitionBy(key).orderBy(*order, *rest)) if order or rest else F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))
-    known = current.select(F.col(key).alias("kl_known")).distinct().withColumn("kl_there", F.lit(True))
-    marked = batch.withColumn("kl_rank", first).join(known, F.col(key).eqNullSafe(F.col("kl_known")), "left")
-    creates = F.col("kl_there").isNull() & (F.col("kl_rank") == 1)
-    return marked.where(creates).select(*batch.columns), marked.where(~creates).select(*batch.columns)
+    by = [*order, *(c for c in batch.columns if c != key and c not in order)] or [key]
+    known = current.select(F.col(key).alias("kl_known")).distinct()
+    new = first_copies(batch, [key], by[0], by[1:]).join(known, F.col(key).eqNullSafe(F.col("kl_known")), "left_anti")
+    return new, batch.exceptAll(new)
 
 
 @dataclass(frozen=True)
@@ -542,7 +543,8 @@ def put_documents(current: DataFrame, batch: DataFrame, schema: Schema, seq: str
     isn't its key, or if a unique value is held by another key, in ``current`` or
     in an earlier row of the batch; a value of ``current`` counts as held even if
     the batch frees it, and a row holds its values even if another of them gets it rejected.  Of what is accepted the last row of a key holds, with the version counted on by the rows
-    accepted before it.  All checks are joins and windows over keys or values; nothing is collected.
+    accepted before it.  Holders of values are found by aggregates that
+    combine before the shuffle.
     """
     doc = F.col("document")
     primary = F.get_json_object(doc, "$." + schema.primary.name)
@@ -555,9 +557,9 @@ def put_documents(current: DataFrame, batch: DataFrame, schema: Schema, seq: str
         rows = rows.withColumn("kl_value", F.when(F.col("reason").isNull(), value))
         taken = F.col("kl_min").isNotNull() & ((F.col("kl_min") != F.col("key")) | (F.col("kl_max") != F.col("key")))
         rows = rows.join(held, "kl_value", "left").withColumn("kl_taken", F.coalesce(taken, F.lit(False)))
-        w = Window.partitionBy("kl_value", "kl_taken", F.when(F.col("kl_value").isNull(), F.col("key"))).orderBy("kl_seq")  # rows without a value are spread by key
-        rows = rows.withColumn("kl_first", F.first("key").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        clash = F.col("kl_value").isNotNull() & (F.col("kl_taken") | (F.col("kl_first") != F.col("key")))
+        first = rows.where("kl_value is not null and not kl_taken").groupBy("kl_value").agg(F.min_by("key", "kl_seq").alias("kl_first"))
+        rows = rows.join(first, "kl_value", "left")
+        clash = F.col("kl_value").isNotNull() & (F.col("kl_taken") | ~F.col("kl_first").eqNullSafe(F.col("key")))
         rows = rows.withColumn("reason", F.coalesce("reason", F.when(clash, F.lit(f"{f.name}: not unique")))).drop("kl_value", "kl_min", "kl_max", "kl_taken", "kl_first")
     good = rows.where("reason is null")
     last = good.groupBy("key").agg(F.max(F.struct("kl_seq", "document")).alias("kl_b"), F.count(F.lit(1)).alias("kl_n"))

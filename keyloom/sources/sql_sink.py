@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from keyloom.functions.keys import is_put
 from keyloom.operators.documents import Schema, SchemaError, validate_schema
 
-# Columns that every exported table has, and SQL types by field type.
+# Columns that every exported table has unless the caller names others, and SQL types by field type.
 KEY_COLUMN, LSN_COLUMN = "mfs_key", "mfs_lsn"
 SQL_TYPES = {"string": "TEXT", "int32": "INTEGER", "int64": "INTEGER", "bool": "INTEGER", "float": "REAL"}
 
@@ -23,7 +23,7 @@ def column_name(field: str) -> str:
     return re.sub(r"[^A-Za-z0-9_]", "_", field)
 
 
-def columns(schema: Schema) -> list[tuple[str, object]]:
+def columns(schema: Schema, key_column: str = KEY_COLUMN, lsn_column: str = LSN_COLUMN) -> list[tuple[str, object]]:
     """(column, field) for each stored field; reserved and colliding names are errors."""
     validate_schema(schema)
     out: dict[str, object] = {}
@@ -31,7 +31,7 @@ def columns(schema: Schema) -> list[tuple[str, object]]:
         if not f.stored:
             continue
         name = column_name(f.name)
-        if name in (KEY_COLUMN, LSN_COLUMN):
+        if name in (key_column, lsn_column):
             raise SchemaError("reserved_column", f.name)
         if name in out:
             raise SchemaError("duplicate_column", f.name)
@@ -39,10 +39,10 @@ def columns(schema: Schema) -> list[tuple[str, object]]:
     return list(out.items())
 
 
-def create_statements(schema: Schema) -> list[str]:
+def create_statements(schema: Schema, key_column: str = KEY_COLUMN, lsn_column: str = LSN_COLUMN) -> list[str]:
     """The table, then an index per indexed, sorted, ranged or referring column that is not unique anyway."""
     table, defs, indexes = quote(schema.name), [], []
-    for name, f in columns(schema):
+    for name, f in columns(schema, key_column, lsn_column):
         words = [quote(name), SQL_TYPES.get(f.type.kind, "BLOB")]
         if f.primary:
             words.append("PRIMARY KEY")
@@ -53,27 +53,27 @@ def create_statements(schema: Schema) -> list[str]:
         defs.append(" ".join(words))
         if not f.primary and not f.unique and (f.indexed or f.sort or f.range_index or f.reference):
             indexes.append(f"CREATE INDEX IF NOT EXISTS {quote(f'{schema.name}_{name}_idx')} ON {table} ({quote(name)});")
-    defs += [f"{quote(KEY_COLUMN)} BLOB NOT NULL UNIQUE", f"{quote(LSN_COLUMN)} INTEGER NOT NULL"]
+    defs += [f"{quote(key_column)} BLOB NOT NULL UNIQUE", f"{quote(lsn_column)} INTEGER NOT NULL"]
     return [f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(defs)});", *indexes]
 
 
-def upsert_statement(schema: Schema) -> str:
+def upsert_statement(schema: Schema, key_column: str = KEY_COLUMN, lsn_column: str = LSN_COLUMN) -> str:
     """Insert, or update a row that is older than the incoming one."""
     table, primary = quote(schema.name), quote(column_name(schema.primary.name))
-    names = [*(quote(n) for n, _ in columns(schema)), quote(KEY_COLUMN), quote(LSN_COLUMN)]
+    names = [*(quote(n) for n, _ in columns(schema, key_column, lsn_column)), quote(key_column), quote(lsn_column)]
     sets = ", ".join(f"{n} = excluded.{n}" for n in names if n != primary)
     marks = ", ".join("?" * len(names))
-    lsn = quote(LSN_COLUMN)
+    lsn = quote(lsn_column)
     return f"INSERT INTO {table} ({', '.join(names)}) VALUES ({marks}) ON CONFLICT ({primary}) DO UPDATE SET {sets} WHERE {table}.{lsn} < excluded.{lsn};"
 
 
-def delete_statement(schema: Schema) -> str:
+def delete_statement(schema: Schema, key_column: str = KEY_COLUMN, lsn_column: str = LSN_COLUMN) -> str:
     """Delete a row that is not newer than the delete."""
     validate_schema(schema)
-    return f"DELETE FROM {quote(schema.name)} WHERE {quote(KEY_COLUMN)} = ? AND {quote(LSN_COLUMN)} <= ?;"
+    return f"DELETE FROM {quote(schema.name)} WHERE {quote(key_column)} = ? AND {quote(lsn_column)} <= ?;"
 
 
-def run_batch(batch: DataFrame, schema: Schema, connect, key: str = "key", lsn: str = "lsn", op: str = "op", parts: int = 1) -> int:
+def run_batch(batch: DataFrame, schema: Schema, connect, key: str = "key", lsn: str = "lsn", op: str = "op", parts: int = 1, key_column: str = KEY_COLUMN, lsn_column: str = LSN_COLUMN) -> int:
     """Run a batch of puts and deletes through the statements on a database; how many rows were sent.
 
     ``connect`` makes a connection (DB-API, ``?`` marks) on a worker.  The batch
@@ -81,8 +81,8 @@ def run_batch(batch: DataFrame, schema: Schema, connect, key: str = "key", lsn:
     one transaction: all of it or nothing.  Statements are guarded by LSN, so a
     task that runs again changes nothing.  Columns are named as the fields of the schema.
     """
-    names = [f.name for _, f in columns(schema)]
-    put, drop = upsert_statement(schema), delete_statement(schema)
+    names = [f.name for _, f in columns(schema, key_column, lsn_column)]
+    put, drop = upsert_statement(schema, key_column, lsn_column), delete_statement(schema, key_column, lsn_column)
     cols = [F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)]
     rows = batch.select(F.encode(F.col(key).cast("string"), "UTF-8").alias("k"), F.col(lsn).cast("bigint").alias("l"), is_put(F.col(op)).alias("p"), *cols)
     rest = [c for c in rows.columns if c not in ("k", "l")]

@@ -171,6 +171,8 @@ def test_table_text():
     made = sql_sink.create_statements(s)
     assert made[0].startswith('CREATE TABLE IF NOT EXISTS "users" ("id" TEXT PRIMARY KEY, "email" TEXT UNIQUE, "firm_id" TEXT REFERENCES "companies"("id"), "made" INTEGER, ')
     assert [m.split('"')[1] for m in made[1:]] == ["users_firm_id_idx", "users_made_idx"]
+    assert '"k" BLOB NOT NULL UNIQUE, "seq" INTEGER NOT NULL' in sql_sink.create_statements(s, "k", "seq")[0]
+    assert sql_sink.delete_statement(s, "k", "seq") == 'DELETE FROM "users" WHERE "k" = ? AND "seq" <= ?;' and sql_sink.upsert_statement(s, "k", "seq").endswith('WHERE "users"."seq" < excluded."seq";')
     assert sql_sink.quote('a"b') == '"a""b"'
 
 
