@@ -8,12 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keyloom.operators.log import latest
 from keyloom.operators.segments import neighbour, running_sum
 
 MASK63 = (1 << 63) - 1
+# Fixed value: the bits of a quiet NaN.
+NAN_BITS = 0x7FF8000000000000
 
 
 def gather(lane: DataFrame, wanted: DataFrame, missing: int = 0) -> DataFrame:
@@ -73,3 +77,31 @@ def insert_returning_old(table: DataFrame, writes: DataFrame, key: str, seq: str
     """Each write with the value it replaced: the write before it, or what the table held."""
     j = neighbour(writes, [key], seq, F.struct("value"), "kl_p").join(table.select(key, F.struct("value").alias("kl_t")), key, "left")
     return j.withColumn("old_value", F.coalesce("kl_p", "kl_t")["value"]).drop("kl_p", "kl_t")
+
+
+def packed(value: Column, kind: str) -> Column:
+    """A value of up to 8 bytes as the bigint that a dense lane keeps: ``i64``, ``f64`` (its bits) or ``bool``; null stays null."""
+    if kind == "f64":
+
+        @F.pandas_udf("bigint")
+        def bits(x: pd.Series) -> pd.Series:
+            return pd.Series(x.to_numpy(np.float64, na_value=0.0).view(np.int64))
+
+        x = value.cast("double")
+        return F.when(x.isNotNull() & ~F.isnan(x), bits(F.when(x.isNotNull() & ~F.isnan(x), x).otherwise(0.0))).when(F.isnan(x), F.lit(NAN_BITS))
+    if kind not in ("i64", "bool"):
+        raise ValueError(f"unknown kind {kind!r}")
+    return value.cast("bigint")
+
+
+def unpacked(value: Column, kind: str) -> Column:
+    """The value that :func:`packed` packed."""
+    if kind == "f64":
+
+        @F.pandas_udf("double")
+        def number(x: pd.Series) -> pd.Series:
+            return pd.Series(x.fillna(0).to_numpy(np.int64).view(np.float64))
+
+        # Arrow takes a NaN from Pandas for a null.
+        return F.when(value.isNotNull(), F.coalesce(number(F.coalesce(value, F.lit(0).cast("bigint"))), F.lit(float("nan"))))
+    return value.cast("boolean") if kind == "bool" else value

@@ -38,6 +38,12 @@ def tti_sessions(log: DataFrame, keys: Sequence[str], tick: str, tti: Column) ->
     return running_sum(rows, keys, tick, fresh, "session").drop("kl_last")
 
 
+def expiry_meta(state: DataFrame, requested: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Version, last touch and times of the requested keys that hold a value; deleted and unknown keys have none."""
+    rows = state.where(~F.coalesce("tombstone", F.lit(False))).select(*keys, "version", "last_touch", "expires_at", "tti_ticks")
+    return requested.select(*keys).distinct().join(rows, list(keys))
+
+
 def idle_dirty(state: DataFrame, now: Column, idle_ticks: int, limit: int | None = None, order: Sequence[str] = ("last_touch", "version")) -> DataFrame:
     """Dirty rows untouched for at least ``idle_ticks``, oldest first, at most ``limit``."""
     rows = state.where(F.col("dirty") & (now - F.col("last_touch") >= idle_ticks))

@@ -90,6 +90,16 @@ def append_with_lsn(log: DataFrame, batch: DataFrame, order: Sequence[str], lsn:
     return local.join(F.broadcast(shifts), "kl_p").withColumn(lsn, (last + F.col("kl_before") + F.col("kl_n")).cast("bigint")).drop("kl_p", "kl_n", "kl_before")
 
 
+def high_water_mark(log: DataFrame, by: Sequence[str], seq: str) -> DataFrame:
+    """The highest sequence number given out so far, per group: what a checkpoint taken now covers."""
+    return log.groupBy(*by).agg(F.max(seq).alias("high_water_mark"))
+
+
+def rebuilt(log: DataFrame, keys: Sequence[str], seq: str, op: str = "op") -> DataFrame:
+    """The log without superseded rows and tombstones, for a compact rewrite."""
+    return live_rows(latest(log, keys, seq), op)
+
+
 def store_stats(log: DataFrame, keys: Sequence[str], seq: str, dirty: Column, op: str = "op") -> DataFrame:
     """One row: live keys, tombstones, dirty keys, and the clock."""
     state = latest(log.select(*keys, seq, op, dirty.alias("kl_dirty")), keys, seq)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keyloom.functions import codecs
 from keyloom.functions.keys import encoded_key
-from keyloom.operators import documents, expiry, log, objects, pages, policy, recovery
+from keyloom.operators import dense, documents, expiry, log, objects, pages, policy, recovery
 from keyloom.plans.reference import _COLD, _HOT, _LAST, _cold, _halves, _now, change_log, hot_state
 from keyloom.session import scratch, table
 from keyloom.sources import files, wal
@@ -462,3 +462,34 @@ def checkpoint_and_reset(spark, d):
 def hot_key_trace_hit_ratio(spark, d):
     """A generated trace whose hot fifth of keys gets four fifths of the accesses, through the cache policy."""
     return policy.hit_ratio(policy.replay(policy.hot_key_trace(spark, 100_000, 10_000), policy.PolicyConfig(capacity=2000, shards=8)))
+
+
+@query(f"with {_LAST} select user_id::varchar as key, lsn + 1 as version, value, (select max(event_id) + 1 from events) as lsn from last where event_type <> 'error'")
+def object_snapshot_reread(spark, d):
+    """The live state as object snapshot files with footers, and back."""
+    path, changes = scratch(spark, "objects"), change_log(spark, d)
+    top = log.high_water_mark(changes, [], "lsn").first()[0] or 0
+    live = log.rebuilt(changes, ["key"], "lsn").select((F.col("lsn") + 1).alias("version"), F.lit("put").alias("op"), F.encode(F.col("key").cast("string"), "UTF-8").alias("key"), F.encode(F.col("value").cast("string"), "UTF-8").alias("value"))
+    wal.write_object_snapshot(live, path, top + 1)
+    back = wal.read_object_snapshot(spark, f"{path}/*.obj")
+    return back.select(F.col("key").cast("string").alias("key"), "version", F.col("value").cast("string").cast("double").alias("value"), "lsn")
+
+
+@query("select event_id, value, user_id as number, event_type = 'click' as flag from events")
+def dense_values_packed(spark, d):
+    """Numbers and truth values as the 8-byte words that dense lanes keep, and back."""
+    e = table(spark, d, "events")
+    words = e.select("event_id", dense.packed(F.col("value"), "f64").alias("v"), dense.packed(F.col("user_id"), "i64").alias("n"), dense.packed(F.col("event_type") == "click", "bool").alias("f"))
+    return words.select("event_id", dense.unpacked(F.col("v"), "f64").alias("value"), dense.unpacked(F.col("n"), "i64").alias("number"), dense.unpacked(F.col("f"), "bool").alias("flag"))
+
+
+@query(f"with {_HOT} select c_custkey as key, version, last_touch, version + 5000 as expires_at, 3000 as tti_ticks from customer join hot on hot.key = c_custkey where not tombstone")
+def expiry_of_keys(spark, d):
+    """Times of the requested keys that hold a value."""
+    state = hot_state(spark, d).withColumn("expires_at", F.col("version") + 5000).withColumn("tti_ticks", F.lit(3000))
+    return expiry.expiry_meta(state, table(spark, d, "customer").select(F.col("c_custkey").alias("key")), ["key"])
+
+
+@query("select store_id, max(lsn) as high_water_mark from wal_records group by store_id")
+def high_water_marks(spark, d):
+    return log.high_water_mark(table(spark, d, "wal_records"), ["store_id"], "lsn")

@@ -300,6 +300,42 @@ def write_generic(log: DataFrame, path: str) -> int:
     return _write_files(rows.repartitionByRange("version").sortWithinPartitions("version"), path, ["version", "op", "key", "value"], encode_generic, "log")
 
 
+def write_object_snapshot(state: DataFrame, path: str, lsn: int) -> int:
+    """Write a state (version, op, key, value) as object snapshot files, each a generic log with a footer of its own; how many.
+
+    A task holds one file at a time; files have at most the rows of a partition.
+    """
+    names = ["version", "op", "key", "value"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in names))]
+        if records:
+            fs, root = FileSystem.from_uri(path)
+            fs.create_dir(root, recursive=True)
+            name = f"{root}/snapshot-{lsn:020d}-{uuid.uuid4().hex}"
+            with fs.open_output_stream(name + ".tmp") as out:
+                out.write(with_footer(encode_generic(records), lsn, len(records)))
+            fs.move(name + ".tmp", name + ".obj")
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], names=["n"])
+
+    rows = state.select("version", "op", F.col("key").cast("binary"), F.col("value").cast("binary"))
+    return rows.mapInArrow(work, "n bigint").count()
+
+
+def read_object_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the object snapshot files under ``path`` with their snapshot's ``lsn``; a file whose footer doesn't hold, or with fewer records than it says, is left out."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("content").to_pylist():
+                foot = read_footer(data)
+                rows = list(decode_generic(data[:-32])) if foot else []
+                if foot and len(rows) == foot[1]:
+                    yield _batch([(foot[0], *r[1:]) for r in rows], ["lsn", "version", "op", "key", "value"], [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(work, "lsn bigint, version bigint, op string, key binary, value binary")
+
+
 def truncate_torn_tails(spark: SparkSession, path: str) -> DataFrame:
     """Cut each segment file under ``path`` behind its last whole record; the files that were cut: segment, length, kept."""
 
