@@ -33,17 +33,15 @@ def _classes() -> np.ndarray:
 CLASSES = _classes()
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
-_powers: list[np.ndarray] = []
+def _powers(base: int) -> np.ndarray:
+    """base**i modulo 2**64 for i below BLOCK_BYTES."""
+    out = np.full(BLOCK_BYTES, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i below ``n``; kept per worker."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        up, down = np.full(size, BASE, np.uint64), np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _powers[:] = [np.cumprod(up), np.cumprod(down)]
-    return _powers[0], _powers[1]
+INVERSE = pow(BASE, -1, 1 << 64)
+_tables: list[np.ndarray] = []
 
 
 def plain(text: str) -> str:
@@ -79,10 +77,20 @@ class Words:
         last[:-1] &= ~word[1:] if not digits_apart else (kind[1:] != kind[:-1])
         self.at = np.flatnonzero(first)
         self.stop = np.flatnonzero(last) + 1
-        squeezed = self.bytes[word].astype(np.uint64) + np.uint64(1)
-        up, self.down = _power_tables(len(squeezed) + 1)
-        self.sums = np.zeros(len(squeezed) + 1, np.uint64)
-        np.cumsum(squeezed * up[: len(squeezed)], out=self.sums[1:])
+        if not _tables:
+            _tables[:] = [_powers(BASE), _powers(INVERSE)]
+        seen = self.bytes[word]
+        self.sums = np.zeros(len(seen) + 1, np.uint64)
+        for lo in range(0, len(seen), BLOCK_BYTES):
+            part = seen[lo : lo + BLOCK_BYTES].astype(np.uint64)
+            part += np.uint64(1)
+            part *= _tables[0][: len(part)]
+            part *= np.uint64(pow(BASE, lo, 1 << 64))
+            to = self.sums[lo + 1 : lo + 1 + len(part)]
+            np.cumsum(part, out=to)
+            to += self.sums[lo]
+        #: INVERSE to the power of the first byte of each block.
+        self.far = np.array([pow(INVERSE, lo, 1 << 64) for lo in range(0, len(seen) + 1, BLOCK_BYTES)], np.uint64)
         lengths = self.stop - self.at
         self.end = np.cumsum(lengths)
         self.start = self.end - lengths
@@ -90,13 +98,15 @@ class Words:
         self.text = np.searchsorted(np.flatnonzero(kind == END), self.at)
         self.texts = len(texts)
 
+    def _stretch(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[start]) * _tables[1][start % BLOCK_BYTES] * self.far[start // BLOCK_BYTES]
+
     def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Hashes of the stretches from word ``first`` to word ``last``, their words run together."""
-        s, e = self.start[first], self.end[last]
-        return (self.sums[e] - self.sums[s]) * self.down[s]
+        return self._stretch(self.start[first], self.end[last])
 
     def word_hashes(self) -> np.ndarray:
-        return (self.sums[self.end] - self.sums[self.start]) * self.down[self.start]
+        return self._stretch(self.start, self.end)
 
 
 def word_hash(word: str) -> int:
