@@ -61,6 +61,35 @@ def evict_idle(state: DataFrame, now: Column, idle_ticks: int) -> DataFrame:
     return state.where(F.col("tombstone") | (now - F.col("last_touch") < idle_ticks))
 
 
+def _same(keys: Sequence[str], names: Sequence[str]) -> Column:
+    cond = F.lit(True)
+    for k, n in zip(keys, names):
+        cond = cond & F.col(k).eqNullSafe(F.col(n))
+    return cond
+
+
+def evict_clean(state: DataFrame, requested: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The state without the requested rows that need no flush; dirty ones stay."""
+    names = [f"kl_k{i}" for i in range(len(keys))]
+    asked = requested.select(*[F.col(k).alias(n) for k, n in zip(keys, names)]).distinct()
+    return state.join(asked, _same(keys, names) & ~F.coalesce("dirty", F.lit(False)), "left_anti")
+
+
+def load_clean(state: DataFrame, records: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The state with stored records (same columns) loaded as clean rows; a row held with the same or a higher version stays, tombstone or not.
+
+    Of several records of a key the highest version is loaded.
+    """
+    names = [f"kl_k{i}" for i in range(len(keys))]
+    rest = [c for c in state.columns if c not in (*keys, "version")]
+    newest = records.groupBy(*keys).agg(F.max(F.struct("version", *rest)).alias("kl_b")).select(*keys, *[F.col(f"kl_b.`{c}`").alias(c) for c in ("version", *rest)])
+    incoming = newest.withColumn("dirty", F.lit(False)).select(*state.columns)
+    held = state.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("version").alias("kl_v"))
+    loaded = incoming.join(held, _same(keys, names) & (F.col("kl_v") >= F.col("version")), "left_anti")
+    gone = loaded.select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
+    return state.join(gone, _same(keys, names), "left_anti").unionByName(loaded)
+
+
 def _old_enough(now: int, idle_ticks: int, min_clean_age: int) -> Column:
     """Untouched and unchanged for long enough; ticks ahead of the clock count as now, and 0 asks for no age."""
     return (F.greatest(F.lit(now) - F.col("last_touch"), F.lit(0)) >= idle_ticks) & (F.greatest(F.lit(now) - F.col("version"), F.lit(0)) >= min_clean_age)
@@ -224,9 +253,7 @@ class ColdTier:
         meta = [F.col(c) if c in hot.columns else F.lit(0).cast("bigint").alias(c) for c in ("last_touch", "expires_at", "tti_ticks")]
         self.add(live.select(*self.keys, "version", "value", *meta), picked.where("tombstone"))
         gone = picked.select(*[F.col(k).alias(f"kl_{k}") for k in self.keys], F.col("version").alias("kl_version"))
-        same = F.col("version") == F.col("kl_version")
-        for k in self.keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"kl_{k}"))
+        same = _same(self.keys, [f"kl_{k}" for k in self.keys]) & (F.col("version") == F.col("kl_version"))
         return hot.join(gone, same, "left_anti")
 
     def compact(self, now: int) -> dict:
@@ -250,7 +277,4 @@ class ColdTier:
         cols = {"dirty": F.lit(False), "tombstone": F.lit(False), "last_touch": F.lit(now).cast("bigint")}
         new = new.select(*[(cols[c].alias(c) if c in cols else F.col(c) if c in new.columns else F.lit(None).cast(hot.schema[c].dataType).alias(c)) for c in hot.columns])
         stale = new.select(*[F.col(k).alias(f"kl_{k}") for k in self.keys])
-        same = F.lit(True)
-        for k in self.keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"kl_{k}"))
-        return hot.join(stale, same, "left_anti").unionByName(new)
+        return hot.join(stale, _same(self.keys, [f"kl_{k}" for k in self.keys]), "left_anti").unionByName(new)

@@ -493,3 +493,21 @@ def expiry_of_keys(spark, d):
 @query("select store_id, max(lsn) as high_water_mark from wal_records group by store_id")
 def high_water_marks(spark, d):
     return log.high_water_mark(table(spark, d, "wal_records"), ["store_id"], "lsn")
+
+
+@query(f"with {_HOT} select key, version, dirty from hot where dirty or not exists (select 1 from customer where c_custkey = key and c_nationkey < 12)")
+def evict_clean_keys(spark, d):
+    """Rows of the customers of some nations leave the cache, unless they are dirty."""
+    asked = table(spark, d, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("key"))
+    return expiry.evict_clean(hot_state(spark, d), asked, ["key"]).select("key", "version", "dirty")
+
+
+@query("""
+with halves as (select *, (event_id >> 10) % 2 as half from events),
+last as (select user_id as key, half, max(event_id) as version, arg_max(value, event_id) as value, arg_max(event_type, event_id) = 'click' as dirty from halves group by all)
+select coalesce(a.key, b.key) as key, greatest(a.version, b.version) as version, case when a.key is null or b.version > a.version then b.value else a.value end as value, case when a.key is null or b.version > a.version then false else a.dirty end as dirty
+from (select * from last where half = 0) a full join (select * from last where half = 1) b on b.key = a.key""")
+def load_clean_records(spark, d):
+    """Records of one half of the events, loaded clean into a cache that holds the other half."""
+    held, stored = (hot_state(spark, d, half) for half in _halves(spark, d))
+    return expiry.load_clean(held, stored, ["key"]).select("key", "version", "value", "dirty")

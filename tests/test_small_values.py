@@ -37,3 +37,12 @@ def test_small_reads(spark, as_rows):
     state = spark.createDataFrame([("a", 1, 1, 5, 0, False), ("b", 2, 2, 0, 3, True), ("c", 3, 3, 0, 0, None)], "key string, version int, last_touch int, expires_at int, tti_ticks int, tombstone boolean")
     asked = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), ("z",)], "key string")
     assert as_rows(expiry.expiry_meta(state, asked, ["key"])) == [("a", 1, 1, 5, 0), ("c", 3, 3, 0, 0)]
+
+
+def test_clean_rows_come_and_go(spark, as_rows):
+    kind = "key string, version int, dirty boolean, value string"
+    state = spark.createDataFrame([("a", 2, True, "a2"), ("b", 2, False, "b2"), (None, 1, None, "n1")], kind)
+    assert as_rows(expiry.evict_clean(state, spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "key string"), ["key"]), "key") == [("a",)]
+    records = spark.createDataFrame([("a", 2, True, "same"), ("b", 3, True, "b3"), ("b", 1, True, "b1"), ("c", 1, True, "c1"), (None, 4, True, "n4")], kind)
+    assert as_rows(expiry.load_clean(state, records, ["key"]), "key", "version", "dirty", "value") == [(None, 4, False, "n4"), ("a", 2, True, "a2"), ("b", 3, False, "b3"), ("c", 1, False, "c1")]
+    assert as_rows(expiry.load_clean(state.limit(0), records.limit(0), ["key"])) == []
