@@ -33,8 +33,10 @@ def write_at(pages: DataFrame, writes: DataFrame, page: int = PAGE) -> DataFrame
     """The files after writes (file, offset, data, seq), applied in order of ``seq``.
 
     Each write is cut at page borders and only pages that are written to are
-    changed; later writes win byte by byte.  Pages skipped between the end of a
-    file and a write are not stored.  Writes with a null file, offset or data
+    changed; later writes win byte by byte.  Of a page that is written over and
+    over only the last write of each range of bytes is shuffled by each task, so
+    what is folded depends on the page, not on the number of writes.  Pages
+    skipped between the end of a file and a write are not stored.  Writes with a null file, offset or data
     are none; an empty write changes nothing.
     """
     size = F.lit(page).cast("bigint")
@@ -44,8 +46,9 @@ def write_at(pages: DataFrame, writes: DataFrame, page: int = PAGE) -> DataFrame
     begin = F.greatest(F.col("page") * size, F.col("o"))
     end = F.least((F.col("page") + 1) * size, F.col("o") + F.octet_length("data"))
     piece = F.substring(F.col("data"), (begin - F.col("o") + 1).cast("int"), (end - begin).cast("int"))
-    parts = cut.select("file", "page", F.struct("seq", (begin - F.col("page") * size).alias("start"), piece.alias("piece")).alias("p"))
-    parts = parts.groupBy("file", "page").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    parts = cut.select("file", "page", "seq", (begin - F.col("page") * size).alias("start"), piece.alias("piece")).withColumn("n", F.octet_length("piece"))
+    parts = parts.groupBy("file", "page", "start", "n").agg(F.max(F.struct("seq", "piece")).alias("b"))  # a later write of the same range hides all before
+    parts = parts.groupBy("file", "page").agg(F.array_sort(F.collect_list(F.struct("b.seq", "start", "b.piece"))).alias("ps"))
     old = pages.select(F.col("file").alias("kl_f"), F.col("page").alias("kl_p"), F.col("data").alias("kl_d"))
     j = old.join(parts, (F.col("kl_f") == F.col("file")) & (F.col("kl_p") == F.col("page")), "full_outer")
     new = F.aggregate("ps", F.coalesce("kl_d", F.lit(b"")), lambda acc, x: _overlaid(acc, x["start"], x["piece"]))
