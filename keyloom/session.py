@@ -64,7 +64,8 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="keyloom-shared-")
         sc.setCheckpointDir(named)
-    return named
+    p, fs = file_system(spark, named)
+    return fs.makeQualified(p).toString()  # with its scheme, as workers read and write it by other means too
 
 
 _scratch: list[tuple[SparkSession, str]] = []
