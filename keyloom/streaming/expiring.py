@@ -23,7 +23,9 @@ def expiries(touches: DataFrame) -> DataFrame:
     A tick is taken for a second of event time.  Once the highest tick of all
     keys (the watermark, without delay) has passed the end of a key, a timer
     emits its expiry and drops its state, so keys that nobody touches again
-    expire too.  The state is three numbers per live key.
+    expire too.  A touch behind the clock that an earlier batch had reached is
+    late and may be dropped, as with any watermark.  The state is three numbers
+    per live key.
     """
 
     def ends(held: tuple) -> list[int]:
